@@ -1,0 +1 @@
+"""No streaming operators: the query set is batch only, and none are invented here."""
