@@ -20,6 +20,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN hit USING (uid) LEFT JOIN named USING (uid)
 """
 
+OP6 = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda p: array_to_string(ws[p : p + 3], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s
+    FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM d),
+o AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c, any_value(a.n) + any_value(b.n) AS m FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT i, j FROM o WHERE 100 * c >= 85 * (m - c)),
+e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT doc_id AS i, doc_id AS j FROM d UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i)
+SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(r.j) AS component_id FROM d JOIN r ON r.i = d.doc_id GROUP BY d.doc_id, s
+"""
+
 OP9 = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -30,4 +43,4 @@ FROM documents
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op9_exact_dedup": OP9}
+    return {"op2_decontaminate": OP2, "op6_ngram_jaccard_join": OP6, "op9_exact_dedup": OP9}
