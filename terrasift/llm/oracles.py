@@ -20,6 +20,24 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN hit USING (uid) LEFT JOIN named USING (uid)
 """
 
+OP3 = r"""
+WITH l AS (
+    SELECT doc_id, p, lines[p] AS raw, list_sort(list_distinct(regexp_extract_all(translate(lines[p], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS ws
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+u AS (SELECT *, row_number() OVER (ORDER BY doc_id, p) AS k, len(ws) AS n FROM l),
+c AS (SELECT ws, n, min(k) AS k FROM u WHERE n >= 5 GROUP BY ws, n),
+t AS (SELECT k, n, unnest(ws) AS w FROM c),
+f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+r AS (SELECT k, n, w, row_number() OVER (PARTITION BY k ORDER BY df, w) AS pos FROM t JOIN f USING (w)),
+q AS (SELECT * FROM r WHERE pos <= n - CAST(ceil(n * 80 / 100) AS BIGINT) + 1),
+m AS (SELECT DISTINCT a.k AS i, b.k AS j FROM q a JOIN q b ON a.w = b.w AND a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+v AS (SELECT DISTINCT j FROM m JOIN c x ON x.k = i JOIN c y ON y.k = j WHERE 180 * len(list_intersect(x.ws, y.ws)) >= 80 * (x.n + y.n)),
+gone AS (SELECT u.k FROM u JOIN c ON u.ws = c.ws WHERE u.k <> c.k OR c.k IN (SELECT j FROM v))
+SELECT doc_id, count(*) AS n_lines, count(gone.k) AS n_removed,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY p) FILTER (WHERE gone.k IS NULL), '')) AS text_sha256
+FROM u LEFT JOIN gone USING (k) GROUP BY doc_id
+"""
+
 OP6 = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda p: array_to_string(ws[p : p + 3], ' '))
@@ -43,4 +61,4 @@ FROM documents
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op6_ngram_jaccard_join": OP6, "op9_exact_dedup": OP9}
+    return {"op2_decontaminate": OP2, "op3_line_dedup": OP3, "op6_ngram_jaccard_join": OP6, "op9_exact_dedup": OP9}
