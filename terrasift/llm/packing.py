@@ -11,6 +11,7 @@ shuffle. A block whose elite has as few bins as its tokens need is done.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from terrasift.llm.common import partitions_for, remove, store, texts
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words, and pieces of words, whose ids a worker remembers.
+REMEMBERED = 700_000
 
 
 @cache
@@ -42,41 +43,68 @@ def _tokenizer(path: str):
 class WordEncoder:
     """Ids of texts as the tokenizer gives them, 4 bytes each, word by word with a memory.
 
-    Right only for a tokenizer that drops white space and lets nothing cross it. ASCII white space is white space to
-    it, so words between that can be encoded alone. Texts with the string of a special token are encoded whole.
+    Right only for a tokenizer that drops white space, lets nothing cross it, and lower-cases. ASCII white space is
+    white space to it, so words between that can be encoded alone. A word falls into the tokenizer's own pieces, and
+    only a piece not met before goes through its model. Texts with the string of a special token are encoded whole.
     """
 
+    #: The tokenizer's pieces of a word of printable ASCII in lower case.
+    ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    PRINTABLE = bytes(range(33, 127))
+
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, np.uint32).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > REMEMBERED:
+                self.pieces.clear()
+            ids = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(piece))
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        if word.translate(None, self.PRINTABLE):  # letters beyond ASCII, or control characters
+            normal = self.tokenizer.normalizer.normalize_str(word.decode("utf-8", "replace"))
+            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        else:
+            pieces = [p.decode() for p in self.ASCII_PIECES.findall(word.lower())]
+        return b"".join(map(self.piece, pieces))
+
     def encode(self, text: bytes) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        ws = text.split()
+        ws, known = text.split(), self.words
         try:
-            return b"".join(map(self.known.__getitem__, ws))
+            return b"".join(map(known.__getitem__, ws))
         except KeyError:
             pass
-        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for w in ws if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
+        for w in ws:
+            if w not in known:
+                known[w] = self.word(w)
         return b"".join(map(known.__getitem__, ws))
 
 
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 def _cut(path: str, capacity: int, closing: int):
     end = np.array([closing], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         names = [x.split()[0] for x in PIECES.split(", ")]
         for b in batches:
             rows: list[tuple] = []
