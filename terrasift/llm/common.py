@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,15 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def store(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Write df once as Parquet in the shared folder; lineage ends there. Returns it reread, and its path."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    spark, path, schema = df.sparkSession, new_path(df.sparkSession, what), df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return spark.read.schema(schema).parquet(path), path
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -41,6 +48,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: a column used inside a lambda may be worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(m)
