@@ -2,7 +2,8 @@
 
 A line's set is its distinct words. Its words are ordered by rarity; two sets that are similar enough share a word
 among the first n - ceil(t * n) + 1 of each, and the place of a shared word and the sizes bound what else they can share.
-Pairs that pass are verified on their words, and the later line of a similar pair is removed.
+The sets' words also set bits by parity in a 64-bit sketch: sets that differ in d words differ in d bits at most. Pairs
+that pass these are verified on their words, and the later line of a similar pair is removed.
 
 Rarity is counted per hash bucket of words, over all lines, so the table has a fixed size; any order of words gives the
 same pairs. Lines with the same set are one row before words are exploded, however many there are. The lines that share
@@ -14,16 +15,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import store
+from terrasift.llm.common import free, let, remove, store
 
 #: Buckets that the rarity of words is counted in.
 BUCKETS = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def words_of(line: Column) -> Column:
+    """Words of a line, A-Z lowered, split at ASCII white space."""
+    return F.array_remove(F.split(F.translate(line, UPPER, LOWER), r"[ \t\n\x0B\f\r]+"), "")
+
+
 def word_set(line: Column) -> Column:
-    """Distinct words of a line, A-Z lowered, split at ASCII white space."""
-    return F.array_remove(F.array_distinct(F.split(F.translate(line, UPPER, LOWER), r"[ \t\n\x0B\f\r]+")), "")
+    return F.array_distinct(words_of(line))
 
 
 class LineJoin:
@@ -32,18 +37,20 @@ class LineJoin:
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         # A row is known by its id and its text's hash; rows that repeat both are alike and are treated alike.
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text, F.length(text)).alias("th"), text.alias("text"))
-        self.lines = self.rows.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+        self.scratch: list[str] = []
 
-    def sets(self) -> DataFrame:
-        """doc, th, line, n, k1, k2 (together the name of the set), codes (hashes of its words)."""
-        words = self.lines.select("doc", "th", "line", word_set(F.col("raw")).alias("words")).where(F.size("words") >= self.least_words)
-        joined = F.concat_ws(" ", F.sort_array("words"))
-        return words.select("doc", "th", "line", F.size("words").alias("n"), F.xxhash64(joined).alias("k1"), F.xxhash64(F.lit(1), joined).alias("k2"), F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """Written once; the shuffle files behind it can go."""
+        df, path = store(df, what)
+        self.scratch.append(path)
+        free(df.sparkSession)
+        return df
 
-    def rarity(self, sets: DataFrame) -> bytes:
+    def rarity(self) -> bytes:
         """How often words of each bucket occur: a byte per bucket, below 127, on a scale of logarithms."""
-        counts = sets.select(F.explode("codes").alias("code")).groupBy(F.pmod("code", F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("c"))
-        every = sets.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("c"))
+        words = self.rows.select(F.explode(words_of(F.col("text"))).alias("word"))
+        counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("c"))
+        every = self.rows.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("c"))
         full = counts.unionByName(every).groupBy("bucket").agg(F.least(F.floor(3 * F.log2(F.sum("c") + 1)), F.lit(126)).alias("c"))
         level = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "c"))), lambda x: F.lpad(F.hex(x["c"]), 2, "0"))
         return bytes(full.agg(F.unhex(F.array_join(level, "")).alias("table")).first()["table"])
@@ -52,65 +59,98 @@ class LineJoin:
         """How many of a set's first words must be looked at."""
         return (n - F.ceil(F.lit(self.percent) * n / 100) + 1).cast("int")
 
-    def bounded(self, ni: Column, pi: Column, nj: Column, pj: Column) -> Column:
-        least = F.ceil(F.lit(self.percent) * (ni + nj) / F.lit(100 + self.percent))
-        return (100 * F.least(ni, nj) >= self.percent * F.greatest(ni, nj)) & (F.least(ni - pi, nj - pj) >= least)
-
-    def classes(self) -> DataFrame:
-        """One row per set: rank (by first occurrence), where that is, n, and its rarest words as codes."""
-        sets = self.sets()
-        table = F.lit(self.rarity(sets))
-
-        def ranked_code(code: Column) -> Column:
-            often = F.ascii(F.substring(table, F.pmod(code, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-            return F.shiftleft(often.cast("long"), 56).bitwiseOR(code.bitwiseAND(F.lit(2**56 - 1)))
-
-        ranked = F.sort_array(F.transform("codes", ranked_code))
-        first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "line", "n", F.slice(ranked, F.lit(1), self.needed(F.col("n"))).alias("first")))
-        named = sets.groupBy("k1", "k2").agg(first.alias("f")).select("k1", "k2", "f.*")
+    def bounded(self, i: Column, j: Column) -> Column:
+        """Whether the sizes, the columns from the shared word on, and the sketches allow the similarity."""
+        least = F.ceil(F.lit(self.percent) * (i["n"] + j["n"]) / F.lit(100 + self.percent))
+        sizes = 100 * F.least(i["n"], j["n"]) >= self.percent * F.greatest(i["n"], j["n"])
+        places = F.least(i["n"] - i["pos"], j["n"] - j["pos"]) >= least
+        return sizes & places & (F.bit_count(i["bits"].bitwiseXOR(j["bits"])) <= i["n"] + j["n"] - 2 * least)
+
+    def lines(self) -> DataFrame:
+        """doc, th, line, n, k1, k2 (together the name of the set), bits, first (its rarest words), for lines that count."""
+        table = F.lit(self.rarity())
+
+        def ranked(word: Column) -> Column:
+            def code(h: Column) -> Column:
+                often = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+                return F.shiftleft(often.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
+
+            return let(F.xxhash64(word), code)
+
+        def sketch(codes: Column) -> Column:
+            # The sixth byte of the hash picks the bit.
+            return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).bitwiseAND(F.lit(63)).cast("int"))))
+
+        def one(raw: Column, i: Column) -> Column:
+            def of(codes: Column) -> Column:
+                n = F.size(codes)
+                return F.when(
+                    n >= self.least_words,
+                    F.struct(i.alias("line"), n.alias("n"), F.xxhash64(codes).alias("k1"), F.xxhash64(F.lit(1), codes).alias("k2"), sketch(codes).alias("bits"), F.slice(codes, F.lit(1), self.needed(n)).alias("first")),
+                )
+
+            return let(F.sort_array(F.transform(word_set(raw), ranked)), of)
+
+        # Made before the rows are filtered, so that nothing is worked out twice.
+        every = self.rows.select("doc", "th", F.explode(F.transform(F.split("text", "\n", -1), one)).alias("at"))
+        return self.keep(every.where("at is not null").select("doc", "th", "at.*"), "lines")
+
+    def classes(self, lines: DataFrame) -> DataFrame:
+        """One row per set: rank (by first occurrence), where that is, n, bits, and its rarest words."""
+        first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "line", "n", "bits", "first"))
+        named = lines.groupBy("k1", "k2").agg(first.alias("f")).select("k1", "k2", "f.*")
         # In the order of first occurrence, so that a number that grows with the partition and the row is a rank.
-        ordered = named.orderBy("none", "doc", "th", "line").withColumn("rank", F.monotonically_increasing_id())
-        return store(ordered.drop("none"), "classes")[0]
+        return self.keep(named.orderBy("none", "doc", "th", "line").withColumn("rank", F.monotonically_increasing_id()).drop("none"), "classes")
 
     def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Ranks (b) of lines that are similar to their earlier partner (a)."""
         wanted = pairs.select(F.col("a").alias("rank")).unionByName(pairs.select(F.col("b").alias("rank"))).distinct()
-        wanted, _ = store(classes.select("rank", "doc", "th", "line").join(wanted, "rank"), "wanted")
-        at = F.broadcast(wanted) if wanted.count() <= self.broadcast_rows else wanted
-        same = self.lines["doc"].eqNullSafe(at["doc"]) & (self.lines["th"] == at["th"]) & (self.lines["line"] == at["line"])
-        found = self.lines.join(at, same).groupBy("rank").agg(F.first("raw").alias("raw"))
-        words, _ = store(found.select("rank", word_set(F.col("raw")).alias("words")), "words")
-        x = words.select(F.col("rank").alias("a"), F.col("words").alias("x"))
-        y = words.select(F.col("rank").alias("b"), F.col("words").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(y, "b").join(x, "a").where((100 + self.percent) * both >= self.percent * (F.size("x") + F.size("y"))).select("b").distinct()
+        wanted = self.keep(classes.select("rank", "doc", "th", "line").join(wanted, "rank"), "wanted")
+        per_doc = wanted.groupBy("doc", "th").agg(F.collect_set(F.struct("line", "rank")).alias("at"))
+        if wanted.count() <= self.broadcast_rows:
+            per_doc = F.broadcast(per_doc)
+        at = per_doc.withColumnsRenamed({"doc": "doc2", "th": "th2"})
+        found = self.rows.join(at, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("th") == F.col("th2"))).withColumn("all", F.split("text", "\n", -1))
+        raw = found.select("all", F.explode("at").alias("w")).select(F.col("w.rank").alias("rank"), F.get("all", F.col("w.line")).alias("raw"))
+        raw = self.keep(raw.groupBy("rank").agg(F.first("raw").alias("raw")), "raw")
+        x = raw.select(F.col("rank").alias("a"), F.col("raw").alias("x"))
+        y = raw.select(F.col("rank").alias("b"), F.col("raw").alias("y"))
+
+        def similar(x: Column) -> Column:
+            return let(word_set(F.col("y")), lambda y: (100 + self.percent) * F.size(F.array_intersect(x, y)) >= self.percent * (F.size(x) + F.size(y)))
+
+        return self.keep(pairs.join(y, "b").join(x, "a").where(let(word_set(F.col("x")), similar)).select("b").distinct(), "verified")
 
     def removed(self, classes: DataFrame) -> DataFrame:
         """rank of every set that has an earlier similar one."""
-        rows = classes.select("rank", "n", F.posexplode("first").alias("pos", "code"))
+        rows = classes.select("rank", "n", "bits", F.posexplode("first").alias("pos", "code"))
         w = Window.partitionBy("code")
-        shared = rows.withColumn("least", F.min(F.struct("rank", "n", "pos")).over(w)).withColumn("most", F.max("rank").over(w)).where(F.col("least.rank") != F.col("most")).drop("most")
-        shared, _ = store(shared, "shared")
-        star = shared.where((F.col("least.rank") != F.col("rank")) & self.bounded(F.col("least.n"), F.col("least.pos"), F.col("n"), F.col("pos")))
-        star, _ = store(star.select(F.col("least.rank").alias("a"), F.col("rank").alias("b")).distinct(), "pairs")
-        done, _ = store(self.verified(star, classes), "removed")
-
-        later = shared.drop("least").join(done.withColumnRenamed("b", "rank"), "rank", "left_anti").alias("j")
-        earlier = shared.drop("least").alias("i")
-        meet = (F.col("i.code") == F.col("j.code")) & (F.col("i.rank") < F.col("j.rank")) & self.bounded(F.col("i.n"), F.col("i.pos"), F.col("j.n"), F.col("j.pos"))
-        rest = earlier.join(later, meet).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        rest, _ = store(rest, "pairs")
+        own = F.struct("rank", "n", "pos", "bits")
+        shared = rows.withColumn("least", F.min(own).over(w)).withColumn("most", F.max("rank").over(w)).where(F.col("least.rank") != F.col("most"))
+        shared = shared.withColumn("star", (F.col("least.rank") != F.col("rank")) & self.bounded(F.col("least"), own)).withColumn("centre", F.when(F.col("star"), F.col("least.rank")))
+        shared = self.keep(shared.select("code", "rank", "n", "pos", "bits", "centre"), "shared")
+        star = self.keep(shared.where("centre is not null").select(F.col("centre").alias("a"), F.col("rank").alias("b")).distinct(), "pairs")
+        done = self.verified(star, classes)
+
+        later = shared.drop("centre").join(done.withColumnRenamed("b", "rank"), "rank", "left_anti").select("code", F.struct("rank", "n", "pos", "bits").alias("j"))
+        earlier = shared.select(F.col("code").alias("code2"), F.struct("rank", "n", "pos", "bits").alias("i"))
+        meet = (F.col("code") == F.col("code2")) & (F.col("i.rank") < F.col("j.rank")) & self.bounded(F.col("i"), F.col("j"))
+        rest = later.join(earlier, meet).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        rest = self.keep(rest, "pairs")
         return done.unionByName(self.verified(rest, classes)).select(F.col("b").alias("rank"))
 
     def removed_lines(self) -> DataFrame:
         """doc, th, gone: the numbers (from 0) of the lines that go, for rows that lose any."""
-        classes = self.classes()
+        lines = self.lines()
+        classes = self.classes(lines)
         gone = self.removed(classes).withColumn("gone", F.lit(True))
         first = classes.select("rank", "k1", "k2", F.col("doc").alias("doc0"), F.col("th").alias("th0"), F.col("line").alias("line0")).join(gone, "rank", "left")
-        at = self.sets().select("doc", "th", "line", "k1", "k2").join(first, ["k1", "k2"])
+        at = lines.select("doc", "th", "line", "k1", "k2").join(first, ["k1", "k2"])
         own = F.col("doc").eqNullSafe(F.col("doc0")) & (F.col("th") == F.col("th0")) & (F.col("line") == F.col("line0"))
         goes = at.where(F.col("gone").isNotNull() | ~own)
-        return store(goes.groupBy("doc", "th").agg(F.collect_set("line").alias("gone")), "gone")[0]
+        out, _ = store(goes.groupBy("doc", "th").agg(F.collect_set("line").alias("gone")), "gone")
+        remove(out.sparkSession, *self.scratch)
+        return out
 
 
 def dedup_lines(
