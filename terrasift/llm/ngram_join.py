@@ -282,3 +282,16 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     return out.select(
         "uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root"
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
+    """The documents, with all their columns, without those that are linked with one of a smaller id (null counts as
+    largest; of equal ids the earliest row stays). Cases as in similar_components; documents without words stay."""
+    uid = "__row"
+    rows, _ = store(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
+    named = rows.select(F.col(uid).alias("uid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = similar_components(named.select(F.col("uid").alias("doc_id"), "text"), n, percent, **bounds).where("root is not null").select(F.col("doc_id").alias("uid"), "root")
+    grouped = named.select("uid", F.col("id").cast("long").alias("id")).join(found, "uid")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("f")).select("root", F.col("f.uid").alias("first"))
+    drop = grouped.join(first, "root").where("uid != first").select(F.col("uid").alias(uid))
+    return rows.join(drop, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
