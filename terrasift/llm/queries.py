@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import decontaminate, exact_dedup, language, line_dedup, ngram_join, packing, pii, quality
+from terrasift.llm import decontaminate, exact_dedup, language, line_dedup, lm, ngram_join, packing, pii, quality
 from terrasift.llm.common import crc_mod
 
 
@@ -55,5 +55,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return lm.score_texts(_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2, path, pattern)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
