@@ -2,6 +2,8 @@
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1 = "SELECT doc_id, lang, source, n_chars, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+
 OP2 = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS uid, {WORDS} AS ws FROM documents),
 b AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
@@ -61,4 +63,4 @@ FROM documents
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op3_line_dedup": OP3, "op6_ngram_jaccard_join": OP6, "op9_exact_dedup": OP9}
+    return {"op1_sharding": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op6_ngram_jaccard_join": OP6, "op9_exact_dedup": OP9}

@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import decontaminate, exact_dedup, language, line_dedup, lm, ngram_join, packing, pii, quality
-from terrasift.llm.common import crc_mod
+from terrasift.llm import decontaminate, exact_dedup, language, line_dedup, lm, ngram_join, packing, pii, quality, sharding
+from terrasift.llm.common import crc_mod, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read back from the compacted table."""
+    rows = sharding.shard(_table(spark, sf_dir, "documents"), new_path(spark, "shards")).read()
+    size, digest = F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    return rows.select("doc_id", "lang", "source", "n_chars", size, digest)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
