@@ -12,6 +12,8 @@ a rare word are first held against the earliest of them; only lines this doesn't
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +21,17 @@ from terrasift.llm.common import free, let, remove, store
 
 #: Buckets that the rarity of words is counted in.
 BUCKETS = 1 << 18
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Parts in which words are joined, a power of two.
+PASSES = 4
 
 
 def words_of(line: Column) -> Column:
-    """Words of a line, A-Z lowered, split at ASCII white space."""
-    return F.array_remove(F.split(F.translate(line, UPPER, LOWER), r"[ \t\n\x0B\f\r]+"), "")
+    """Words of a line, lower-cased, split at ASCII white space; an empty one may be first or last."""
+    return F.split(F.lower(line), r"[ \t\n\x0B\f\r]+")
 
 
 def word_set(line: Column) -> Column:
-    return F.array_distinct(words_of(line))
+    return F.array_remove(F.array_distinct(words_of(line)), "")
 
 
 class LineJoin:
@@ -49,7 +52,7 @@ class LineJoin:
     def rarity(self) -> bytes:
         """How often words of each bucket occur: a byte per bucket, below 127, on a scale of logarithms."""
         words = self.rows.select(F.explode(words_of(F.col("text"))).alias("word"))
-        counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("c"))
+        counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("c"))
         every = self.rows.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("c"))
         full = counts.unionByName(every).groupBy("bucket").agg(F.least(F.floor(3 * F.log2(F.sum("c") + 1)), F.lit(126)).alias("c"))
         level = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "c"))), lambda x: F.lpad(F.hex(x["c"]), 2, "0"))
@@ -70,16 +73,13 @@ class LineJoin:
         """doc, th, line, n, k1, k2 (together the name of the set), bits, first (its rarest words), for lines that count."""
         table = F.lit(self.rarity())
 
-        def ranked(word: Column) -> Column:
-            def code(h: Column) -> Column:
-                often = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-                return F.shiftleft(often.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
-
-            return let(F.xxhash64(word), code)
+        def code(h: Column) -> Column:
+            often = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+            return F.shiftleft(often.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
 
         def sketch(codes: Column) -> Column:
-            # The sixth byte of the hash picks the bit.
-            return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).bitwiseAND(F.lit(63)).cast("int"))))
+            # Six bits of the hash pick the bit; the shift itself looks at no more.
+            return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).cast("int"))))
 
         def one(raw: Column, i: Column) -> Column:
             def of(codes: Column) -> Column:
@@ -89,7 +89,8 @@ class LineJoin:
                     F.struct(i.alias("line"), n.alias("n"), F.xxhash64(codes).alias("k1"), F.xxhash64(F.lit(1), codes).alias("k2"), sketch(codes).alias("bits"), F.slice(codes, F.lit(1), self.needed(n)).alias("first")),
                 )
 
-            return let(F.sort_array(F.transform(word_set(raw), ranked)), of)
+            hashes = F.array_remove(F.array_distinct(F.transform(words_of(raw), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+            return let(F.sort_array(F.transform(hashes, code)), of)
 
         # Made before the rows are filtered, so that nothing is worked out twice.
         every = self.rows.select("doc", "th", F.explode(F.transform(F.split("text", "\n", -1), one)).alias("at"))
@@ -122,30 +123,39 @@ class LineJoin:
         return self.keep(pairs.join(y, "b").join(x, "a").where(let(word_set(F.col("x")), similar)).select("b").distinct(), "verified")
 
     def removed(self, classes: DataFrame) -> DataFrame:
-        """rank of every set that has an earlier similar one."""
-        rows = classes.select("rank", "n", "bits", F.posexplode("first").alias("pos", "code"))
-        w = Window.partitionBy("code")
-        own = F.struct("rank", "n", "pos", "bits")
-        shared = rows.withColumn("least", F.min(own).over(w)).withColumn("most", F.max("rank").over(w)).where(F.col("least.rank") != F.col("most"))
-        shared = shared.withColumn("star", (F.col("least.rank") != F.col("rank")) & self.bounded(F.col("least"), own)).withColumn("centre", F.when(F.col("star"), F.col("least.rank")))
-        shared = self.keep(shared.select("code", "rank", "n", "pos", "bits", "centre"), "shared")
-        star = self.keep(shared.where("centre is not null").select(F.col("centre").alias("a"), F.col("rank").alias("b")).distinct(), "pairs")
-        done = self.verified(star, classes)
-
-        later = shared.drop("centre").join(done.withColumnRenamed("b", "rank"), "rank", "left_anti").select("code", F.struct("rank", "n", "pos", "bits").alias("j"))
-        earlier = shared.select(F.col("code").alias("code2"), F.struct("rank", "n", "pos", "bits").alias("i"))
-        meet = (F.col("code") == F.col("code2")) & (F.col("i.rank") < F.col("j.rank")) & self.bounded(F.col("i"), F.col("j"))
-        rest = later.join(earlier, meet).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        rest = self.keep(rest, "pairs")
+        """rank of every set that has an earlier similar one. Words are taken in PASSES parts by their hash, so that only a
+        part of the exploded rows is on disk at a time; a pair may be met in several."""
+        w, own = Window.partitionBy("code"), F.struct("rank", "n", "pos", "bits")
+        parts = []
+        for k in range(PASSES):
+            mine = F.filter(F.transform("first", lambda c, i: F.struct(i.alias("pos"), c.alias("code"))), lambda x: x["code"].bitwiseAND(F.lit(PASSES - 1)) == k)
+            rows = classes.select("rank", "n", "bits", F.explode(mine).alias("at")).select("rank", "n", "bits", "at.*")
+            shared = rows.withColumn("least", F.min(own).over(w)).withColumn("most", F.max("rank").over(w)).where(F.col("least.rank") != F.col("most"))
+            star = (F.col("least.rank") != F.col("rank")) & self.bounded(F.col("least"), own)
+            parts.append(self.keep(shared.select("code", "rank", "n", "pos", "bits", F.when(star, F.col("least.rank")).alias("centre")), "shared"))
+        stars = reduce(DataFrame.unionByName, (p.where("centre is not null").select(F.col("centre").alias("a"), F.col("rank").alias("b")) for p in parts))
+        stars = self.keep(stars.distinct(), "pairs")
+        done = self.verified(stars, classes)
+
+        found = []
+        for shared in parts:
+            later = shared.join(done.withColumnRenamed("b", "rank"), "rank", "left_anti").select("code", own.alias("j"))
+            earlier = shared.select(F.col("code").alias("code2"), own.alias("i"))
+            meet = (F.col("code") == F.col("code2")) & (F.col("i.rank") < F.col("j.rank")) & self.bounded(F.col("i"), F.col("j"))
+            found.append(self.keep(later.join(earlier, meet).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct(), "pairs"))
+        rest = self.keep(reduce(DataFrame.unionByName, found).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
         return done.unionByName(self.verified(rest, classes)).select(F.col("b").alias("rank"))
 
     def removed_lines(self) -> DataFrame:
         """doc, th, gone: the numbers (from 0) of the lines that go, for rows that lose any."""
         lines = self.lines()
         classes = self.classes(lines)
+        whole = self.scratch.pop(0)
+        lines = self.keep(lines.select("doc", "th", "line", "k1", "k2"), "lines")
+        remove(lines.sparkSession, whole)
         gone = self.removed(classes).withColumn("gone", F.lit(True))
         first = classes.select("rank", "k1", "k2", F.col("doc").alias("doc0"), F.col("th").alias("th0"), F.col("line").alias("line0")).join(gone, "rank", "left")
-        at = lines.select("doc", "th", "line", "k1", "k2").join(first, ["k1", "k2"])
+        at = lines.join(first, ["k1", "k2"])
         own = F.col("doc").eqNullSafe(F.col("doc0")) & (F.col("th") == F.col("th0")) & (F.col("line") == F.col("line0"))
         goes = at.where(F.col("gone").isNotNull() | ~own)
         out, _ = store(goes.groupBy("doc", "th").agg(F.collect_set("line").alias("gone")), "gone")
@@ -159,7 +169,7 @@ def dedup_lines(
     """The documents with the text's later similar lines removed, and n_lines and n_removed (longs) after their columns.
 
     A line goes if an earlier line of any document, whether that stays or not, has 100 * |A & B| >= percent * |A | B| for
-    their sets of words. Lines come in the order of their document's id (null last), the hash of its text, and their
+    their sets of lower-case words. Lines come in the order of their document's id (null last), the hash of its text, and their
     number. Lines of fewer than least_words different words stay: they say too little to be copies. Null text has one
     empty line and stays null. Rows that repeat id and text lose the same lines. An empty table gives no rows. The
     result's other columns are as they were; a column named n_lines or n_removed must not be among them.

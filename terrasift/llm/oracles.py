@@ -24,7 +24,7 @@ FROM d LEFT JOIN hit USING (uid) LEFT JOIN named USING (uid)
 
 OP3 = r"""
 WITH l AS (
-    SELECT doc_id, p, lines[p] AS raw, list_sort(list_distinct(regexp_extract_all(translate(lines[p], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS ws
+    SELECT doc_id, p, lines[p] AS raw, list_sort(list_distinct(regexp_extract_all(lower(lines[p]), '[^\x20\x09-\x0D]+'))) AS ws
     FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
 u AS (SELECT *, row_number() OVER (ORDER BY doc_id, p) AS k, len(ws) AS n FROM l),
 c AS (SELECT ws, n, min(k) AS k FROM u WHERE n >= 5 GROUP BY ws, n),
