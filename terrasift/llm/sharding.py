@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from terrasift.llm.common import free
+
 GROUP = "__shard"
 
 
@@ -121,13 +123,15 @@ class ShardedTable:
             groups.append(group)
         return [g for g in groups if len(g) >= least_runs]
 
-    def compact(self, target_bytes: int = 256 << 20, least_runs: int = 4, ratio: int = 4, most_rounds: int = 20) -> int:
-        """Merge until no tier has least_runs runs; returns the version. Each round is one job and one commit."""
+    def compact(self, target_bytes: int = 256 << 20, least_runs: int = 4, ratio: int = 4, share: float = 0.25, keep: int | None = None) -> int:
+        """Merge until no tier has least_runs runs; returns the version. Each round is one job and one commit, of at most
+        `share` of the groups that there are at first, so old and new shards and the shuffle don't all meet on disk. With
+        keep, older versions than the last `keep` are deleted after each round."""
         version, shards, schema = self.manifest()
-        for _ in range(most_rounds):
-            groups = self.plan(shards, target_bytes, least_runs, ratio)
-            if not groups:
-                break
+        most = None
+        while groups := self.plan(shards, target_bytes, least_runs, ratio):
+            most = most or max(1, math.ceil(len(groups) * share))
+            groups = groups[:most]
             of = {s.path: k for k, g in enumerate(groups) for s in g}
             names = self.spark.createDataFrame([(p.rpartition("/data/")[2], k) for p, k in of.items()], f"__name string, {GROUP} int")
             rows = self.spark.read.schema(schema).parquet(*of).withColumn("__name", F.element_at(F.split("_metadata.file_path", "/data/"), -1))
@@ -140,6 +144,9 @@ class ShardedTable:
             shards = [s for s in shards if s.path not in of] + made
             self.commit(version, shards, schema)
             version += 1
+            if keep:
+                self.vacuum(keep)
+            free(self.spark)
         return version
 
     def vacuum(self, keep: int = 1) -> int:
@@ -176,6 +183,6 @@ def shard(docs: DataFrame, root: str, rows_per_shard: int = 1000, target_bytes:
     """
     table = ShardedTable(docs.sparkSession, root)
     table.append(docs, rows_per_shard)
-    table.compact(target_bytes, least_runs, ratio)
+    table.compact(target_bytes, least_runs, ratio, keep=1)
     table.vacuum()
     return table
