@@ -14,7 +14,7 @@ import base64
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pandas as pd
@@ -124,7 +124,7 @@ def _count_ids(path: str, pattern: str):
 
 
 class Classes:
-    """Ids' classes, the natural log of an id's share of its class, and of the classes' shares of all."""
+    """Ids' classes, the natural log of an id's share of its class, and the classes' shares of all."""
 
     def __init__(self, counts: np.ndarray, sub: Subwords, classes: int):
         weight = counts + 0.5
@@ -138,7 +138,7 @@ class Classes:
         self.of[rest] = own + band * 4 + sub.spaced[rest] * 2 + sub.wide[rest]
         total = np.bincount(self.of, weights=weight, minlength=classes)
         self.within = np.log(weight / total[self.of])
-        self.prior = np.log((total + 1e-9) / total.sum())
+        self.prior = total / total.sum()
 
 
 def _windows(stretches: list[bytes], sub: Subwords, of: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,8 +221,8 @@ def _score(state, path: str, pattern: str, shape: Shape, slice_bytes: int):
 
 
 def score_texts(
-    docs: DataFrame, train: Column, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(classes=160),
-    top_words: int = 65_536, every: int = 200, rounds: int = 2, steps: int = 200, batch: int = 64, rate: float = 0.02, slice_bytes: int = 2_000_000,
+    docs: DataFrame, train: Column, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(),
+    top_words: int = 65_536, every: int = 1000, rounds: int = 2, steps: int = 200, batch: int = 64, rate: float = 0.02, slice_bytes: int = 2_000_000,
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -246,7 +246,11 @@ def score_texts(
     ends = raw.where("kind = 'end'").agg(F.sum("n")).first()[0] or 0
     kinds, spoken = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, kinds = spoken + ends, kinds + (ends > 0)
-    top = {bytes(r["key"]): r["n"] for r in words.where(F.octet_length("key") <= 64).orderBy(F.col("n").desc(), "key").limit(top_words).collect()}
+    # The most frequent words by levels of their counts: only whole levels, together top_words at most, come to the driver.
+    level = F.floor(16 * F.log2("n"))
+    levels = sorted(((r["l"], r["c"]) for r in words.where(F.octet_length("key") <= 64).groupBy(level.alias("l")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    fits = [k for k, (_, so_far) in zip((x for x, _ in levels), accumulate(levels, lambda a, b: (b[0], a[1] + b[1])), strict=True) if so_far <= top_words]
+    top = {bytes(r["key"]): r["n"] for r in words.where((F.octet_length("key") <= 64) & (level >= min(fits))).collect()} if fits else {}
 
     sub = _subwords(path, pattern)
     counts = np.zeros(sub.end + 1, np.int64)

@@ -1,0 +1,353 @@
+"""The corpus operators on small and odd tables, against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terrasift.llm import attention, decontaminate, exact_dedup, graph, language, line_dedup, lm, ngram_join, packing, pii, quality, sharding
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long"
+VOCABULARY = [a + b for a in "the and over lazy quick brown fox jumps dog river stone".split() for b in ("", "s", "ing", "ed")]
+
+
+def corpus(n=60, seed=1):
+    """Prose with copies, near copies, shared lines, nulls, empties, repeated rows and one long text; a column named uid."""
+    rng = random.Random(seed)
+    line = lambda k: " ".join(rng.choice(VOCABULARY) for _ in range(k))
+    shared = [line(14) for _ in range(4)]
+    texts = ["\n".join([line(rng.randrange(1, 30)) for _ in range(rng.randrange(1, 5))] + [rng.choice(shared)] * (rng.random() < 0.4)) for _ in range(n)]
+    for i in range(0, n, 6):
+        ws = texts[i].split(" ")
+        ws[len(ws) // 2] = "changed"
+        texts += [texts[i], " ".join(ws), texts[i].upper()]
+    texts += [None, None, "", "   ", "a", "a", "Word", "\n\n", line(6000)]
+    rows = [(i, t, "en", "s", 1, 7) for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[3], (3, "other text here", None, None, None, None), (None, texts[0], "en", None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(4).persist()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+# 1
+
+
+def test_sharding(spark, docs, none, tmp_path):
+    table = sharding.ShardedTable(spark, f"file://{tmp_path}/t")
+    table.append(docs, 5)
+    table.append(docs.limit(3), 5)
+    before = table.manifest()[1]
+    assert all(s.rows <= 5 for s in before)
+    table.compact(target_bytes=1 << 20, least_runs=3)
+    after = table.manifest()[1]
+    assert len(after) < len(before) / 3 and sum(s.rows for s in after) == sum(s.rows for s in before) == docs.count() + 3
+    assert rows_of(table.read(2)) == rows_of(table.read()) != rows_of(table.read(1))
+    with pytest.raises(RuntimeError, match="another writer"):
+        table.commit(1, after, docs.schema)
+    assert table.vacuum() > 0 and len(table.versions()) == 1
+    assert table.read().columns == docs.columns and table.read().count() == docs.count() + 3
+    empty = sharding.shard(none, f"file://{tmp_path}/e")
+    assert empty.read().count() == 0
+    with pytest.raises(ValueError, match="columns"):
+        empty.append(docs.select("doc_id"))
+
+
+# 2
+
+
+def brute_leaks(text, items, window):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    ws, hit, names = word(text), set(), set()
+    for name, item in items:
+        iw = word(item)
+        n = min(window, len(iw))
+        for w in {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)} if n else ():
+            for p in range(len(ws) - n + 1):
+                if tuple(ws[p : p + n]) == w:
+                    hit |= set(range(p, p + n))
+                    names.add(str(name))
+    return len(ws), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"block_words": 5, "shard_words": 40, "shard_bytes": 300}])
+def test_decontaminate(spark, docs, none, bounds):
+    texts = [r[1] for r in corpus()]
+    items = [(1, " ".join(texts[0].split()[:13])), (10, "é ß " + texts[-6 - 5][:0]), (2, "over, THE river"), (3, None), (4, ""), (5, texts[1].upper()), (5, texts[2]), (6, "Word")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.report(decontaminate.find_matches(docs, benchmark, **bounds))
+    want = [(r[0], *brute_leaks(r[1], items, 10)) for r in corpus()]
+    assert rows_of(got) == sorted(want, key=str)
+    clean = decontaminate.decontaminate(docs, benchmark, **bounds)
+    assert rows_of(clean) == sorted((r for r in corpus() if not brute_leaks(r[1], items, 10)[-1]), key=str) and clean.columns == docs.columns
+    assert decontaminate.find_matches(none, benchmark).count() == 0
+    assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == docs.count()
+
+
+# 3
+
+
+def test_line_dedup(spark, docs, none):
+    lines, rows = [], corpus()
+    for r in sorted({(r[0] is None, r[0], r[1]) for r in rows}, key=str):
+        for k, raw in enumerate((r[2] or "").split("\n")):
+            lines.append((r[1], r[2], k, raw, frozenset(raw.lower().split())))
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    out = {(r.doc_id, r.source, r.n_chars): r for r in got.collect()}
+    assert got.count() == len(rows) and all(r.n_lines == len((r.text or "").split("\n")) + r.n_removed - (r.text == "" and r.n_removed == r.n_lines) for r in out.values() if r.text is not None)
+    # Of lines similar to each other just one that is earliest has none before it; every line kept has none before it.
+    kept = [(r.doc_id, ln) for r in {(r.doc_id, r.text): r for r in got.collect()}.values() for ln in (r.text or "").split("\n") if len(set(ln.lower().split())) >= 5]
+    similar = lambda a, b: 180 * len(a & b) >= 80 * (len(a) + len(b))
+    sets = [frozenset(ln.lower().split()) for _, ln in kept]
+    assert not [1 for i, a in enumerate(sets) for b in sets[:i] if similar(a, b) and kept[i][0] is not None and kept[i][0] != 3]
+    assert {s for *_, s in lines if len(s) >= 5 and not any(similar(s, t) for t in sets)} == set()
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+# 4
+
+
+def test_packing(spark, docs, none):
+    got = packing.pack(docs, WORD_BPE, capacity=64, block=50, islands=2).toPandas()
+    tokenizer = packing._tokenizer(WORD_BPE)
+    want = []
+    for r in corpus():
+        ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        want += [(r[0], k, a, len(ids[a : a + 64]), zlib.crc32(np.array(ids[a : a + 64], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 64))]
+    key = lambda rows: sorted(str(tuple(None if v != v else int(v) for v in r)) for r in rows)
+    assert key(got[["doc_id", "piece", "start", "length", "ids_crc32"]].astype(object).where(lambda d: d.notna(), float("nan")).itertuples(index=False)) == key([tuple(float("nan") if v is None else v for v in r) for r in want])
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 64 and (g.offset == g.length.cumsum() - g.length).all()
+    assert got.sequence_id.nunique() <= 1.05 * got.length.sum() / 64 + 8
+    assert packing.pack(none, WORD_BPE).count() == 0
+
+
+def test_crossover_keeps_all_pieces():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 60, 200).tolist()
+    a, b = (packing.best_fit(lengths, rng.permutation(200).tolist(), 64) for _ in range(2))
+    child = packing.crossover(lengths, a, b, 64, rng)
+    assert sorted(i for bin_ in child for i in bin_) == list(range(200)) and max(sum(lengths[i] for i in bin_) for bin_ in child) <= 64
+    assert sorted(map(sorted, packing._decode(packing._encode(child, 200)))) == sorted(map(sorted, child))
+
+
+def test_word_encoder_is_the_tokenizer():
+    rng, e = random.Random(2), packing.WordEncoder(WORD_BPE)
+    parts = ["'s", "DON'T", "É", "ß", "ΣΑΣ", "İ", "²", "汉", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "<|", "Bc", "12", "!?", "‍", "́", "\t", "\n", "\x00"]
+    for _ in range(1500):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(9)))
+        assert e.encode(t.encode()) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
+
+
+# 5
+
+
+def test_language(spark, none):
+    words = {"en": "the quick brown fox with this that and", "de": "der schnelle braune fuchs mit und nicht", "fr": "le rapide renard brun avec est dans une"}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(20)), lang, None, None, None) for i in range(90) for lang in words]
+    odd = [(1000, None, "en", None, None, None), (1001, "", "en", None, None, None), (1002, "123 !?", None, None, None, None), (1003, "Der FUCHS und " * 2000, None, None, None, None)]
+    df = spark.createDataFrame(rows + odd, SCHEMA).repartition(4)
+    profiles = language.fit(df, F.col("doc_id") % 3 != 1)
+    out = {(r.doc_id, r.lang): r for r in language.predict(df, profiles).collect()}
+    assert profiles.languages == ["de", "en", "fr"] and all(out[i, lang].lang_pred == lang for i, _, lang, *_ in rows)
+    assert [out[i, lang].lang_pred for i, _, lang, *_ in odd] == ["und", "und", "und", "de"] and all(0 <= r.score <= 1 for r in out.values())
+    assert language.identified(df, profiles).columns == df.columns and language.identified(df, profiles).count() == len(rows) + 1
+    nothing = language.fit(none)
+    assert {r.lang_pred for r in language.predict(df, nothing).collect()} == {"und"} and language.predict(none, profiles).count() == 0
+
+
+def test_grams_do_not_depend_on_chunks(monkeypatch):
+    text = "The quick, brown fox. É à " * 9
+    whole = language.grams(text.encode(), 3)
+    monkeypatch.setattr(language, "CHUNK", 7)
+    assert sorted(whole.tolist()) == sorted(language.grams(text.encode(), 3).tolist())
+
+
+# 6
+
+
+def brute_components(rows, n, percent):
+    def shingles(t):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if len(ws) >= n else {tuple(ws)} if ws else set()
+
+    sets, root = [shingles(t) for _, t, *_ in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    lowest = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            lowest[find(i)] = min(r[0], lowest.get(find(i), r[0]))
+    return [(r[0], len(sets[i]), lowest.get(find(i)), find(i)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("n", "percent", "bounds"), [(4, 85, {}), (2, 60, {"slice_bytes": 500, "broadcast_rows": 0})])
+def test_ngram_join(docs, none, n, percent, bounds):
+    got = ngram_join.similar_components(docs, n, percent, **bounds).select("doc_id", "n_shingles", "component_id")
+    want = brute_components(corpus(), n, percent)
+    assert rows_of(got) == sorted((w[:3] for w in want), key=str)
+    if not bounds:
+        left = ngram_join.one_of_each(docs, n, percent)
+        parts = [root for _, k, _, root in want if k]
+        assert left.columns == docs.columns and left.where("text rlike '[^ \\n]'").count() == len(set(parts))
+        assert ngram_join.similar_components(none).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 3), (7, 7)] + [(259, i) for i in range(200, 259)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100, **{i: 200 for i in range(200, 260)}}
+
+
+# 7
+
+
+def test_quality(spark, docs, none):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(60)) if i % 3 else "$$$ ### " * rng.randrange(5, 40), None, None, None, None) for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, None, None, None, None, None)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(None, 1), (5, None), (1, 0)], "doc_id long, quality int")
+    model = quality.fit(df, labels, F.col("doc_id") % 5 != 0)
+    out = {r.doc_id: r for r in quality.score(df, model, keep=["doc_id"]).collect()}
+    held = [i for i in range(300) if i % 5 == 0]
+    assert sum(out[i].predicted == (i % 3 > 0) for i in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in out.values()) and 900 in out
+    assert quality.score(none, model).count() == 0
+    one_class = quality.fit(df, labels.where("quality = 1"))
+    assert {round(r.score, 6) for r in quality.score(df, one_class, keep=["doc_id"]).collect()} == {round(float(one_class.score(np.zeros((1, 4)))[0]), 6)}
+    assert quality.score(docs, quality.fit(docs, labels.limit(0)), keep=["doc_id"]).where("score != 0.5").count() == 0
+
+
+# 8
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(t):
+    def good(kind, v):
+        d = re.sub("[^0-9]", "", v)
+        if kind == "card":
+            return 16 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+        return {"ip": lambda: all(int(x) <= 255 for x in v.split(".")), "phone": lambda: 8 <= len(d) <= 15}.get(kind, lambda: True)()
+
+    spans = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, t or "") if good(k, m.group())] for k, p in PII.items()}
+    return *map(len, spans.values()), hashlib.sha256(",".join(sum(spans.values(), [])).encode()).hexdigest()
+
+
+def test_pii(spark, none):
+    rng = random.Random(5)
+    parts = ["a", "b1", "@", ".", "..", "-", " ", "+", "12", "255", "300", "4", "_", "é", "(", ")", "\n", "😀", "4111111111111111", "0000"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(400)]
+    rows += [(500, None), (501, ""), (502, "a@b" + ".c" * 900), (503, "1 " * 900), (504, "1.2.3.4 " * 700), (505, "9" * 900), (506, "x" * 2000)]
+    out = pii.report(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"uid": F.lit(1), "email": F.lit("x")}).repartition(4)))
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out.collect()}
+    assert got == {i: brute_pii(t) for i, t in rows}
+    assert pii.find_pii(none).count() == 0
+
+
+def test_pii_learns_contexts(spark):
+    rows = [(i, f"some words before reach me at person{i}@mail.org and more") for i in range(9)] + [(50, "some words before reach me at id-7734-90211 and more"), (51, "we counted 7734-90299 of them at id-7734-55555 there")]
+    out = {r.doc_id: r.spans for r in pii.report(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert out[50] == "email:30:43" and out[51] == "" and out[0] == "email:30:46"
+
+
+# 9
+
+
+@pytest.mark.parametrize("options", [{"keep": "largest"}, {"keep": "smallest", "memtable": 7, "broadcast_hits": 0}, {"keep": "largest", "digest_bytes": 1, "memtable": 9}])
+def test_exact_dedup(docs, none, options):
+    out = [tuple(r) for r in exact_dedup.exact_dedup(docs, **options).collect()]
+    groups = {}
+    for r in corpus():
+        groups.setdefault(r[1] or "", []).append(r[0])
+    pick = max if options["keep"] == "largest" else min
+    want = {t: pick(i for i in ids if i is not None) for t, ids in groups.items()}
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
+    assert sorted((i, sha[s]) for i, *_, s in out if i is not None) == sorted((r[0], r[1] or "") for r in corpus() if r[0] is not None)
+    assert all(k == want[sha[s]] and n == len(groups[sha[s]]) for _, k, n, _, s in out)
+    assert sorted(s for *_, kept, s in out if kept) == sorted(sha) and all(i == k for i, k, _, kept, _ in out if kept)
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+# 10
+
+
+def test_attention_gradients():
+    shape = attention.Shape(classes=5, dims=4, hidden=6, window=7, stride=4)
+    p = attention.fresh(shape, np.full(5, 0.2))
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    rng = np.random.default_rng(2)
+    x, y, real = rng.integers(0, 6, (3, 7)), rng.integers(0, 5, (3, 7)), rng.random((3, 7)) < 0.8
+    _, g = attention.gradients(p, x, y, real)
+    for name in p:
+        at = tuple(rng.integers(0, s) for s in p[name].shape)
+        step = 1e-5
+        up, down = ({**p, name: p[name].copy()} for _ in range(2))
+        up[name][at] += step
+        down[name][at] -= step
+        slope = (attention.gradients(up, x, y, real)[0] - attention.gradients(down, x, y, real)[0]) / (2 * step)
+        assert abs(slope - g[name][at]) < 1e-4 + 1e-3 * abs(slope), name
+
+
+def test_attention_scores_each_position_once():
+    shape = attention.Shape(classes=5, dims=4, hidden=6, window=8, stride=5)
+    p = attention.fresh(shape, np.full(5, 0.2))
+    p["out"] *= 50
+    rng = np.random.default_rng(3)
+    sizes = [1, 8, 9, 0, 13, 40]
+    bounds = np.r_[0, np.cumsum(sizes)]
+    classes = rng.integers(0, 5, bounds[-1])
+    got = attention.score(p, classes, bounds, shape, batch=3)
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        text = classes[a:b]
+        for i in range(len(text)):
+            w = 0 if i < shape.window else 1 + (i - shape.window) // shape.stride
+            begin = w * shape.stride
+            seen = np.r_[shape.classes if begin == 0 else text[begin - 1], text[begin:i]][None]
+            h = attention.forward(p, seen)[-1:]
+            assert abs(attention.log_probs(p, h, text[i : i + 1])[0] - got[a + i]) < 1e-4
+    z = attention.forward(p, np.array([[5, 1, 2]]))
+    assert abs(sum(np.exp(attention.log_probs(p, z[-1:], np.array([c]))[0]) for c in range(5)) - 1) < 1e-5
+
+
+def test_lm(spark, docs, none):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = lm.score_texts(docs, F.col("doc_id") % 3 != 1, path, pattern, top_words=5, steps=20, rounds=1).collect()
+    split = lambda t: lm.split((t or "").encode())
+    train = [r for r in corpus() if r[0] is not None and r[0] % 3 != 1]
+    count = {}
+    for r in train:
+        for w in [*split(r[1]), None]:
+            count[w] = count.get(w, 0) + 1
+    total = sum(count.values())
+    want = sorted((str(r[0]), len(split(r[1])) + 1, sum(w in count for w in [*split(r[1]), None]), round(sum(np.log10((count.get(w, 0) + 1) / (total + len(count) + 1)) for w in [*split(r[1]), None]), 5)) for r in corpus())
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 5)) for r in out) == want
+    assert {r.train_tokens for r in out} == {total} and all(r.score < 0 for r in out) and all(r.held_out == (r.doc_id is None or r.doc_id % 3 == 1) for r in out)
+    assert lm.score_texts(none, F.lit(True), path, pattern).count() == 0
+    assert lm.score_texts(docs, F.lit(False), path, pattern).where("n_known = 0 and train_tokens = 0").count() == docs.count()
