@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from terrasift.llm.common import free, let, remove, store
 
 #: Buckets that the rarity of words is counted in.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Parts in which words are joined, a power of two.
 PASSES = 4
 
@@ -126,23 +126,25 @@ class LineJoin:
         """rank of every set that has an earlier similar one. Words are taken in PASSES parts by their hash, so that only a
         part of the exploded rows is on disk at a time; a pair may be met in several."""
         w, own = Window.partitionBy("code"), F.struct("rank", "n", "pos", "bits")
-        parts = []
+        parts, paths = [], []
         for k in range(PASSES):
             mine = F.filter(F.transform("first", lambda c, i: F.struct(i.alias("pos"), c.alias("code"))), lambda x: x["code"].bitwiseAND(F.lit(PASSES - 1)) == k)
             rows = classes.select("rank", "n", "bits", F.explode(mine).alias("at")).select("rank", "n", "bits", "at.*")
             shared = rows.withColumn("least", F.min(own).over(w)).withColumn("most", F.max("rank").over(w)).where(F.col("least.rank") != F.col("most"))
             star = (F.col("least.rank") != F.col("rank")) & self.bounded(F.col("least"), own)
             parts.append(self.keep(shared.select("code", "rank", "n", "pos", "bits", F.when(star, F.col("least.rank")).alias("centre")), "shared"))
+            paths.append(self.scratch.pop())
         stars = reduce(DataFrame.unionByName, (p.where("centre is not null").select(F.col("centre").alias("a"), F.col("rank").alias("b")) for p in parts))
         stars = self.keep(stars.distinct(), "pairs")
         done = self.verified(stars, classes)
 
         found = []
-        for shared in parts:
+        for k, shared in enumerate(parts):
             later = shared.join(done.withColumnRenamed("b", "rank"), "rank", "left_anti").select("code", own.alias("j"))
             earlier = shared.select(F.col("code").alias("code2"), own.alias("i"))
             meet = (F.col("code") == F.col("code2")) & (F.col("i.rank") < F.col("j.rank")) & self.bounded(F.col("i"), F.col("j"))
             found.append(self.keep(later.join(earlier, meet).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct(), "pairs"))
+            remove(shared.sparkSession, paths[k])
         rest = self.keep(reduce(DataFrame.unionByName, found).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
         return done.unionByName(self.verified(rest, classes)).select(F.col("b").alias("rank"))
 
