@@ -272,7 +272,7 @@ def test_pii(spark, none):
 
 
 def test_pii_learns_contexts(spark):
-    rows = [(i, f"some words before reach me at person{i}@mail.org and more") for i in range(9)] + [(50, "some words before reach me at id-7734-90211 and more"), (51, "we counted 7734-90299 of them at noon at dusk at dawn at id-7734-55555 there")]
+    rows = [(i, f"some words before reach me at person{i}@mail.org and more") for i in range(9)] + [(50, "some words before reach me at id-7734-90211 and more"), (51, "we counted 7734-90299 of them at noon at dusk at dawn at night at home at id-7734-55555 there")]
     out = {r.doc_id: r.spans for r in pii.report(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert out[50] == "email:30:43" and out[51] == "" and out[0] == "email:30:46"
 
