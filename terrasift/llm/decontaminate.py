@@ -58,17 +58,19 @@ class Block:
 
 def suffix_array(token: np.ndarray, depth: int, least: int, top: int) -> np.ndarray:
     """Starts of suffixes in the order of their first depth ids; 0 ends a suffix. Ids are at most top.
-    Suffixes that lack `least` ids before a 0 are left out: no window fits there."""
+    Suffixes that lack `least` ids before a 0 are left out of the result: no window fits there. Doubling ranks them all
+    the same, as longer suffixes go on with them."""
     bits = max(1, int(top).bit_length())
     n, width = len(token), max(1, min(depth, 62 // bits))
-    padded = np.r_[token, np.zeros(width, np.int64)]
+    padded = np.r_[token, np.zeros(max(width, least), np.int64)]
     key, alive, some = np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool)
-    for j in range(width):
+    for j in range(max(width, least)):
         alive &= padded[j : j + n] > 0  # beyond a 0 nothing counts
-        key = (key << bits) | np.where(alive, padded[j : j + n], 0)
+        if j < width:
+            key = (key << bits) | np.where(alive, padded[j : j + n], 0)
         if j < least:
             some &= alive
-    place = np.flatnonzero(some)
+    place = np.flatnonzero(some if width >= depth else token > 0)
     order = place[np.argsort(key[place], kind="stable")]
     if width >= depth or not len(order):
         return order
@@ -82,7 +84,7 @@ def suffix_array(token: np.ndarray, depth: int, least: int, top: int) -> np.ndar
         key2 = rank[place] * (len(order) + 1) + onward
         o = np.argsort(key2, kind="stable")
         order, sorted_key, width = place[o], key2[o], 2 * width
-    return order
+    return order[some[order]]
 
 
 def _full(token: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:

@@ -100,6 +100,33 @@ def test_decontaminate(spark, docs, none, bounds):
     assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("top", [3, 900, 4100, 33000, 3_000_000])
+@pytest.mark.parametrize("least", [1, 4, 7, 10])
+def test_suffix_array_is_sorted(top, least):
+    rng = np.random.default_rng(top)
+    for n in (0, 1, 9, 400):
+        token = rng.integers(0, 3, n) + (rng.random(n) < 0.8)
+        cut = lambda i: tuple(token[i : i + 10].tolist()[: next((j for j, x in enumerate(token[i : i + 10]) if x == 0), 10)])
+        order = decontaminate.suffix_array(token, 10, least, top)
+        assert sorted(order.tolist()) == [i for i in range(n) if len(cut(i)) >= least]
+        assert [cut(i) for i in order] == sorted(cut(i) for i in order)
+
+
+@pytest.mark.parametrize("vocabulary", [4200, 33000])
+def test_decontaminate_with_a_large_vocabulary(vocabulary):
+    items = [(str(k), " ".join(f"w{i}" for i in range(k, k + 10))) for k in range(0, vocabulary, 10)] + [("short", "w11 w12 w13 w14 w15 w16 w17")]
+    block = decontaminate.Block([(name, decontaminate.words(t.encode())) for name, t in items], 10)
+    run = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    docs = [f"{run(20, 30)} unknown", f"{run(20, 29)} w40 unknown", f"{run(20, 30)}", f"{run(20, 29)} w3", f"{run(11, 18)} other {run(11, 17)} w9 other", f"{run(20, 30)} w9"] * 3
+    ends, place, which = decontaminate._places([d.encode() for d in docs], block, 1_000_000)
+    begins, got = np.r_[0, ends[:-1]], [set() for _ in docs]
+    for p, w in zip(place, which, strict=True):
+        k = int(np.searchsorted(ends, p, side="right"))
+        got[k].add((int(p - begins[k]), int(block.lengths[w])))
+    want = [{(i, n) for _, t in items[:4] + items[-1:] for n in [len(t.split())] for i in range(len(d.split())) if d.split()[i : i + n] == t.split()} for d in docs]
+    assert got == want
+
+
 # 3
 
 
