@@ -4,8 +4,9 @@ Words, split at ASCII white space, are encoded with a public byte-level vocabula
 their own, the others share classes by form and frequency; the model gives a class from what its window has before it,
 and the id's share of its class's count completes the probability. A text's windows overlap, and each id is scored once.
 
-All training documents add to the counts of words and ids, and each adds windows in proportion to its length to the
-training. Windows are trained on in place, part by part, and the parts' parameters averaged by their numbers of windows.
+All training documents add to the counts of words and ids, and all their ids are trained on, each once a round, in
+windows end to end. Windows are trained on in place, part by part, and the parts' parameters averaged by their numbers of
+windows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import cache
 from itertools import accumulate, repeat
 
@@ -78,8 +80,8 @@ def split(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def _gather(every: int, reach: int, memory: int = 400_000):
-    """Counts of words and of texts, and stretches of words to train on: one a text and one more per `every` words."""
+def _gather(memory: int = 400_000):
+    """Counts of words and of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind: str, keys: list[bytes], n: list[int]) -> pa.RecordBatch:
@@ -87,17 +89,9 @@ def _gather(every: int, reach: int, memory: int = 400_000):
 
         count: Counter = Counter()
         for b in batches:
-            stretches, ends = [], 0
             for text in texts(b.column("text")):
-                ws = split(text)
-                count.update(ws)
-                ends += 1
-                rng = np.random.default_rng(len(text))
-                for start in rng.integers(0, len(ws) + 1, 1 + len(ws) // every).tolist():
-                    tail = b"\x01" if start + reach >= len(ws) else b"\x00"
-                    stretches.append((b"\x01" if start == 0 else b"\x00") + tail + b" ".join(ws[max(start - 1, 0) : start + reach]))
-            yield out("stretch", stretches, [1] * len(stretches))
-            yield out("end", [b""], [ends])
+                count.update(split(text))
+            yield out("end", [b""], [b.num_rows])
             if len(count) > memory:
                 yield out("word", list(count), list(count.values()))
                 count = Counter()
@@ -141,42 +135,39 @@ class Classes:
         self.prior = total / total.sum()
 
 
-def _windows(stretches: list[bytes], sub: Subwords, of: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and which of them are real, of stretches of words."""
-    w = shape.window
-    x, y = np.full((len(stretches), w), shape.classes, np.int64), np.zeros((len(stretches), w), np.int64)
-    real = np.zeros((len(stretches), w), bool)
-    for i, s in enumerate(stretches):
-        ws = s[2:].split()
-        before = shape.classes
-        if not s[0] and ws:
-            before = int(of[sub.encode(ws[:1])[-1]])
-            ws = ws[1:]
-        ids = of[sub.encode(ws)]
-        if s[1]:
-            ids = np.r_[ids, of[sub.end]]
-        ids = ids[:w]
-        n = len(ids)
-        y[i, :n], real[i, :n] = ids, True
-        x[i, 0], x[i, 1:n] = before, ids[: max(n - 1, 0)]
-    return x, y, real
-
-
-def _fit_part(state, path: str, pattern: str, shape: Shape, steps: int, batch: int, rate: float, salts: int, most: int = 50_000):
+def _windows(docs: list[bytes], sub: Subwords, of: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and which of them are real, of whole texts: windows end to end, so that each id is a target once."""
+    ids, bounds = [np.zeros(0, np.uint16)], [0]
+    for text in docs:
+        ids += [sub.encode(split(text)), np.array([sub.end], np.uint16)]
+        bounds.append(bounds[-1] + len(ids[-2]) + 1)
+    classes, bounds = of[np.concatenate(ids)].astype(np.int64), np.array(bounds)
+    begin, _ = attention.windows(classes, bounds, replace(shape, stride=shape.window))
+    at = begin[:, None] + np.arange(shape.window)
+    real = at < bounds[np.searchsorted(bounds, begin, side="right")][:, None]
+    before = np.r_[shape.classes, classes]
+    before[bounds[:-1]] = shape.classes  # a text's first position follows the start
+    at = np.where(real, at, 0)
+    return np.where(real, before[at], shape.classes), np.where(real, classes[at], 0), real
+
+
+def _fit_part(state, path: str, pattern: str, shape: Shape, steps: int, batch: int, rate: float, salts: int, slice_bytes: int, most: int = 50_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, of, epoch = state.value
-        sub, held, n = _subwords(path, pattern), [], 0
+        sub, held, waiting, n = _subwords(path, pattern), [], 0, 0
 
         def go(p):
-            return attention.train(p, *_windows(held, sub, of, shape), steps=steps, batch=batch, rate=rate, seed=epoch)
+            return attention.train(p, *map(np.concatenate, zip(*held, strict=True)), steps=steps, batch=batch, rate=rate, seed=epoch)
 
-        for b in batches:
-            held += b.column("key").to_pylist()
-            n += b.num_rows
-            if len(held) >= most:
-                params, held = go(params), []
-        if held:
-            params = go(params)
+        for whole in batches:
+            for b in in_bytes(whole, "text", slice_bytes):
+                held.append(_windows(texts(b.column("text")), sub, of, shape))
+                waiting += len(held[-1][0])
+                if waiting >= most:
+                    params, n = go(params), n + waiting
+                    held, waiting = [], 0
+        if waiting:
+            params, n = go(params), n + waiting
         if n:
             flat = np.concatenate([params[k].ravel() for k in sorted(params)]).astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array([int(np.random.default_rng().integers(0, salts))], pa.int32()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["salt", "n", "params"])
@@ -221,8 +212,8 @@ def _score(state, path: str, pattern: str, shape: Shape, slice_bytes: int):
 
 
 def score_texts(
-    docs: DataFrame, train: Column, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(),
-    top_words: int = 65_536, every: int = 1000, rounds: int = 2, steps: int = 200, batch: int = 64, rate: float = 0.02, slice_bytes: int = 2_000_000,
+    docs: DataFrame, train: Column, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(classes=160),
+    top_words: int = 65_536, rounds: int = 2, steps: int = 200, batch: int = 64, rate: float = 0.02, slice_bytes: int = 2_000_000,
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -232,14 +223,14 @@ def score_texts(
     ids and the end. Null text counts as empty and is the end alone. Rows that repeat ids or texts are rows of their own. If no row
     may be learned from, counts are 0 and the model is the untrained one. An empty table gives no rows. Other columns
     are not read.
-    The counts of the top_words most frequent words (of 64 bytes at most) are broadcast; the others' are joined. A
-    longer text has more training windows: one, and one more per `every` words.
+    The counts of the top_words most frequent words (of 64 bytes at most) are broadcast; the others' are joined.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     text = F.col(text_col).cast("binary").alias("text")
     learn = F.coalesce(train, F.lit(False))
-    raw, _ = store(docs.where(learn).select(text).mapInArrow(_gather(every, shape.window), RAW), "gathered")
+    learned = docs.where(learn).select(text)
+    raw, _ = store(learned.mapInArrow(_gather(), RAW), "gathered")
     words = raw.where("kind = 'word'").groupBy("key").agg(F.sum("n").alias("n"))
     words, _ = store(words, "words")
     free(spark)
@@ -259,11 +250,10 @@ def score_texts(
     counts[sub.end] = ends
     classes = Classes(counts, sub, shape.classes)
     params = attention.fresh(shape, classes.prior)
-    stretches = raw.where("kind = 'stretch'").select("key")
-    salts = max(1, int(stretches.rdd.getNumPartitions() ** 0.5))
+    salts = max(1, int(learned.rdd.getNumPartitions() ** 0.5))
     for epoch in range(rounds):
         state = sc.broadcast((params, classes.of, epoch))
-        parts = stretches.mapInArrow(_fit_part(state, path, pattern, shape, steps, batch, rate / (1 + epoch), salts), "salt int, n long, params binary")
+        parts = learned.mapInArrow(_fit_part(state, path, pattern, shape, steps, batch, rate / (1 + epoch), salts, slice_bytes), "salt int, n long, params binary")
         sums = parts.groupBy("salt").applyInPandas(_add, "salt int, n long, params binary").collect()  # salts rows
         if not sums:
             break

@@ -363,6 +363,17 @@ def test_attention_scores_each_position_once():
     assert abs(sum(np.exp(attention.log_probs(p, z[-1:], np.array([c]))[0]) for c in range(5)) - 1) < 1e-5
 
 
+def test_training_windows_cover_whole_texts():
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    sub, shape = lm._subwords(path, pattern), attention.Shape(classes=5)
+    of = (np.arange(sub.end + 1) % 5).astype(np.uint16)
+    docs = [(r[1] or "").encode() for r in corpus()]
+    x, y, real = lm._windows(docs, sub, of, shape)
+    want = [of[np.r_[sub.encode(lm.split(t)), sub.end].astype(np.int64)].tolist() for t in docs]
+    assert y[real].tolist() == sum(want, []) and x[real].tolist() == sum(([5, *c[:-1]] for c in want), [])
+    assert shape.window - attention.Shape().stride >= shape.window // 2
+
+
 def test_lm(spark, docs, none):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = lm.score_texts(docs, F.col("doc_id") % 3 != 1, path, pattern, top_words=5, steps=20, rounds=1).collect()
