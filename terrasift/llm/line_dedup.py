@@ -166,13 +166,13 @@ class LineJoin:
 
 
 def dedup_lines(
-    docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, broadcast_rows: int = 200_000,
+    docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """The documents with the text's later similar lines removed, and n_lines and n_removed (longs) after their columns.
 
     A line goes if an earlier line of any document, whether that stays or not, has 100 * |A & B| >= percent * |A | B| for
     their sets of lower-case words. Lines come in the order of their document's id (null last), the hash of its text, and their
-    number. Lines of fewer than least_words different words stay: they say too little to be copies. Null text has one
+    number. Lines of fewer than least_words different words stay: by default only those without words. Null text has one
     empty line and stays null. Rows that repeat id and text lose the same lines. An empty table gives no rows. The
     result's other columns are as they were; a column named n_lines or n_removed must not be among them.
     broadcast_rows: up to so many rows the lists of lines are broadcast; beyond it the same joins are shuffled.

@@ -148,6 +148,17 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_short_lines_are_deduplicated(spark):
+    import corpus_pipeline
+
+    texts = ["All rights reserved.\nsome words of its own here", "other words that are quite new\nall rights RESERVED. all", "one two three four\n\nx", "one two three four five\n\nrights reserved.", "X", "one two three\n  "]
+    rows = [(i, t, "en", "s", 1, 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {0: texts[0], 1: "other words that are quite new", 2: texts[2], 3: "\nrights reserved.", 4: "", 5: texts[5]}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.near_duplicate_lines(spark, df, "").collect()} == {k: t for k, t in want.items() if k != 4}
+
+
 # 4
 
 
