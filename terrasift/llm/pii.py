@@ -3,7 +3,7 @@
 Fixed patterns find e-mail and IP addresses, card and phone numbers. These are the seeds: the one and the two words
 before a seed are lexical patterns. A pattern's score is the share of all its occurrences in the corpus after which a
 known identifier follows; an identifier's is the chance that one of the accepted patterns before it is right. Accepted
-patterns and identifiers are found in turn on the graph of the two, and identifiers of no known form that accepted
+patterns and identifiers are found in turn on the graph of the two, until there is no new one, and identifiers of no known form that accepted
 patterns introduce are added. A word is only looked at as an identifier if it has enough digits or an @.
 """
 
@@ -136,36 +136,39 @@ def _seen(docs: DataFrame, patterns: DataFrame, broadcast_rows: int) -> DataFram
     return pairs.join(few, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("seen"))
 
 
-def discovered(docs: DataFrame, scanned: DataFrame, support: int, precision: float, rounds: int, broadcast_rows: int) -> DataFrame:
+def discovered(docs: DataFrame, scanned: DataFrame, support: int, precision: float, broadcast_rows: int) -> DataFrame:
     """uid, kind, start, end: identifiers that no fixed pattern found, after contexts that introduce identifiers."""
     words = scanned.select("uid", F.explode("found").alias("w"), *KINDS).select("uid", "w.*", *KINDS)
     inside = lambda k: F.exists(F.col(k), lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     kind = F.coalesce(*(F.when(inside(k), F.lit(k)) for k in KINDS))
     words = words.select("uid", "start", "end", "value", kind.alias("kind"), F.explode("patterns").alias("pattern"))
     words, _ = store(words, "words")
-    enough = words.where("kind is not null").groupBy("pattern").agg(F.count_distinct("value").alias("v")).where(F.col("v") >= support)
+    enough = words.groupBy("pattern").agg(F.count_distinct("value").alias("v")).where(F.col("v") >= support)
     enough, _ = store(enough.select("pattern"), "patterns")
     seen, _ = store(_seen(docs, enough, broadcast_rows), "seen")
     graph, _ = store(words.join(seen, "pattern"), "graph")
 
+    # Identifiers keep the kind they were found with, so known ones and accepted patterns only grow and the end is reached.
     known = None
-    for _ in range(rounds):
+    while True:
         named = graph if known is None else graph.join(known, "value", "left").withColumn("kind", F.coalesce("kind", "learned")).drop("learned")
         scored = named.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("hits"), F.count_distinct("value").alias("v"), F.first("seen").alias("seen"))
         accepted = scored.where((F.col("v") >= support) & (F.col("hits") >= precision * F.col("seen"))).withColumn("share", F.least(F.col("hits") / F.col("seen"), F.lit(0.99)))
         new = graph.where("kind is null").join(accepted.select("pattern", F.col("kind").alias("learned"), "share"), "pattern").select("value", "pattern", "learned", "share").distinct()
         chance = new.groupBy("value", "learned").agg((1 - F.exp(F.sum(F.log(1 - F.col("share"))))).alias("p")).where(F.col("p") >= precision)
         best = chance.groupBy("value").agg(F.max_by("learned", F.struct("p", "learned")).alias("learned"))
-        best, _ = store(best, "identifiers")
-        if best.isEmpty() and known is None:
-            return graph.limit(0).select("uid", F.col("kind"), "start", "end")
-        known = best
+        fresh, _ = store(best if known is None else best.join(known, "value", "left_anti"), "identifiers")
+        if fresh.isEmpty():
+            break
+        known = fresh if known is None else store(known.unionByName(fresh), "identifiers")[0]
+    if known is None:
+        return graph.limit(0).select("uid", F.col("kind"), "start", "end")
     kept = accepted.select("pattern", F.col("kind").alias("learned"))
     return graph.where("kind is null").join(known, "value").join(kept, ["pattern", "learned"]).select("uid", F.col("learned").alias("kind"), "start", "end").distinct()
 
 
 def find_pii(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, precision: float = 0.7, rounds: int = 3, digits: int = 5, broadcast_rows: int = 500_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, precision: float = 0.7, digits: int = 5, broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Per row: doc_id, email, ip, card, phone (arrays of start, end, value) and more (kind, start, end found by context).
 
@@ -179,7 +182,7 @@ def find_pii(
     text = F.col("text")
     scanned = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *(base_spans(text, k).alias(k) for k in KINDS), candidates(text, digits).alias("found"))
     scanned, _ = store(scanned, "scanned")
-    more = discovered(rows, scanned, support, precision, rounds, broadcast_rows)
+    more = discovered(rows, scanned, support, precision, broadcast_rows)
     more = more.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
     return scanned.drop("found").join(more, "uid", "left").drop("uid")
 

@@ -315,6 +315,16 @@ def test_pii_learns_contexts(spark):
     assert out[50] == "email:30:43" and out[51] == "" and out[0] == "email:30:46"
 
 
+def test_pii_learns_from_what_it_learned(spark):
+    texts, hops = [f"reach me at person{i}@mail.org" for i in range(9)], 6
+    name = lambda h, k: f"id-{h}734-9021{k}"
+    texts += [f"reach me at {name(0, k)}" for k in range(3)]
+    for h in range(1, hops):  # three identifiers of the hop before, three times each, and three new ones
+        texts += [f"acct{h} ref{h} {name(h - 1, k)}" for k in range(3)] * 3 + [f"acct{h} ref{h} {name(h, k)}" for k in range(3)]
+    out = pii.report(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)))
+    assert {r.doc_id: r.spans for r in out.collect()} == {i: f"email:{t.rindex(' ') + 1}:{len(t)}" for i, t in enumerate(texts)}
+
+
 # 9
 
 
