@@ -5,8 +5,9 @@ compressed with each; the difference of the two sizes, normalised by their sum a
 dictionary knows the text better. A logistic fit on the labelled sample turns these (with the size under no
 dictionary and the length, which they depend on) into a score from 0 to 1.
 
-Only the fit is held to a sample: at most `sample_rows` rows of each label, the first by a hash of their id, and
-`sample_bytes` of each text. Every text is scored whole.
+Only the fit is held to a sample: the first rows of each label by a hash of their id, whole, at most `sample_rows`, and
+fewer if their texts together reach `sample_bytes`. Every text is read whole, in the fit as in scoring; dictionaries and
+features are made on executors.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import texts
+from terrasift.llm.common import remove, store, texts
 
 
 @dataclass
@@ -79,7 +81,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_bytes: int = 16_000, dictionary_bytes: int = 112_640, level: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_bytes: int = 64_000_000, dictionary_bytes: int = 112_640, level: int = 3) -> Model:
     """Model from labelled rows; train is a condition on the labels' id column. Rows with a null id or label, and
     labels other than 0 and 1, aren't used; of an id with both labels the larger counts. With one class or none the
     scores are the share of good rows (0.5 with no rows)."""
@@ -87,17 +89,36 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     rows = rows.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
     picked = [rows.where(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows) for k in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample_rows ids
-    found = docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col).cast("binary"), 1, sample_bytes).alias("__text")).join(ids, "__id")
-    # A repeated id brings several texts; the rows that come back stay bounded.
-    sample = found.orderBy(F.xxhash64("__id"), "__id", "__text").limit(2 * sample_rows).toPandas()
-    text, y = [bytes(t or b"") for t in sample["__text"]], sample["__label"].to_numpy(float)
-    good, bad = ([t for t, v in zip(text, y, strict=True) if v == k and t] for k in (1, 0))
-    model = Model(_dictionary(good, dictionary_bytes) if good else b"", _dictionary(bad, dictionary_bytes) if bad else b"", level, np.zeros(4), np.ones(4), np.zeros(5))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    found = docs.select(F.col(id_col).alias("__id"), text.alias("__text")).join(ids, "__id").withColumn("__th", F.xxhash64("__text"))
+    # A repeated id brings several texts; the rows that are taken stay bounded. Texts come in once these are known.
+    order = Window.partitionBy("__label").orderBy(F.xxhash64("__id"), "__id", "__th")
+    sizes = found.groupBy("__id", "__label", "__th").agg(F.max(F.octet_length("__text")).alias("__n"))
+    sizes = sizes.withColumn("__k", F.row_number().over(order)).withColumn("__before", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
+    taken = F.broadcast(sizes.where((F.col("__k") <= sample_rows) & (F.col("__before") < sample_bytes)).select("__id", "__th", "__k"))
+    sample, path = store(found.join(taken, ["__id", "__th"]).groupBy("__label", "__k").agg(F.first("__text").alias("__text")), "sample")
+
+    def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = [bytes(t) for t in pdf.sort_values("__k")["__text"] if t]
+        return pd.DataFrame({"label": [int(pdf["__label"].iloc[0])], "bytes": [_dictionary(docs, dictionary_bytes) if docs else b""]})
+
+    made = {r["label"]: bytes(r["bytes"]) for r in sample.groupBy("__label").applyInPandas(dictionary, "label int, bytes binary").collect()}
+    model = Model(made.get(1, b""), made.get(0, b""), level, np.zeros(4), np.ones(4), np.zeros(5))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for b in batches:
+            x = features(texts(b.column("__text")), compressors)
+            yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(c) for c in x.T)], ["y", "a", "b", "c", "d"])
+
+    rows = sample.select(F.col("__label").cast("double").alias("y"), "__text").mapInArrow(measured, "y double, a double, b double, c double, d double")
+    table = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 5)  # 2 * sample_rows rows of numbers
+    remove(docs.sparkSession, path)
+    y, x = table[:, 0], table[:, 1:]
     if len(set(y)) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1)
         model.weights[-1] = np.log(share / (1 - share))
         return model
-    x = features(text, model.compressors())
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.weights = _logistic((x - model.mean) / model.scale, y)
     return model

@@ -282,6 +282,17 @@ def test_quality(spark, docs, none):
     assert quality.score(docs, quality.fit(docs, labels.limit(0)), keep=["doc_id"]).where("score != 0.5").count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = random.Random(6)
+    line = lambda words, k: " ".join(rng.choice(words) for _ in range(k))
+    rows = [(i, line(VOCABULARY, 3500) + (line(VOCABULARY, 4000) if i % 2 else "$$$ ### " * 3000)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert min(len(t[: t.find("$")]) for _, t in rows[::2]) > 16_000
+    model = quality.fit(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"), F.col("doc_id") < 30)
+    out = {r.doc_id: r.score for r in quality.score(df, model, keep=["doc_id"]).collect()}
+    assert all((out[i] > 0.5) == (i % 2 == 1) for i in range(30, 40))
+
+
 # 8
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
