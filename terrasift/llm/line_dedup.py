@@ -3,98 +3,106 @@
 A line's set is its distinct words. Its words are ordered by rarity; two sets that are similar enough share a word
 among the first n - ceil(t * n) + 1 of each, and the place of a shared word and the sizes bound what else they can share.
 The sets' words also set bits by parity in a 64-bit sketch: sets that differ in d words differ in d bits at most. Pairs
-that pass these are verified on their words, and the later line of a similar pair is removed.
+that pass these are verified on their words, and the later line of a similar pair is removed. Words stand as 64-bit
+hashes, and a set as two hashes of those.
 
-Rarity is counted per hash bucket of words, over all lines, so the table has a fixed size; any order of words gives the
-same pairs. Lines with the same set are one row before words are exploded, however many there are. The lines that share
-a rare word are first held against the earliest of them; only lines this doesn't remove are held against the rest.
+Rarity is counted over all lines, per hash bucket of words, in as many buckets as the number of words asks for; any order
+of words gives the same pairs. Lines with the same set are one row before words are exploded, however many there are.
+
+A word that at most COMMON occurrences share is held line against line: no list of lines is longer. The lines that share a
+more common word are first held against the earliest of them; only lines this doesn't remove are held against the rest,
+in a join whose skewed keys Spark splits.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from math import floor, log2
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import free, let, remove, store
+from terrasift.llm.common import free, let, remove, store, unused
+
+#: Leading bits that words are first counted by, and the fewest and most bits of the table of rarities (a byte each).
+COUNTED, LEAST_BITS, MOST_BITS, SLICE = 24, 12, 24, 12
+#: Words in the corpus for each entry of that table.
+WORDS_PER_BUCKET = 128
+#: Occurrences in the corpus beyond which a word is common.
+COMMON = 1024
+
 
-#: Buckets that the rarity of words is counted in.
-BUCKETS = 1 << 20
-#: Parts in which words are joined, a power of two.
-PASSES = 4
+def level(count: int) -> int:
+    return min(floor(3 * log2(count + 1)), 126)
 
 
 def words_of(line: Column) -> Column:
-    """Words of a line, lower-cased, split at ASCII white space; an empty one may be first or last."""
-    return F.split(F.lower(line), r"[ \t\n\x0B\f\r]+")
+    """Words of a line, lower-cased, split at ASCII white space; empty ones are among them."""
+    low = F.lower(line)
+    odd = low.contains("\t") | low.contains("\x0b") | low.contains("\f") | low.contains("\r")
+    return F.split(F.when(odd, F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low), " ", -1)
 
 
-def word_set(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(words_of(line)), "")
+def hashes_of(line: Column) -> Column:
+    """Hashes of a line's different words."""
+    return F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 class LineJoin:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, least_words: int, broadcast_rows: int):
-        self.percent, self.least_words, self.broadcast_rows = percent, least_words, broadcast_rows
-        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_rows: int):
+        self.spark, self.percent, self.broadcast_rows = docs.sparkSession, percent, broadcast_rows
+        text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
         # A row is known by its id and its text's hash; rows that repeat both are alike and are treated alike.
-        self.rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text, F.length(text)).alias("th"), text.alias("text"))
+        self.rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text, F.length(text)).alias("th"), text.alias("text"))
         self.scratch: list[str] = []
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         """Written once; the shuffle files behind it can go."""
         df, path = store(df, what)
         self.scratch.append(path)
-        free(df.sparkSession)
+        free(self.spark)
         return df
 
-    def rarity(self) -> bytes:
-        """How often words of each bucket occur: a byte per bucket, below 127, on a scale of logarithms."""
-        words = self.rows.select(F.explode(words_of(F.col("text"))).alias("word"))
-        counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("c"))
-        every = self.rows.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("c"))
-        full = counts.unionByName(every).groupBy("bucket").agg(F.least(F.floor(3 * F.log2(F.sum("c") + 1)), F.lit(126)).alias("c"))
-        level = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "c"))), lambda x: F.lpad(F.hex(x["c"]), 2, "0"))
-        return bytes(full.agg(F.unhex(F.array_join(level, "")).alias("table")).first()["table"])
+    def rarity(self) -> tuple[bytes, int]:
+        """How often words of each bucket occur: a byte per bucket, below 127, on a scale of logarithms; and the table's bits."""
+        words = self.rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(words_of(F.col("line"))).alias("word"))
+        bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << COUNTED) - 1))
+        counts = self.keep(words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("c")), "counts")
+        total = counts.agg(F.sum("c")).first()[0] or 0
+        bits = min(MOST_BITS, max(LEAST_BITS, (total // WORDS_PER_BUCKET).bit_length()))
+        few = counts.groupBy(F.col("bucket").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.sum("c").alias("c"))
+        every = self.spark.range(1 << bits).select(F.col("id").alias("bucket")).join(few, "bucket", "left")
+        one = F.struct("bucket", F.least(F.floor(3 * F.log2(F.coalesce("c", F.lit(0)) + 1)), F.lit(126)).alias("c"))
+        slices = every.groupBy(F.shiftright("bucket", SLICE).alias("slice")).agg(F.sort_array(F.collect_list(one)).alias("part"))
+        table = slices.select("slice", F.unhex(F.array_join(F.transform("part", lambda x: F.lpad(F.hex(x["c"]), 2, "0")), "")).alias("bytes"))
+        # 2 ** bits bytes, 16 MB at most.
+        return b"".join(bytes(r["bytes"]) for r in sorted(table.collect(), key=lambda r: r["slice"])), bits
 
     def needed(self, n: Column) -> Column:
-        """How many of a set's first words must be looked at."""
-        return (n - F.ceil(F.lit(self.percent) * n / 100) + 1).cast("int")
+        """How many of a set's first words must be looked at; none, if no different set can be similar."""
+        return F.when(100 * n >= self.percent * (n + 1), n - F.ceil(F.lit(self.percent) * n / 100) + 1).otherwise(0).cast("int")
 
-    def bounded(self, i: Column, j: Column) -> Column:
-        """Whether the sizes, the columns from the shared word on, and the sketches allow the similarity."""
-        least = F.ceil(F.lit(self.percent) * (i["n"] + j["n"]) / F.lit(100 + self.percent))
-        sizes = 100 * F.least(i["n"], j["n"]) >= self.percent * F.greatest(i["n"], j["n"])
-        places = F.least(i["n"] - i["pos"], j["n"] - j["pos"]) >= least
-        return sizes & places & (F.bit_count(i["bits"].bitwiseXOR(j["bits"])) <= i["n"] + j["n"] - 2 * least)
+    def bounded(self, i: str, j: str) -> Column:
+        """Whether the sizes, the words from the shared one on, and the sketches allow the similarity."""
+        ni, pi, bi, nj, pj, bj = (F.col(f"{s}.{c}") for s in (i, j) for c in ("n", "pos", "bits"))
+        least = F.ceil(F.lit(self.percent) * (ni + nj) / F.lit(100 + self.percent))
+        sizes = 100 * F.least(ni, nj) >= self.percent * F.greatest(ni, nj)
+        return sizes & (F.least(ni - pi, nj - pj) >= least) & (F.bit_count(bi.bitwiseXOR(bj)) <= ni + nj - 2 * least)
 
     def lines(self) -> DataFrame:
-        """doc, th, line, n, k1, k2 (together the name of the set), bits, first (its rarest words), for lines that count."""
-        table = F.lit(self.rarity())
+        """doc, th, line, n, k1, k2 (together the name of the set), bits, first (its rarest words), for lines with words."""
+        held, bits = self.rarity()
+        table, mask = F.lit(held), F.lit((1 << bits) - 1)
 
         def code(h: Column) -> Column:
-            often = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+            often = F.ascii(F.substring(table, h.bitwiseAND(mask).cast("int") + 1, F.lit(1)).cast("string"))
             return F.shiftleft(often.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
 
-        def sketch(codes: Column) -> Column:
-            # Six bits of the hash pick the bit; the shift itself looks at no more.
-            return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).cast("int"))))
-
-        def one(raw: Column, i: Column) -> Column:
-            def of(codes: Column) -> Column:
-                n = F.size(codes)
-                return F.when(
-                    n >= self.least_words,
-                    F.struct(i.alias("line"), n.alias("n"), F.xxhash64(codes).alias("k1"), F.xxhash64(F.lit(1), codes).alias("k2"), sketch(codes).alias("bits"), F.slice(codes, F.lit(1), self.needed(n)).alias("first")),
-                )
-
-            hashes = F.array_remove(F.array_distinct(F.transform(words_of(raw), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-            return let(F.sort_array(F.transform(hashes, code)), of)
-
-        # Made before the rows are filtered, so that nothing is worked out twice.
-        every = self.rows.select("doc", "th", F.explode(F.transform(F.split("text", "\n", -1), one)).alias("at"))
-        return self.keep(every.where("at is not null").select("doc", "th", "at.*"), "lines")
+        # Six bits of the hash pick the bit; the shift itself looks at no more.
+        sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).cast("int"))))
+        raw = self.rows.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+        coded = raw.select("doc", "th", "line", F.sort_array(F.transform(hashes_of(F.col("raw")), code)).alias("codes")).where(F.size("codes") > 0)
+        n = F.size("codes")
+        return self.keep(coded.select("doc", "th", "line", n.alias("n"), F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), sketch.alias("bits"), F.slice("codes", F.lit(1), self.needed(n)).alias("first")), "lines")
 
     def classes(self, lines: DataFrame) -> DataFrame:
         """One row per set: rank (by first occurrence), where that is, n, bits, and its rarest words."""
@@ -103,93 +111,91 @@ class LineJoin:
         # In the order of first occurrence, so that a number that grows with the partition and the row is a rank.
         return self.keep(named.orderBy("none", "doc", "th", "line").withColumn("rank", F.monotonically_increasing_id()).drop("none"), "classes")
 
+    def postings(self, classes: DataFrame, common: bool) -> DataFrame:
+        """code, rank, n, pos, bits: each set's rarest words, without those that occur once."""
+        often = F.shiftright("code", 56)
+        rows = classes.select("rank", "n", "bits", F.posexplode("first").alias("pos", "code"))
+        return rows.where(often > level(COMMON) if common else often.between(level(1) + 1, level(COMMON)))
+
     def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Ranks (b) of lines that are similar to their earlier partner (a)."""
         wanted = pairs.select(F.col("a").alias("rank")).unionByName(pairs.select(F.col("b").alias("rank"))).distinct()
         wanted = self.keep(classes.select("rank", "doc", "th", "line").join(wanted, "rank"), "wanted")
-        per_doc = wanted.groupBy("doc", "th").agg(F.collect_set(F.struct("line", "rank")).alias("at"))
+        at = wanted.groupBy(F.col("doc").alias("doc2"), F.col("th").alias("th2")).agg(F.collect_set(F.struct("line", "rank")).alias("at"))
         if wanted.count() <= self.broadcast_rows:
-            per_doc = F.broadcast(per_doc)
-        at = per_doc.withColumnsRenamed({"doc": "doc2", "th": "th2"})
-        found = self.rows.join(at, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("th") == F.col("th2"))).withColumn("all", F.split("text", "\n", -1))
-        raw = found.select("all", F.explode("at").alias("w")).select(F.col("w.rank").alias("rank"), F.get("all", F.col("w.line")).alias("raw"))
-        raw = self.keep(raw.groupBy("rank").agg(F.first("raw").alias("raw")), "raw")
-        x = raw.select(F.col("rank").alias("a"), F.col("raw").alias("x"))
-        y = raw.select(F.col("rank").alias("b"), F.col("raw").alias("y"))
-
-        def similar(x: Column) -> Column:
-            return let(word_set(F.col("y")), lambda y: (100 + self.percent) * F.size(F.array_intersect(x, y)) >= self.percent * (F.size(x) + F.size(y)))
-
-        return self.keep(pairs.join(y, "b").join(x, "a").where(let(word_set(F.col("x")), similar)).select("b").distinct(), "verified")
+            at = F.broadcast(at)
+        found = self.rows.join(at, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("th") == F.col("th2")))
+        raw = found.select(F.split("text", "\n", -1).alias("all"), "at").select("all", F.explode("at").alias("w")).select(F.col("w.rank").alias("rank"), F.get("all", F.col("w.line")).alias("raw"))
+        # Rows that repeat id and text bring a line several times.
+        sets = self.keep(raw.dropDuplicates(["rank"]).select("rank", hashes_of(F.col("raw")).alias("words")), "sets")
+        x, y = (sets.select(F.col("rank").alias(r), F.col("words").alias(w)) for r, w in (("a", "x"), ("b", "y")))
+        similar = (100 + self.percent) * F.size(F.array_intersect("x", "y")) >= self.percent * (F.size("x") + F.size("y"))
+        return self.keep(pairs.join(x, "a").join(y, "b").where(similar).select("b").distinct(), "verified")
 
     def removed(self, classes: DataFrame) -> DataFrame:
-        """rank of every set that has an earlier similar one. Words are taken in PASSES parts by their hash, so that only a
-        part of the exploded rows is on disk at a time; a pair may be met in several."""
-        w, own = Window.partitionBy("code"), F.struct("rank", "n", "pos", "bits")
-        parts, paths = [], []
-        for k in range(PASSES):
-            mine = F.filter(F.transform("first", lambda c, i: F.struct(i.alias("pos"), c.alias("code"))), lambda x: x["code"].bitwiseAND(F.lit(PASSES - 1)) == k)
-            rows = classes.select("rank", "n", "bits", F.explode(mine).alias("at")).select("rank", "n", "bits", "at.*")
-            shared = rows.withColumn("least", F.min(own).over(w)).withColumn("most", F.max("rank").over(w)).where(F.col("least.rank") != F.col("most"))
-            star = (F.col("least.rank") != F.col("rank")) & self.bounded(F.col("least"), own)
-            parts.append(self.keep(shared.select("code", "rank", "n", "pos", "bits", F.when(star, F.col("least.rank")).alias("centre")), "shared"))
-            paths.append(self.scratch.pop())
-        stars = reduce(DataFrame.unionByName, (p.where("centre is not null").select(F.col("centre").alias("a"), F.col("rank").alias("b")) for p in parts))
-        stars = self.keep(stars.distinct(), "pairs")
+        """rank of every set that has an earlier similar one."""
+        own, at = F.struct("rank", "n", "pos", "bits"), [F.col("a"), F.col("b")]
+        common = self.keep(self.postings(classes, True), "common")
+        heads = common.groupBy("code").agg(F.min(own).alias("i"))
+        stars = common.select("code", own.alias("j")).join(heads, "code").where(F.col("i.rank") < F.col("j.rank")).where(self.bounded("i", "j"))
+        stars = self.keep(stars.select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct(), "pairs")
         done = self.verified(stars, classes)
 
-        found = []
-        for k, shared in enumerate(parts):
-            later = shared.join(done.withColumnRenamed("b", "rank"), "rank", "left_anti").select("code", own.alias("j"))
-            earlier = shared.select(F.col("code").alias("code2"), own.alias("i"))
-            meet = (F.col("code") == F.col("code2")) & (F.col("i.rank") < F.col("j.rank")) & self.bounded(F.col("i"), F.col("j"))
-            found.append(self.keep(later.join(earlier, meet).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct(), "pairs"))
-            remove(shared.sparkSession, paths[k])
-        rest = self.keep(reduce(DataFrame.unionByName, found).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-        return done.unionByName(self.verified(rest, classes)).select(F.col("b").alias("rank"))
+        ahead = (F.col("i.rank") < F.col("j.rank")) & self.bounded("i", "j")
+        later = common.join(done.withColumnRenamed("b", "rank"), "rank", "left_anti").alias("j")
+        rest = common.alias("i").join(later, (F.col("i.code") == F.col("j.code")) & ahead).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b"))
+        rare = self.postings(classes, False)
+        rare = rare.alias("i").join(rare.alias("j"), (F.col("i.code") == F.col("j.code")) & ahead).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b"))
+        pairs = rare.unionByName(rest).select(*at).distinct().join(done, "b", "left_anti")
+        pairs = self.keep(pairs.join(stars, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        return done.unionByName(self.verified(pairs, classes)).select(F.col("b").alias("rank"))
 
     def removed_lines(self) -> DataFrame:
         """doc, th, gone: the numbers (from 0) of the lines that go, for rows that lose any."""
         lines = self.lines()
+        remove(self.spark, self.scratch.pop(0))
         classes = self.classes(lines)
         whole = self.scratch.pop(0)
         lines = self.keep(lines.select("doc", "th", "line", "k1", "k2"), "lines")
-        remove(lines.sparkSession, whole)
+        remove(self.spark, whole)
         gone = self.removed(classes).withColumn("gone", F.lit(True))
         first = classes.select("rank", "k1", "k2", F.col("doc").alias("doc0"), F.col("th").alias("th0"), F.col("line").alias("line0")).join(gone, "rank", "left")
-        at = lines.join(first, ["k1", "k2"])
         own = F.col("doc").eqNullSafe(F.col("doc0")) & (F.col("th") == F.col("th0")) & (F.col("line") == F.col("line0"))
-        goes = at.where(F.col("gone").isNotNull() | ~own)
-        out, _ = store(goes.groupBy("doc", "th").agg(F.collect_set("line").alias("gone")), "gone")
-        remove(out.sparkSession, *self.scratch)
+        goes = lines.join(first, ["k1", "k2"]).where(F.col("gone").isNotNull() | ~own)
+        out, path = store(goes.groupBy("doc", "th").agg(F.collect_set("line").alias("gone")), "gone")
+        remove(self.spark, *self.scratch)
+        self.scratch = [path]
         return out
 
 
 def dedup_lines(
-    docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, broadcast_rows: int = 200_000,
+    docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """The documents with the text's later similar lines removed, and n_lines and n_removed (longs) after their columns.
 
     A line goes if an earlier line of any document, whether that stays or not, has 100 * |A & B| >= percent * |A | B| for
     their sets of lower-case words. Lines come in the order of their document's id (null last), the hash of its text, and their
-    number. Lines of fewer than least_words different words stay: by default only those without words. Null text has one
-    empty line and stays null. Rows that repeat id and text lose the same lines. An empty table gives no rows. The
-    result's other columns are as they were; a column named n_lines or n_removed must not be among them.
+    number. Lines without words stay. Null text has one empty line and stays null. Rows that repeat id and text lose the
+    same lines. An empty table gives no rows. The result's other columns are as they were, whatever their names; n_lines
+    and n_removed name the two new ones, which must not be among the table's: that is refused.
     broadcast_rows: up to so many rows the lists of lines are broadcast; beyond it the same joins are shuffled.
     """
-    join = LineJoin(docs, id_col, text_col, percent, least_words, broadcast_rows)
-    gone = join.removed_lines().withColumnsRenamed({"doc": "__doc", "th": "__th", "gone": "__gone"})
-    few = gone.agg(F.count("*"), F.sum(F.size("__gone"))).first()
+    if taken := {c.lower() for c in docs.columns} & {n_lines.lower(), n_removed.lower()}:
+        raise ValueError(f"the table has a column {', '.join(sorted(taken))}; name the new ones otherwise")
+    join = LineJoin(docs, id_col, text_col, percent, broadcast_rows)
+    doc, th, at = (unused(docs.columns, c) for c in ("doc", "th", "gone"))
+    gone = join.removed_lines().withColumnsRenamed({"doc": doc, "th": th, "gone": at})
+    few = gone.agg(F.count("*"), F.sum(F.size(at))).first()
     if few[0] <= broadcast_rows and (few[1] or 0) <= 8 * broadcast_rows:
         gone = F.broadcast(gone)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text, F.length(text)) == F.col("__th"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text, F.length(text)) == F.col(th))
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
-    changed = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(at, i))
+    changed = F.when(F.col(at).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     out = docs.join(gone, same, "left")
     return out.select(
         *(changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.size(lines).cast("long").alias(n_lines),
+        F.coalesce(F.size(at), F.lit(0)).cast("long").alias(n_removed),
     )

@@ -27,7 +27,7 @@ WITH l AS (
     SELECT doc_id, p, lines[p] AS raw, list_sort(list_distinct(regexp_extract_all(lower(lines[p]), '[^\x20\x09-\x0D]+'))) AS ws
     FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
 u AS (SELECT *, row_number() OVER (ORDER BY doc_id, p) AS k, len(ws) AS n FROM l),
-c AS (SELECT ws, n, min(k) AS k FROM u WHERE n >= 5 GROUP BY ws, n),
+c AS (SELECT ws, n, min(k) AS k FROM u WHERE n > 0 GROUP BY ws, n),
 t AS (SELECT k, n, unnest(ws) AS w FROM c),
 f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
 r AS (SELECT k, n, w, row_number() OVER (PARTITION BY k ORDER BY df, w) AS pos FROM t JOIN f USING (w)),
