@@ -73,10 +73,15 @@ def number(c: Column) -> Column:
     return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), plain.try_cast("double"))
 
 
+def whole(c: Column) -> Column:
+    """A bigint, also where the number is written with decimals that are all 0; NULL for what is no whole number."""
+    return F.when(number(c) == F.rint(number(c)), F.coalesce(F.trim(c).try_cast("bigint"), number(c).try_cast("bigint")))
+
+
 def rating_kw(c: Column) -> Column:
     """The largest number in a rating, counts such as "2x" aside."""
     tight = F.regexp_replace(F.lower(F.regexp_replace(c, rf"{U}{WS}+", "")), "[0-9]+x", "")
-    found = F.transform(F.regexp_extract_all(tight, F.lit(r"[0-9.]+"), F.lit(0)), lambda x: x.try_cast("double"))
+    found = F.transform(F.regexp_extract_all(tight, F.lit(r"[0-9][0-9.]*"), F.lit(0)), lambda x: x.try_cast("double"))
     return F.array_max(found)
 
 
@@ -85,25 +90,57 @@ def postcode(c: Column) -> Column:
     return or_null(F.regexp_extract(c, "[0-9]{4}", 0))
 
 
+# How a text says that charging costs nothing, the words for dollars and cents, and the unit.
+FREE = ("free", "free to use", "free charging", "no charge")
+DOLLAR, CENT, UNIT = ("$", "aud"), ("c", "cent", "cents"), "kwh"
+
+AMOUNT = "[0-9]+(?:[.][0-9]+)?"
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join("[$]" if w == "$" else w for w in words) + ")"
+
+
+def _zero(text: Column) -> Column:
+    """0, or 0. and more zeros."""
+    return (text == "0") | (text.startswith("0.") & (F.length(text) > 2) & (F.translate(text, "0", "") == "."))
+
+
+def _spans_dash(text: Column) -> Column:
+    """Whether an amount stands on either side of a dash."""
+    parts = F.split(text, "[-–]", -1)
+    before = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+\z", ""), r"c\z", "").rlike(r"[0-9]\s*\z"))
+    after = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"^\s+", ""), r"^[$]", "").rlike("^[0-9]"))
+    return F.exists(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.coalesce(F.get(before, i) & F.get(after, i + 1), F.lit(False)))
+
+
 def price_per_kwh(c: Column) -> Column:
-    """Dollars per kWh: 0 for free, the one price that a text states in dollars or cents, NULL for ranges or several."""
+    """Dollars per kWh: 0 for free, the one price that a text states in dollars or cents, NULL for ranges or several.
+
+    The text is cut at each mention of the unit; what stands right before one is a price if it ends in an amount of money.
+    """
     text = or_null(strip(c))
-    per = r"\s*(?:/|per)\s*kwh"
-    dollars = F.regexp_extract_all(text, F.lit(rf"(?i)(?:\$|aud)\s*([0-9]+(?:\.[0-9]+)?){per}"), F.lit(1))
-    cents = F.regexp_extract_all(text, F.lit(rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*c(?:ents?)?{per}"), F.lit(1))
-    prices = F.array_distinct(F.concat(F.transform(dollars, lambda x: x.cast("double")), F.transform(cents, lambda x: x.cast("double") / 100)))
-    return (
-        F.when(text.rlike(r"(?i)^(?:free(?: to use| charging)?|no charge|0(?:\.0+)?)\z"), F.lit(0.0))
-        .when(text.rlike(r"[0-9]\s*c?\s*[-–]\s*\$?[0-9]"), F.lit(None))
-        .when(F.size(prices) == 1, F.get(prices, F.lit(0)))
-    )
+    low = F.lower(text)
+    stated = F.split(low, rf"\s*(?:/|per)\s*{UNIT}", -1)
+    stated = F.slice(stated, F.lit(1), F.size(stated) - 1)
+
+    def money(said: Column) -> Column:
+        dollars = F.regexp_extract(said, rf"{_any(DOLLAR)}\s*({AMOUNT})\z", 1).try_cast("double")
+        cents = F.regexp_extract(said, rf"({AMOUNT})\s*{_any(CENT)}\z", 1).try_cast("double")
+        return F.coalesce(dollars, cents / 100)
+
+    prices = F.array_distinct(F.filter(F.transform(stated, money), lambda p: p.isNotNull()))
+    return F.when(low.isin(*FREE) | _zero(low), F.lit(0.0)).when(_spans_dash(text), F.lit(None)).when(F.size(prices) == 1, F.get(prices, F.lit(0)))
 
 
 def number_range(address: Column) -> Column:
-    """struct(low, high) of the street numbers that an address begins with; NULL fields without one."""
-    pattern = r"^\s*([0-9]+)\s*(?:[-/]([0-9]+))?"
-    first = F.regexp_extract(address, pattern, 1).try_cast("bigint")
-    second = F.coalesce(F.regexp_extract(address, pattern, 2).try_cast("bigint"), first)
+    """struct(low, high) of the street numbers that an address begins with; NULL fields without one. A second number
+    counts if it follows a dash or slash at once."""
+    begin = F.regexp_replace(address, r"^\s+", "")
+    digits = lambda s: F.regexp_extract(s, "^[0-9]+", 0)
+    rest = F.regexp_replace(F.substring(begin, F.length(digits(begin)) + 1, F.length(begin)), r"^\s+", "")
+    first = digits(begin).try_cast("bigint")
+    second = F.when(rest.startswith("-") | rest.startswith("/"), digits(F.substring(rest, F.lit(2), F.length(rest))).try_cast("bigint"))
     return F.struct(F.least(first, second).alias("low"), F.greatest(first, second).alias("high"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrasift.functions.geo import albers, round1
 from terrasift.functions.text import address_conflict
+from terrasift.operators.relational import hold
 from terrasift.operators.spatial import distance_join
 
 # What a match carries over, and the audit's columns.
@@ -67,27 +68,34 @@ def rejected(pairs: DataFrame, taken: DataFrame) -> DataFrame:
     return _best(left, F.col("distance_m"), F.col("source_poi_id")).withColumn("reject_reason", reason)
 
 
+def _verdicts(pairs: DataFrame) -> DataFrame:
+    """Per charger that has pairs its accepted one (good), or else the nearest conflicting one (bad): one aggregate, whose
+    map side leaves two pairs a charger and task."""
+    whole = F.struct(*(c for c in pairs.columns if c != "charger_id"))
+    near = [F.col("distance_m"), F.col("source_poi_id")]
+    # Pairs without an order are passed over.
+    good = F.min_by(whole, F.when(~F.col("conflict"), F.struct((~F.col("same_operator")).alias("other"), *near)))
+    bad = F.min_by(whole, F.when(F.col("conflict"), F.struct(*near)))
+    return pairs.groupBy("charger_id").agg(good.alias("good"), bad.alias("bad"))
+
+
 def match(chargers: DataFrame, sites: DataFrame, source: str, radii: Radii = Radii()) -> tuple[DataFrame, DataFrame]:
     """Matches (charger_id, augmentation_source, payload, method, distance) and the audit, one row per charger of which
-    each is accepted, rejected or has no candidate. Both are typed and complete for empty inputs too. Pairs are persisted:
-    three results read them."""
-    pairs = candidate_pairs(chargers, sites, radii).persist()
-    good = accepted(pairs)
-    bad = rejected(pairs, good)
-    matches = good.select("charger_id", F.lit(source).alias("augmentation_source"), *PAYLOAD, "match_method", F.col("distance_m").alias("match_distance_m"))
-    own = [F.col("charger_id"), F.col("operator"), F.col("station_address"), F.col("postcode"), F.lit(source).alias("source")]
-    found = [F.col("match_method"), F.col("distance_m"), F.col("ext_operator").alias("candidate_operator"), F.col("ext_address").alias("candidate_address"), F.col("ext_postcode").alias("candidate_postcode")]
-    yes = good.select(*own, F.lit("accepted").alias("decision"), *found, F.lit(None).cast("string").alias("reject_reason"))
-    no = bad.select(*own, F.lit("rejected").alias("decision"), *found, "reject_reason")
-    seen = good.select("charger_id").unionByName(bad.select("charger_id"))
-    none = chargers.join(seen, "charger_id", "left_anti").select(
-        *own,
-        F.lit("no_candidate").alias("decision"),
-        F.lit(None).cast("string").alias("match_method"),
-        F.lit(None).cast("double").alias("distance_m"),
-        *(F.lit(None).cast("string").alias(c) for c in AUDIT[8:]),
-    )
-    return matches, yes.unionByName(no).unionByName(none).select(AUDIT)
+    each is accepted, rejected or has no candidate. Both are typed and complete for empty inputs too. The verdicts, a row
+    per charger with pairs, are held: both results and the next source read them."""
+    verdicts = hold(_verdicts(candidate_pairs(chargers, sites, radii)))
+    good = verdicts.where(F.col("good").isNotNull())
+    matches = good.select("charger_id", F.lit(source).alias("augmentation_source"), *(F.col(f"good.{c}").alias(c) for c in (*PAYLOAD, "match_method")), F.col("good.distance_m").alias("match_distance_m"))
+    found = verdicts.select("charger_id", F.coalesce("good", "bad").alias("p"), F.col("good").isNotNull().alias("yes"))
+    reason = F.concat_ws("+", F.when(F.col("p.postcode_conflict"), "postcode_conflict"), F.when(F.col("p.street_conflict"), "address_conflict"))
+    values = {
+        "source": F.lit(source),
+        "decision": F.when(F.col("yes"), "accepted").when(~F.col("yes"), "rejected").otherwise("no_candidate"),
+        "match_method": F.col("p.match_method"), "distance_m": F.col("p.distance_m"), "candidate_operator": F.col("p.ext_operator"),
+        "candidate_address": F.col("p.ext_address"), "candidate_postcode": F.col("p.ext_postcode"), "reject_reason": F.when(~F.col("yes"), reason),
+    }
+    own = chargers.select("charger_id", "operator", "station_address", "postcode")
+    return matches, own.join(found, "charger_id", "left").select(*(values[c].alias(c) if c in values else c for c in AUDIT))
 
 
 def cascade(chargers: DataFrame, sources: list[tuple[str, DataFrame]], radii: Radii = Radii()) -> tuple[DataFrame, DataFrame]:

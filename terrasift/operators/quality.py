@@ -35,14 +35,20 @@ def _count(df: DataFrame, problem: str) -> DataFrame:
 
 
 def violations(name: str, tables: dict[str, DataFrame], rules: Rules) -> DataFrame:
-    """A check holds unless it is false, so NULL passes; a key's columns must all be there."""
+    """A check holds unless it is false, so NULL passes; a key's columns must all be there. What one row shows is counted
+    for all rules in one scan; keys and references need a shuffle each."""
     df = tables[name]
-    out = [_count(df.where(F.col(c).isNull()), f"{name}.{c} is NULL") for c in dict.fromkeys((*rules.key, *rules.required))]
+    alone = {f"{name}.{c} is NULL": F.col(c).isNull() for c in dict.fromkeys((*rules.key, *rules.required))}
+    alone |= {f"{name}.{c}: not {rule}": ~F.expr(rule) for c, rule in rules.checks.items()}
+    out = []
+    if alone:
+        counted = df.agg(*(F.count_if(broken).alias(f"n{i}") for i, broken in enumerate(alone.values())))
+        listed = F.array(*(F.struct(F.lit(p).alias("problem"), F.col(f"n{i}").alias("n")) for i, p in enumerate(alone)))
+        out.append(counted.select(F.explode(listed).alias("r")).select("r.*").where("n > 0"))
     for columns in (rules.key, *rules.unique):
         if columns:
             same = df.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in columns))).groupBy(*columns).count().where("count > 1")
             out.append(_count(same, f"{name}({', '.join(columns)}) repeats"))
-    out += [_count(df.where(~F.expr(rule)), f"{name}.{c}: not {rule}") for c, rule in rules.checks.items()]
     out += [_count(orphans(df, c, tables[t], k), f"{name}.{c} not in {t}.{k}") for c, (t, k) in rules.references.items()]
     return reduce(DataFrame.unionByName, out)
 

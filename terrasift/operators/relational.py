@@ -40,8 +40,9 @@ def merge_duplicates(df: DataFrame, key: Sequence[str], name: str, order: str) -
     group = Window.partitionBy(*key)
     best = group.orderBy(F.col("__filled").desc(), F.col(order))
     whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = ranked.withColumns({"__names": F.size(F.collect_set(name).over(group)), "__rank": F.row_number().over(best)})
-    mergeable = F.col("__names") <= 1
+    # NULL if there is no name at all: then the rows may merge too.
+    marked = ranked.withColumns({"__one": F.coalesce(F.min(name).over(group) == F.max(name).over(group), F.lit(True)), "__rank": F.row_number().over(best)})
+    mergeable = F.col("__one")
     backfilled = marked.withColumns({f"__f_{c}": F.first(c, ignorenulls=True).over(whole) for c in others})
     kept = backfilled.where(~mergeable | (F.col("__rank") == 1))
     return kept.select(*(F.when(mergeable, F.col(f"__f_{c}")).otherwise(F.col(c)).alias(c) if c in others else F.col(c) for c in df.columns))
@@ -52,18 +53,33 @@ def first_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column |
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rank = 1").drop("__rank")
 
 
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """df persisted until release(): for rows that must be the same, or not be worked out again, in several uses."""
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _HELD[-1]
+
+
+def release() -> None:
+    """Give back what was held, once the results that read it are written."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """1 to N in an order, without one task that sees all rows: sorted by range, then each range starts after the rows
-    of those before it. The ranges' counts, one row per partition, are what is broadcast. The sorted rows are persisted, so
-    that both uses see the same ranges."""
-    ordered = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    of those before it. The ranges' counts, one row per partition, are what is broadcast. The sorted rows are held, so that
+    both uses see the same ranges; release() lets them go."""
+    ordered = hold(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     counts = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     numbered = ordered.withColumn("__part", part).join(F.broadcast(starts), "__part")
     row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start") + 1
-    return numbered.withColumn(name, row.cast("int")).drop("__at", "__part", "__start")
+    return numbered.withColumn(name, row).drop("__at", "__part", "__start")
 
 
 def number_groups(df: DataFrame, key: Sequence[str], name: str) -> DataFrame:

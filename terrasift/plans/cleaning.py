@@ -30,8 +30,8 @@ def typed(df: DataFrame) -> DataFrame:
         {
             "latitude": T.number(F.col("latitude")),
             "longitude": T.number(F.col("longitude")),
-            "source_objectid": F.col("source_objectid").try_cast("bigint"),
-            "number_of_plugs": F.col("number_of_plugs").try_cast("int"),
+            "source_objectid": T.whole(F.col("source_objectid")),
+            "number_of_plugs": T.whole(F.col("number_of_plugs")).try_cast("int"),
             "operator": T.canonical_name(F.col("operator")),
             "status": F.when(F.lower("charger_type") == "upcoming", "upcoming").otherwise("existing"),
             "charger_type": F.when(kind.isin("AC", "DC"), kind),
@@ -46,7 +46,7 @@ def assign_region(df: DataFrame, regions: DataFrame, key: str = "charger_id") ->
     """regions(sa4_code, sa4_name, rings in degrees). Inside first, in degrees; only what is inside none goes to the nearest
     within NEAREST_M, in metres; the rest has no region."""
     inside = first_region(within(df.select(key, "longitude", "latitude"), regions, "sa4_code", "longitude", "latitude"), key, "sa4_code")
-    inside = inside.select(key, "sa4_code", F.lit("within").alias("sa4_assignment"), F.lit(None).cast("double").alias("sa4_distance_m"))
+    inside = inside.select(key, "sa4_code", F.lit("within").alias("sa4_assignment"), F.lit(0.0).alias("sa4_distance_m"))
     out = df.select(key, "longitude", "latitude").join(inside, key, "left_anti")
     x, y = albers(F.col("longitude"), F.col("latitude"))
 

@@ -6,17 +6,34 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrasift.operators import relational as R
 from terrasift.operators.matching import PAYLOAD
-from terrasift.operators.quality import Rules, violations
+from terrasift.operators.quality import Rules, require_columns, violations
 from terrasift.operators.spatial import agreement
 
-# The tables' rules.
+# The tables' columns and types (ids are wider than 32 bits on purpose), their rules, what the store needs of
+# the augmented rows, and how far a region's border may move, in degrees.
+RING = "array<array<struct<x: double, y: double>>>"
+TYPES = {
+    "sa4_regions": f"sa4_code string, sa4_name string, gcc_name string, state_name string, area_sqkm double, geom {RING}",
+    "operators": "operator_id bigint, operator_name string",
+    "locations": "location_id bigint, address string, postcode string, lga_name string, geom struct<x: double, y: double>, sa4_code string, sa4_assignment string",
+    "chargers": "charger_id bigint, location_id bigint, operator_id bigint, station_name string, charger_type string, status string, charger_rating_kw double, number_of_plugs int, source string",
+    "plug_types": "plug_type_id bigint, plug_type_name string",
+    "charger_matches": "charger_id bigint, augmentation_source string, match_method string, match_distance_m double, source_poi_id string, ext_operator_id bigint, ext_name string, ext_address string, ext_postcode string, usage_cost string, price_per_kwh double, num_points int, num_connectors int, rate_kw double",
+    "charger_plug_types": "charger_id bigint, plug_type_id bigint",
+}
+NEEDED = [
+    "charger_id", "station_name", "station_address", "latitude", "longitude", "lga_name", "postcode", "source", "operator", "number_of_plugs", "charger_type", "status",
+    "charger_rating_kw", "sa4_code", "sa4_assignment", "augmentation_source", "match_method", "match_distance_m", *PAYLOAD,
+]
+SIMPLIFY_DEG = 0.0005
 RULES = {
-    "sa4_regions": Rules(("sa4_code",), required=("sa4_name", "rings", "state_name")),
+    "sa4_regions": Rules(("sa4_code",), required=("sa4_name", "geom", "state_name")),
     "operators": Rules(("operator_id",), (("operator_name",),), ("operator_name",)),
-    "locations": Rules(("location_id",), required=("lon", "lat"), checks={"sa4_assignment": "sa4_assignment in ('within', 'nearest')"}, references={"sa4_code": ("sa4_regions", "sa4_code")}),
+    "locations": Rules(("location_id",), required=("geom",), checks={"sa4_assignment": "sa4_assignment in ('within', 'nearest')"}, references={"sa4_code": ("sa4_regions", "sa4_code")}),
     "chargers": Rules(
         ("charger_id",),
         required=("location_id", "operator_id", "status"),
@@ -41,12 +58,15 @@ def _with_id(df: DataFrame, column: str, table: DataFrame, id_name: str, value_n
 
 
 def build_tables(augmented: DataFrame, regions: DataFrame) -> dict[str, DataFrame]:
-    """regions(sa4_code, sa4_name, gcc_name, state_name, area_sqkm, rings)."""
+    """regions(sa4_code, sa4_name, gcc_name, state_name, area_sqkm, rings). Missing columns are named; each table has the
+    columns and types of TYPES, in their order."""
+    require_columns(augmented, NEEDED)
+    require_columns(regions, ["sa4_code", "sa4_name", "gcc_name", "state_name", "area_sqkm", "rings"])
     names = augmented.select(F.col("operator").alias("name")).unionByName(augmented.select(F.col("ext_operator").alias("name")))
     operators = R.lookup(names, "name", "operator_id", "operator_name")
     placed = R.number_groups(augmented, ["latitude", "longitude"], "location_id")
     locations = R.first_per_group(placed, ["location_id"], ["charger_id"]).select(
-        "location_id", F.col("station_address").alias("address"), "postcode", "lga_name", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), "sa4_code", "sa4_assignment"
+        "location_id", F.col("station_address").alias("address"), "postcode", "lga_name", F.when(F.col("longitude").isNotNull() & F.col("latitude").isNotNull(), F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y"))).alias("geom"), "sa4_code", "sa4_assignment"
     )
     chargers = _with_id(placed, "operator", operators, "operator_id", "operator_name")
     chargers = chargers.select("charger_id", "location_id", "operator_id", "station_name", "charger_type", "status", "charger_rating_kw", "number_of_plugs", "source")
@@ -54,8 +74,8 @@ def build_tables(augmented: DataFrame, regions: DataFrame) -> dict[str, DataFram
     matches = _with_id(matched.select("charger_id", "augmentation_source", "match_method", "match_distance_m", *PAYLOAD), "ext_operator", operators, "operator_id", "operator_name", "ext_operator_id")
     plugs = R.split_rows(matched.select("charger_id", "plug_types"), "plug_types")
     plug_types = R.lookup(plugs, "plug_types", "plug_type_id", "plug_type_name")
-    return {
-        "sa4_regions": regions.where(F.col("rings").isNotNull()).select("sa4_code", "sa4_name", "gcc_name", "state_name", "area_sqkm", "rings"),
+    made = {
+        "sa4_regions": regions.where(F.col("rings").isNotNull()).withColumnRenamed("rings", "geom"),
         "operators": operators,
         "locations": locations,
         "chargers": chargers,
@@ -65,6 +85,12 @@ def build_tables(augmented: DataFrame, regions: DataFrame) -> dict[str, DataFram
         ),
         "charger_plug_types": _with_id(plugs, "plug_types", plug_types, "plug_type_id", "plug_type_name").distinct(),
     }
+    return {name: conform(df, TYPES[name]) for name, df in made.items()}
+
+
+def conform(df: DataFrame, ddl: str) -> DataFrame:
+    """The columns that ddl names, in its order and of its types."""
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl)))
 
 
 def charger_view(t: dict[str, DataFrame]) -> DataFrame:
@@ -72,7 +98,7 @@ def charger_view(t: dict[str, DataFrame]) -> DataFrame:
     joined = t["chargers"].join(t["operators"], "operator_id").join(t["locations"], "location_id").join(t["sa4_regions"].select("sa4_code", "sa4_name", "state_name"), "sa4_code", "left")
     return joined.select(
         "charger_id", "station_name", "operator_name", "charger_type", "status", "charger_rating_kw", "number_of_plugs", "source",
-        "address", "postcode", "lga_name", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "sa4_code", "sa4_name", "state_name",
+        "address", "postcode", "lga_name", F.col("geom.y").alias("latitude"), F.col("geom.x").alias("longitude"), "sa4_code", "sa4_name", "state_name",
     )
 
 
@@ -98,7 +124,7 @@ def store_tables(tables: dict[str, DataFrame], root: str) -> dict[str, DataFrame
 
 
 def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root}/{name}") for name in RULES}
+    return {name: spark.read.schema(ddl).parquet(f"{root}/{name}") for name, ddl in TYPES.items()}
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -111,7 +137,18 @@ def verify(tables: dict[str, DataFrame], rows: int | None = None, strict: bool =
     found = [violations(name, tables, rules) for name, rules in RULES.items()]
     if rows is not None:
         found.append(tables["chargers"].agg(F.count("*").alias("n")).where(F.col("n") != rows).select(F.lit(f"chargers: not {rows} rows").alias("problem"), "n"))
-    place = agreement(tables["locations"], tables["sa4_regions"], "sa4_code", "sa4_assignment", "lon", "lat")
+    placed = tables["locations"].select("sa4_code", "sa4_assignment", "geom.x", "geom.y")
+    place = agreement(placed, tables["sa4_regions"].select("sa4_code", F.col("geom").alias("rings")), "sa4_code", "sa4_assignment")
     outside = place.where((F.col("sa4_assignment") == "within") | F.lit(strict)).withColumn("n", F.col("points") - F.col("inside")).where("n > 0")
     found.append(outside.select(F.concat(F.lit("locations outside their region: "), F.coalesce("sa4_assignment", F.lit("none"))).alias("problem"), "n"))
     return reduce(DataFrame.unionByName, found)
+
+
+def coverage(tables: dict[str, DataFrame], state: str) -> DataFrame:
+    """One row: a state's regions, those without a charger and without a DC charger, and of all DC chargers those matched."""
+    view = coverage_view(tables).where(F.col("state_name") == state)
+    gaps = view.agg(F.count("*").alias("regions"), F.count_if(F.col("existing_chargers") == 0).alias("without_charger"), F.count_if(F.col("existing_dc_chargers") == 0).alias("without_dc_charger"))
+    direct = tables["chargers"].agg(F.count_if(F.col("charger_type") == "DC").alias("dc_chargers"))
+    matched = tables["charger_matches"].agg(F.count("*").alias("matched"))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return one(gaps).join(one(direct), "__one").join(one(matched), "__one").drop("__one").withColumn("share", R.ratio(F.col("matched").cast("double"), F.col("dc_chargers").cast("double")))

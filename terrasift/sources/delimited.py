@@ -28,4 +28,12 @@ def read_text(spark: SparkSession, path: str, required: list[str] | None = None,
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header="true", escape='"').csv(path)
+    """A folder of CSV files with a header each, over what was there. NULL is an empty cell."""
+    df.write.mode("overwrite").options(header="true", escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def read_typed(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """What write_text wrote, with the columns and types of ddl: codes stay text, with their zeros."""
+    kinds = StructType.fromDDL(ddl)
+    text = read_text(spark, path, [f.name for f in kinds], row=None)
+    return text.select(*((F.col(f.name) if isinstance(f.dataType, StringType) else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in kinds))

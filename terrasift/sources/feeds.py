@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrasift.functions.text import canonical_name, first_filled, joined, or_null, postcode, price_per_kwh, street_address, strip
 
 RECORDS = """array<struct<ID:bigint,UsageCost:string,NumberOfPoints:int,OperatorInfo:struct<Title:string>,
-AddressInfo:struct<Title:string,AddressLine1:string,AddressLine2:string,Postcode:string,Latitude:double,Longitude:double>,
+AddressInfo:struct<Title:string,AddressLine1:string,AddressLine2:string,Postcode:variant,Latitude:double,Longitude:double>,
 Connections:array<struct<ConnectionType:struct<Title:string>,CurrentType:struct<Title:string>,PowerKW:double,Quantity:int>>>>"""
 ELEMENTS = "struct<elements:array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>>"
 
@@ -49,7 +49,7 @@ def flatten_records(records: DataFrame) -> DataFrame:
         canonical_name(F.col("OperatorInfo.Title")).alias("ext_operator"),
         F.col(f"{a}.Title").alias("ext_name"),
         street_address(F.col(f"{a}.AddressLine1"), F.col(f"{a}.AddressLine2")).alias("ext_address"),
-        postcode(F.col(f"{a}.Postcode")).alias("ext_postcode"),
+        postcode(F.when(F.schema_of_variant(F.col(f"{a}.Postcode")) == "STRING", F.variant_get(F.col(f"{a}.Postcode"), "$", "string"))).alias("ext_postcode"),  # text only, no number
         cost.alias("usage_cost"),
         price_per_kwh(cost).alias("price_per_kwh"),
         joined(titles).alias("plug_types"),
