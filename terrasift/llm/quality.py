@@ -6,8 +6,10 @@ dictionary knows the text better. A logistic fit on the labelled sample turns th
 dictionary and the length, which they depend on) into a score from 0 to 1.
 
 Only the fit is held to a sample: the first rows of each label by a hash of their id, whole, at most `sample_rows`, and
-fewer if their texts together reach `sample_bytes`. Every text is read whole, in the fit as in scoring; dictionaries and
-features are made on executors.
+fewer if their texts together reach `sample_bytes` (about a hundred times a dictionary, which is what its training makes use
+of). Every second row of a label goes into the dictionaries and the others into the logistic fit, so that scores are
+calibrated on texts that no dictionary has seen. Every text is read whole, in the fit as in scoring; dictionaries and features
+are made on executors.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrasift.llm.common import remove, store, texts
 
@@ -81,10 +84,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_bytes: int = 64_000_000, dictionary_bytes: int = 112_640, level: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_bytes: int = 12_000_000, dictionary_bytes: int = 112_640, level: int = 3) -> Model:
     """Model from labelled rows; train is a condition on the labels' id column. Rows with a null id or label, and
-    labels other than 0 and 1, aren't used; of an id with both labels the larger counts. With one class or none the
-    scores are the share of good rows (0.5 with no rows)."""
+    labels other than 0 and 1, aren't used; of an id with both labels the larger counts, and of the texts of a repeated id
+    each counts once. With one class or none the scores are the share of good rows (0.5 with no rows). Null and empty
+    texts are rows like others. A label's only row serves both parts."""
     rows = labels.where(train) if train is not None else labels
     rows = rows.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
     picked = [rows.where(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows) for k in (0, 1)]
@@ -99,10 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     sample, path = store(found.join(taken, ["__id", "__th"]).groupBy("__label", "__k").agg(F.first("__text").alias("__text")), "sample")
 
     def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = [bytes(t) for t in pdf.sort_values("__k")["__text"] if t]
+        docs = [bytes(t) for t in pdf.sort_values("__k")["__text"] if t is not None and len(t)]
         return pd.DataFrame({"label": [int(pdf["__label"].iloc[0])], "bytes": [_dictionary(docs, dictionary_bytes) if docs else b""]})
 
-    made = {r["label"]: bytes(r["bytes"]) for r in sample.groupBy("__label").applyInPandas(dictionary, "label int, bytes binary").collect()}
+    made = {r["label"]: bytes(r["bytes"]) for r in sample.where("__k % 2 = 1").groupBy("__label").applyInPandas(dictionary, "label int, bytes binary").collect()}
     model = Model(made.get(1, b""), made.get(0, b""), level, np.zeros(4), np.ones(4), np.zeros(5))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
             x = features(texts(b.column("__text")), compressors)
             yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(c) for c in x.T)], ["y", "a", "b", "c", "d"])
 
-    rows = sample.select(F.col("__label").cast("double").alias("y"), "__text").mapInArrow(measured, "y double, a double, b double, c double, d double")
+    several = sample.groupBy("__label").agg(F.max("__k").alias("__last"))
+    apart = sample.join(F.broadcast(several), "__label").where("__k % 2 = 0 or __last = 1")
+    rows = apart.select(F.col("__label").cast("double").alias("y"), "__text").mapInArrow(measured, "y double, a double, b double, c double, d double")
     table = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 5)  # 2 * sample_rows rows of numbers
     remove(docs.sparkSession, path)
     y, x = table[:, 0], table[:, 1:]
@@ -125,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, keep: list[str | Column] | None = None) -> DataFrame:
-    """keep's columns (all, if None) with score and predicted (1 from threshold on). Null text counts as empty. A
-    column of docs named score or predicted must not be among those kept."""
+    """keep's columns (all, if None) with score and predicted (1 from threshold on). Null text counts as empty; an empty
+    table gives no rows. A kept column named score or predicted is refused."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of dictionary_bytes and 13 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,5 +142,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 
     kept = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns]), F.col(text_col).cast("binary").alias("__scored"))
-    schema = kept.drop("__scored").schema.add("score", "double").add("predicted", "integer")
+    if taken := {c.lower() for c in kept.columns} & {"score", "predicted"}:
+        raise ValueError(f"a kept column is named {', '.join(sorted(taken))}")
+    schema = StructType(kept.schema.fields[:-1]).add("score", "double").add("predicted", "integer")
     return kept.mapInArrow(run, schema)
+
+
+def calibration(scored: DataFrame, labels: DataFrame, bins: int = 10, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """bin, n, score (mean), good (share of label 1) over scored rows that have a label: how far scores are shares."""
+    known = scored.join(labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col), id_col)
+    width = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).alias("bin")
+    return known.groupBy(width).agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg(F.col(label_col).cast("double")).alias("good")).orderBy("bin")
