@@ -1,18 +1,25 @@
 """Personal data by patterns and by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Fixed patterns find e-mail and IP addresses, card and phone numbers. These are the seeds: the one and the two words
-before a seed are lexical patterns. A pattern's score is the share of all its occurrences in the corpus after which a
-known identifier follows; an identifier's is the chance that one of the accepted patterns before it is right. Accepted
-patterns and identifiers are found in turn on the graph of the two, until there is no new one, and identifiers of no known form that accepted
-patterns introduce are added. A word is only looked at as an identifier if it has enough digits or an @.
+Fixed patterns find e-mail and IP addresses, card and phone numbers, and digests in lower-case hexadecimal (secrets). These
+are the seeds. A text is a row of tokens, each seed one of them. The two tokens before a place, the two after it, and the
+one on either side are lexical patterns. Those around seeds are scored by the share of all their occurrences in the corpus
+that hold a known identifier; around any other token in an accepted pattern the search goes on: it becomes an identifier
+itself if one of its patterns is likely enough to be right and it stands in such a pattern often enough, whatever it looks
+like, and its own contexts are patterns of the next round. The graph of patterns and identifiers grows until nothing new is
+accepted.
+
+Only counts of patterns, and the occurrences of known identifiers and accepted patterns, are kept; the corpus itself is one
+table of token hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import let, store
+from terrasift.llm.common import let, remove, store
 
 # The four kinds' patterns, in the order in which they are listed. They match what the plain forms
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+      ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -25,11 +32,15 @@ KINDS = {
     "card": r"[0-9](?=[0-9]|[\x20-][0-9])[0-9\x20-]*?(?<=[0-9])(?![0-9]|[\x20-][0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+", "secret": ""}
+#: The seeds beside the four kinds: 32 or more hexadecimal digits, both letters and decimals among them.
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,127}[0-9])(?=[0-9]{0,127}[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])"
+SEEDS = {**KINDS, "secret": SECRET}
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: A word with a digit or an @, between ASCII white space.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LETTER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+TRIMMED = "-._@/"
+#: What a token is: a seed, a word with marks inside, or a mark that often stands before a value.
+TOKEN = "|".join(f"(?:{SEEDS[k]})" for k in ("email", "secret", "phone", "ip", "card")) + rf"|[^{LETTER}](?:[^{LETTER}]|[-._@/])*+|[=:#]"
 BLOCK = 256
 
 
@@ -101,103 +112,157 @@ SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 def base_spans(text: Column, kind: str) -> Column:
     """start, end and value of the valid matches of a kind, in order."""
-    found = matches(text, KINDS[kind], lambda m, i, start, found, gaps: _span(start, start + F.length(m), m))
+    found = matches(text, SEEDS[kind], lambda m, i, start, found, gaps: _span(start, start + F.length(m), m))
     some = text.contains(NEEDED[kind]) if NEEDED[kind] else text.rlike("[0-9]")
     return F.coalesce(F.when(some, F.filter(found, lambda x: valid(kind, x["value"]))), F.array().cast(SPANS))
 
 
-def _low(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
-def candidates(text: Column, digits: int) -> Column:
-    """start, end and value of identifier-like words, trimmed to where letters and digits begin and end, and the hashes
-    of the word and of the two words before them."""
-
-    def one(word: Column, i: Column, at: Column, found: Column, gaps: Column) -> Column:
-        lead = F.length(F.regexp_extract(word, r"^[^A-Za-z0-9+@]*+", 0))
-        tail = F.length(F.regexp_extract(F.reverse(word), r"^[^A-Za-z0-9]*+", 0))
-        value = F.substring(word, lead + 1, F.greatest(F.length(word) - lead - tail, F.lit(0)))
-        # The words before it: the end of the gap, or the candidate before that if the gap has too few.
-        left = F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(""), F.get(gaps, i))
-        near = F.slice(F.concat(F.array(F.lit(""), F.lit("")), F.array_remove(F.split(_low(F.substring(left, -200, 200)), r"[ \t\n\x0B\f\r]+"), "")), -2, 2)
-        hashes = let(near, lambda w: F.array(F.xxhash64(F.get(w, F.lit(1))), F.xxhash64(F.get(w, F.lit(0)), F.get(w, F.lit(1)))))
-        return let(value, lambda v: F.struct((at + lead).alias("start"), (at + lead + F.length(v)).alias("end"), v.alias("value"), hashes.alias("patterns")))
-
-    like = F.filter(matches(text, CANDIDATE, one), lambda x: (F.length(_digits(x["value"])) >= digits) | x["value"].contains("@"))
-    return F.when(text.rlike("[0-9@]"), like)
-
-
-def _seen(docs: DataFrame, patterns: DataFrame, broadcast_rows: int) -> DataFrame:
-    """pattern, seen: how often the words of each pattern occur in all texts."""
-    words = docs.select(F.array_remove(F.split(_low(F.col("text")), r"[ \t\n\x0B\f\r]+"), "").alias("ws"))
-    pairs = words.select(F.explode(F.flatten(F.transform("ws", lambda w, i: F.array(F.xxhash64(w), F.xxhash64(F.coalesce(F.get("ws", i - 1), F.lit("")), w))))).alias("pattern"))
-    few = F.broadcast(patterns) if patterns.count() <= broadcast_rows else patterns
-    return pairs.join(few, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("seen"))
-
-
-def discovered(docs: DataFrame, scanned: DataFrame, support: int, precision: float, broadcast_rows: int) -> DataFrame:
-    """uid, kind, start, end: identifiers that no fixed pattern found, after contexts that introduce identifiers."""
-    words = scanned.select("uid", F.explode("found").alias("w"), *KINDS).select("uid", "w.*", *KINDS)
-    inside = lambda k: F.exists(F.col(k), lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    kind = F.coalesce(*(F.when(inside(k), F.lit(k)) for k in KINDS))
-    words = words.select("uid", "start", "end", "value", kind.alias("kind"), F.explode("patterns").alias("pattern"))
-    words, _ = store(words, "words")
-    enough = words.groupBy("pattern").agg(F.count_distinct("value").alias("v")).where(F.col("v") >= support)
-    enough, _ = store(enough.select("pattern"), "patterns")
-    seen, _ = store(_seen(docs, enough, broadcast_rows), "seen")
-    graph, _ = store(words.join(seen, "pattern"), "graph")
-
-    # Identifiers keep the kind they were found with, so known ones and accepted patterns only grow and the end is reached.
-    known = None
-    while True:
-        named = graph if known is None else graph.join(known, "value", "left").withColumn("kind", F.coalesce("kind", "learned")).drop("learned")
-        scored = named.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("hits"), F.count_distinct("value").alias("v"), F.first("seen").alias("seen"))
-        accepted = scored.where((F.col("v") >= support) & (F.col("hits") >= precision * F.col("seen"))).withColumn("share", F.least(F.col("hits") / F.col("seen"), F.lit(0.99)))
-        new = graph.where("kind is null").join(accepted.select("pattern", F.col("kind").alias("learned"), "share"), "pattern").select("value", "pattern", "learned", "share").distinct()
-        chance = new.groupBy("value", "learned").agg((1 - F.exp(F.sum(F.log(1 - F.col("share"))))).alias("p")).where(F.col("p") >= precision)
-        best = chance.groupBy("value").agg(F.max_by("learned", F.struct("p", "learned")).alias("learned"))
-        fresh, _ = store(best if known is None else best.join(known, "value", "left_anti"), "identifiers")
-        if fresh.isEmpty():
-            break
-        known = fresh if known is None else store(known.unionByName(fresh), "identifiers")[0]
-    if known is None:
-        return graph.limit(0).select("uid", F.col("kind"), "start", "end")
-    kept = accepted.select("pattern", F.col("kind").alias("learned"))
-    return graph.where("kind is null").join(known, "value").join(kept, ["pattern", "learned"]).select("uid", F.col("learned").alias("kind"), "start", "end").distinct()
+def _kind(token: Column) -> Column:
+    """Which seed a token is, if any."""
+    whole = lambda k: token.rlike(rf"^(?:{SEEDS[k]})\z") & valid(k, token)
+    return (
+        F.when(token.contains("@"), F.when(whole("email"), "email"))
+        .when(token.startswith("+"), F.when(whole("phone"), "phone"))
+        .when(token.rlike("^[0-9.]+\\z") & token.contains("."), F.when(whole("ip"), "ip"))
+        .when(F.length(token) >= 16, F.when(whole("card"), "card").when(whole("secret"), "secret"))
+    )
+
+
+def _plain(token: Column) -> Column:
+    """The hash of a token that is no seed, in lower case, without marks at its end."""
+    return F.xxhash64(F.lower(F.rtrim(token, F.lit(TRIMMED))))
+
+
+def _tokens(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, h (the hashes of all tokens; a seed has its kind's) and seeds (i, kind, value hash) of every text."""
+    cut = rows.select(*keep, F.col("text").rlike("[0-9@]").alias("odd"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    cut = cut.select(*keep, "tokens", F.when(F.col("odd"), F.transform("tokens", _kind)).alias("kinds"))
+    h = F.when(F.col("kinds").isNull(), F.transform("tokens", _plain)).otherwise(F.zip_with("tokens", "kinds", lambda t, k: F.when(k.isNull(), _plain(t)).otherwise(F.xxhash64(F.lit("\x01"), k))))
+    seeds = F.filter(F.transform("kinds", lambda k, i: F.struct(i.alias("i"), k.alias("kind"), F.xxhash64(F.get("tokens", i)).alias("value"))), lambda x: x["kind"].isNotNull())
+    return cut.select(*keep, h.alias("h"), F.when(F.size(seeds) > 0, seeds).alias("seeds"))
+
+
+def _around(h: str, i: Column) -> Column:
+    """The three patterns that the place i stands in."""
+    at = lambda k: F.get(h, i + k)
+    return F.array(F.xxhash64(F.lit(1), at(-2), at(-1)), F.xxhash64(F.lit(2), at(1), at(2)), F.xxhash64(F.lit(3), at(-1), at(1)))
+
+
+class Bootstrap:
+    def __init__(self, corpus: DataFrame, support: int, precision: float, share: float, broadcast_rows: int):
+        self.corpus, self.support, self.precision, self.share, self.broadcast_rows = corpus, support, precision, share, broadcast_rows
+        self.scratch: list[str] = []
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        df, path = store(df, what)
+        self.scratch.append(path)
+        return df
+
+    def meet(self, rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+        return rows.join(F.broadcast(few) if few.count() <= self.broadcast_rows else few, key)
+
+    def places(self) -> DataFrame:
+        """k1, k2, i, w, patterns of every token."""
+        at = F.transform("h", lambda w, i: F.struct(i.alias("i"), w.alias("w"), _around("h", i).alias("patterns")))
+        return self.corpus.select("k1", "k2", F.explode(at).alias("at")).select("k1", "k2", "at.*")
+
+    def run(self) -> DataFrame:
+        """k1, k2, i, kind: tokens that are identifiers and no seeds."""
+        none = lambda ddl: self.corpus.sparkSession.createDataFrame([], ddl)
+        seeds = self.corpus.where(F.col("seeds").isNotNull()).select(F.explode(F.transform("seeds", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), _around("h", s["i"]).alias("patterns")))).alias("s")).select("s.*")
+        contexts = self.keep(seeds.select("kind", "value", F.explode("patterns").alias("pattern")).groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")), "contexts")
+        seen, found, known = none("pattern long, seen long"), none("k1 long, k2 long, i int, w long, pattern long"), none("w long, kind string")
+        marks = F.array(*(F.xxhash64(F.lit("\x01"), F.lit(k)) for k in SEEDS))
+        held = none("pattern long")
+        while True:
+            enough = contexts.groupBy("pattern").agg(F.count_distinct("value").alias("v")).where(F.col("v") >= self.support).select("pattern")
+            fresh = self.keep(enough.join(seen, "pattern", "left_anti"), "patterns")
+            counted = self.meet(self.places().select(F.explode("patterns").alias("pattern")), fresh, "pattern").groupBy("pattern").agg(F.count("*").alias("seen"))
+            seen = self.keep(seen.unionByName(counted), "seen")
+            scored = contexts.groupBy("pattern", "kind").agg(F.sum("n").alias("hits"), F.count("*").alias("v")).where(F.col("v") >= self.support).join(seen, "pattern")
+            accepted = scored.where(F.col("hits") >= self.precision * F.col("seen")).select("pattern", "kind", F.least(F.col("hits") / F.col("seen"), F.lit(0.99)).alias("right"))
+            accepted = self.keep(accepted, "accepted")
+            unread = self.keep(accepted.select("pattern").distinct().join(held, "pattern", "left_anti"), "patterns")
+            if unread.isEmpty():
+                break
+            places = self.places().where(~F.array_contains(marks, F.col("w")))
+            found = self.keep(found.unionByName(self.meet(places.select("k1", "k2", "i", "w", F.explode("patterns").alias("pattern")), unread, "pattern").select(found.columns)), "found")
+            held = held.unionByName(unread)
+            new = self.identifiers(found, accepted, known, places)
+            if new is None:
+                break
+            fresh_known, more = new
+            known = self.keep(known.unionByName(fresh_known), "known")
+            contexts = self.keep(contexts.unionByName(more), "contexts")
+        out, path = store(found.join(known, "w").join(accepted.select("pattern", "kind"), ["pattern", "kind"]).select("k1", "k2", "i", "kind").distinct(), "learned")
+        remove(self.corpus.sparkSession, *self.scratch)
+        return out
+
+    def identifiers(self, found: DataFrame, accepted: DataFrame, known: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """The new identifiers with their kind, and their contexts; None if there are none."""
+        edges = found.select("w", "pattern").distinct().join(accepted, "pattern").join(known.select("w"), "w", "left_anti")
+        chance = edges.groupBy("w", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("right"))))).alias("p")).where(F.col("p") >= self.precision)
+        likely = self.keep(chance.groupBy("w").agg(F.max_by("kind", F.struct("p", "kind")).alias("kind")), "likely")
+        if likely.isEmpty():
+            return None
+        at = self.keep(self.meet(places.select("w", "patterns"), likely, "w").groupBy("w", "kind", "patterns").agg(F.count("*").alias("n")), "at")
+        total = at.groupBy("w", "kind").agg(F.sum("n").alias("total"))
+        inside = at.select("w", "kind", "n", F.explode("patterns").alias("pattern")).join(accepted.select("pattern", "kind"), ["pattern", "kind"]).groupBy("w", "pattern").agg(F.sum("n").alias("n"))
+        often = total.join(inside.groupBy("w").agg(F.max("n").alias("n")), "w").where(F.col("n") >= self.share * F.col("total"))
+        new = self.keep(often.select("w", "kind"), "identifiers")
+        if new.isEmpty():
+            return None
+        more = at.join(new.select("w"), "w", "left_semi").select("kind", F.col("w").alias("value"), "n", F.explode("patterns").alias("pattern"))
+        return new, more.groupBy("pattern", "kind", "value").agg(F.sum("n").alias("n")).select("pattern", "kind", "value", "n")
 
 
 def find_pii(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, precision: float = 0.7, digits: int = 5, broadcast_rows: int = 500_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, precision: float = 0.7, share: float = 0.1, broadcast_rows: int = 500_000,
 ) -> DataFrame:
-    """Per row: doc_id, email, ip, card, phone (arrays of start, end, value) and more (kind, start, end found by context).
+    """Per row: doc_id, email, ip, card, phone, secret (arrays of start, end, value) and more (kind, start, end found by
+    context).
 
     Places count code points, ends are exclusive. Null text counts as empty and has none. Rows that repeat, in id or
-    text or both, are rows of their own. An empty table gives no rows. Other columns are not read.
-    support: different known identifiers that a pattern must introduce. precision: the least share of a pattern's
-    occurrences that introduce a known identifier, and the least chance of a new identifier. digits: what a word
-    without @ must have to be looked at. Up to broadcast_rows patterns (8 bytes each) are broadcast.
+    text or both, are rows of their own. An empty table gives no rows. Other columns are not read. What context finds
+    never overlaps what a fixed pattern has found.
+    support: different known identifiers that a pattern must hold. precision: the least share of a pattern's occurrences
+    that hold a known identifier, and the least chance of a new identifier. share: the least share of a new identifier's
+    occurrences that stand in an accepted pattern, so that common words aren't taken for identifiers. Up to broadcast_rows
+    patterns or identifiers (16 bytes each) are broadcast; beyond it the same joins are shuffled.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
-    scanned = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *(base_spans(text, k).alias(k) for k in KINDS), candidates(text, digits).alias("found"))
-    scanned, _ = store(scanned, "scanned")
-    more = discovered(rows, scanned, support, precision, broadcast_rows)
-    more = more.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
-    return scanned.drop("found").join(more, "uid", "left").drop("uid")
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    # Rows with the same id and text are alike; they are known by a hash of both.
+    rows = rows.select("doc_id", "text", *(F.xxhash64(F.lit(s), F.col("doc_id").isNull(), "doc_id", "text").alias(k) for s, k in ((1, "k1"), (2, "k2"))))
+    scanned, _ = store(rows.select("doc_id", "k1", "k2", *(base_spans(F.col("text"), k).alias(k) for k in SEEDS)), "scanned")
+    corpus, path = store(_tokens(rows, "k1", "k2"), "tokens", "zstd")
+    learned = Bootstrap(corpus, support, precision, share, broadcast_rows).run()
+    remove(spark, path)
+
+    wanted = learned.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "kind")).alias("at"))
+    few = F.broadcast(wanted) if learned.count() <= broadcast_rows else wanted
+    span = lambda t, i, s, found, gaps: F.struct(s.alias("start"), (s + F.length(F.rtrim(t, F.lit(TRIMMED)))).alias("end"))
+    placed = rows.join(few, ["k1", "k2"]).select("k1", "k2", "at", matches(F.col("text"), TOKEN, span).alias("all"))
+    more = F.array_sort(F.transform("at", lambda a: F.struct(a["kind"].alias("kind"), F.get("all", a["i"])["start"].alias("start"), F.get("all", a["i"])["end"].alias("end"))))
+    more, _ = store(placed.select("k1", "k2", more.alias("more")).dropDuplicates(["k1", "k2"]), "more")
+    apart = F.filter("more", lambda m: reduce(Column.__and__, (~F.exists(k, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])) for k in SEEDS)))
+    return scanned.join(more, ["k1", "k2"], "left").withColumn("more", F.when(F.col("more").isNotNull(), apart)).drop("k1", "k2")
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans: kind:start:end, by kind and start, comma-joined."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end of all spans, by kind and start,
+    comma-joined; secrets come last), and how many of them are secrets by form, by context, and in all."""
     text = lambda k, s: F.concat(F.lit(k + ":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))
 
     def listed(kind: str) -> Column:
         return F.transform(kind, lambda s: text(kind, s))
 
     base = F.array_join(F.concat(*map(listed, KINDS)), ",")
+    more = F.coalesce("more", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))
 
     def merged(kind: str) -> Column:
-        extra = F.filter(F.coalesce("more", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")), lambda m: m["kind"] == kind)
+        extra = F.filter(more, lambda m: m["kind"] == kind)
         both = F.sort_array(F.concat(F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.transform(extra, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))))
         return F.transform(both, lambda s: text(kind, s))
 
@@ -205,5 +270,8 @@ def report(found: DataFrame) -> DataFrame:
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat(*(merged(k) for k in KINDS)), ",").alias("spans"),
+        F.array_join(F.concat(*(merged(k) for k in SEEDS)), ",").alias("spans"),
+        F.size("secret").cast("long").alias("n_secret"),
+        F.size(more).cast("long").alias("n_by_context"),
+        reduce(Column.__add__, (F.size(k) for k in SEEDS), F.size(more)).cast("long").alias("n_spans"),
     )
