@@ -3,10 +3,10 @@
 Tokenising: each document's ids and a closing id are cut into pieces of `capacity`; a full piece is a sequence of its
 own. The rest are dealt into blocks of about `block` pieces by a hash, and every block is packed by several islands.
 
-A chromosome is a packing, a list of bins. Crossover takes whole well-filled bins of one parent into the other,
-removes the bins that hold the same pieces, and best-fits the pieces these displaced. Islands of a block start from
-best-fit packings of differently perturbed orders; between epochs the elite of each goes to the next island by a
-shuffle. A block whose elite has as few bins as its tokens need is done.
+A chromosome is a packing. Crossover takes whole well-filled bins of one parent into the other, removes the bins that hold
+the same pieces, and best-fits the pieces these displaced. Islands of a block start from random orders; between epochs the
+elite of each goes to the next island by a shuffle. A block whose elite has as few bins as its tokens need is done. Pieces in
+bins that are left half empty meet those of other blocks on a next level.
 """
 
 from __future__ import annotations
@@ -119,175 +119,217 @@ def _cut(path: str, capacity: int, closing: int):
     return run
 
 
-# A packing is a list of bins; a bin is a list of places in the block's lengths.
+# A chromosome is a packing: the bin of each piece of a block, and how full each bin is.
 
+Packing = tuple[np.ndarray, np.ndarray]
 
-def best_fit(lengths: list[int], order, capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
-    """Each piece of order goes to the fullest bin that has room for it, else to a new one."""
-    bins = [list(b) for b in bins or []]
-    room: list[tuple[int, int]] = sorted((capacity - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
-    for i in order:
-        n = lengths[i]
+
+def best_fit(lengths: np.ndarray, order, capacity: int, of: np.ndarray, fill: list[int]) -> Packing:
+    """Each piece of order goes to the fullest bin that has room for it, else to a new one; of and fill are what is packed
+    already, and are changed."""
+    room = sorted((capacity - f, k) for k, f in enumerate(fill) if f < capacity)
+    for i, n in zip(order, lengths[order].tolist(), strict=True):
         at = bisect_left(room, (n, -1))
         if at == len(room):
-            bins.append([i])
-            insort(room, (capacity - n, len(bins) - 1))
+            of[i] = len(fill)
+            fill.append(n)
+            insort(room, (capacity - n, len(fill) - 1))
         else:
             left, k = room.pop(at)
-            bins[k].append(i)
+            of[i] = k
+            fill[k] += n
             if left > n:
                 insort(room, (left - n, k))
-    return bins
-
-
-def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
-    """Fewer bins are better; of as many, those that are filled unevenly (so that one can be emptied)."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
-
-
-def crossover(lengths: list[int], mine: list[list[int]], other: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Inject whole well-filled bins of other into mine, drop the bins that hold their pieces, best-fit what they held."""
-    full = [b for b in other if sum(lengths[i] for i in b) >= 0.99 * capacity]
-    if not full:
-        full = sorted(other, key=lambda b: -sum(lengths[i] for i in b))[: max(1, len(other) // 4)]
-    share = int(rng.integers(1, len(full) + 1))
-    taken = [full[k] for k in rng.choice(len(full), share, replace=False)]
-    inside = {i for b in taken for i in b}
-    kept, displaced = [], []
-    for b in mine:
-        if inside.isdisjoint(b):
-            kept.append(b)
-        else:
-            displaced += [i for i in b if i not in inside]
-    # The emptiest of the bins kept are opened too, so that the child can lose a bin.
-    kept.sort(key=lambda b: sum(lengths[i] for i in b))
-    opened = min(len(kept), int(rng.integers(1, 9)))
-    displaced += [i for b in kept[:opened] for i in b]
-    displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(lengths, displaced, capacity, [*kept[opened:], *taken])
+    return of, np.array(fill, np.int64)
 
 
-def _encode(bins: list[list[int]], n: int) -> bytes:
-    out = np.zeros(n, np.int32)
-    for k, b in enumerate(bins):
-        out[b] = k
-    return out.tobytes()
+def founded(lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
+    """A first chromosome: the pieces in a random order, each to the bin it fits best."""
+    return best_fit(lengths, rng.permutation(len(lengths)).tolist(), capacity, np.zeros(len(lengths), np.int32), [])
 
 
-def _decode(packed: bytes) -> list[list[int]]:
-    of = np.frombuffer(packed, np.int32)
-    order = np.argsort(of, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)] if len(of) else []
-
-
-STATE = "block long, island int, lengths binary, packings array<binary>, elite binary, bins int, done boolean"
-
-
-def _state(block: int, island: int, lengths: np.ndarray, population: list[list[list[int]]], capacity: int) -> dict:
-    best = population[0]
+def fitness(packing: Packing, capacity: int) -> tuple[int, float]:
+    """Fewer bins are better; of as many, those that are filled unevenly (so that one can be emptied)."""
+    return -len(packing[1]), float(((packing[1] / capacity) ** 2).sum())
+
+
+def crossover(lengths: np.ndarray, mine: Packing, other: Packing, capacity: int, rng: np.random.Generator) -> Packing:
+    """Inject whole well-filled bins of other into mine, take out the bins that hold any of their pieces, and best-fit
+    the pieces that lost their bin. A few of the emptiest bins and some others that aren't full are opened too, so that the
+    child can have one less."""
+    (of, fill), (other_of, other_fill) = mine, other
+    good = np.flatnonzero(other_fill >= 0.99 * capacity)
+    if not len(good):
+        good = np.argsort(-other_fill, kind="stable")[: max(1, len(other_fill) // 4)]
+    chosen = rng.choice(good, int(rng.integers(1, len(good) + 1)), replace=False)
+    place = np.full(len(other_fill), -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    injected = place[other_of] >= 0
+    gone = np.zeros(len(fill), bool)
+    gone[of[injected]] = True
+    kept = np.flatnonzero(~gone)
+    gone[kept[np.argsort(fill[kept], kind="stable")[: int(rng.integers(1, 9))]]] = True
+    loose = np.flatnonzero(~gone & (fill < capacity))
+    gone[rng.choice(loose, min(len(loose), int(rng.integers(1, 65))), replace=False)] = True
+    number = np.cumsum(~gone) - 1
+    child = np.where(injected, place[other_of] + number[-1] + 1, number[of]).astype(np.int32)
+    displaced = np.flatnonzero(gone[of] & ~injected)
+    order = displaced[np.argsort(-lengths[displaced], kind="stable")]
+    return best_fit(lengths, order.tolist(), capacity, child, [*fill[~gone].tolist(), *other_fill[chosen].tolist()])
+
+
+def evolve(lengths: np.ndarray, population: list[Packing], capacity: int, generations: int, rng: np.random.Generator, size: int) -> tuple[list[Packing], int]:
+    """The best `size` chromosomes, best first, and the generations that were run. It ends early at the fewest bins that
+    the pieces' tokens allow."""
+    least, run = -(-int(lengths.sum()) // capacity), 0
+    scored = sorted(((fitness(p, capacity), -k, p) for k, p in enumerate(population)), key=lambda x: x[:2], reverse=True)
+    for run in range(1, generations + 1):
+        if len(scored[0][2][1]) <= least:
+            return [p for *_, p in scored[:size]], run - 1
+        a, b = rng.choice(len(scored), 2, replace=len(scored) < 2)
+        child = crossover(lengths, scored[min(a, b)][2], scored[max(a, b)][2], capacity, rng)
+        scored = sorted([*scored, (fitness(child, capacity), -len(population) - run, child)], key=lambda x: x[:2], reverse=True)[: max(size, 2)]
+    return [p for *_, p in scored[:size]], run
+
+
+STATE = "block long, island int, lengths binary, packings array<binary>, elite binary, bins int, founded int, least int, generations int, done boolean"
+
+
+def _packed(of: np.ndarray) -> bytes:
+    return of.astype(np.int32).tobytes()
+
+
+def _unpacked(raw: bytes, lengths: np.ndarray) -> Packing:
+    of = np.frombuffer(raw, np.int32)
+    return of, np.bincount(of, weights=lengths).astype(np.int64)
+
+
+def _state(block: int, island: int, lengths: np.ndarray, population: list[Packing], capacity: int, first: int, generations: int) -> dict:
+    best, least = population[0], -(-int(lengths.sum()) // capacity)
     return {
-        "block": block, "island": island, "lengths": lengths.astype(np.int64).tobytes(), "packings": [_encode(p, len(lengths)) for p in population],
-        "elite": _encode(best, len(lengths)), "bins": len(best), "done": len(best) <= -(-int(lengths.sum()) // capacity),
+        "block": block, "island": island, "lengths": lengths.astype(np.int64).tobytes(), "packings": [_packed(of) for of, _ in population],
+        "elite": _packed(best[0]), "bins": len(best[1]), "founded": first, "least": least, "generations": generations, "done": len(best[1]) <= least,
     }
 
 
-def _found(capacity: int, population: int, islands: int):
-    """The first population of every island of a block."""
+def _found(capacity: int, population: int, island_count: int):
+    """The first population of every island of a block, from random orders."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["uid", "piece"], kind="stable")
-        block, lengths = int(pdf["block"].iloc[0]), pdf["length"].to_numpy()
-        plain, rows = lengths.tolist(), []
-        for island in range(islands):
+        block, lengths, rows = int(pdf["block"].iloc[0]), pdf["length"].to_numpy(), []
+        for island in range(island_count):
             rng = np.random.default_rng([block, island])
-            packings = []
-            for k in range(population):
-                noise = rng.normal(0, 0.02 * capacity * (k + island > 0) * (1 + k), len(lengths))
-                packings.append(best_fit(plain, np.argsort(-(lengths + noise), kind="stable").tolist(), capacity))
-                if len(packings[-1]) <= -(-sum(plain) // capacity):
-                    break
-            packings.sort(key=lambda p: fitness(plain, p, capacity), reverse=True)
-            rows.append(_state(block, island, lengths, packings, capacity))
-            if rows[-1]["done"]:
-                break
+            first = sorted((founded(lengths, capacity, rng) for _ in range(population)), key=lambda p: fitness(p, capacity), reverse=True)
+            rows.append(_state(block, island, lengths, first, capacity, len(first[0][1]), 0))
         return pd.DataFrame(rows)
 
     return run
 
 
-def _evolve(capacity: int, generations: int, epoch: int):
+def _epoch(capacity: int, generations: int, epoch: int):
     """One island's epoch: its own state and the elite that came from its neighbour."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf[pdf["packings"].notna()].iloc[0]
-        lengths = np.frombuffer(home["lengths"], np.int64)
-        plain, rng = lengths.tolist(), np.random.default_rng([int(home["block"]), int(home["island"]), epoch])
-        packings = [_decode(p) for p in home["packings"]] + [_decode(p) for p in pdf[pdf["packings"].isna()]["elite"]]
-        size, least = len(home["packings"]), -(-sum(plain) // capacity)
-        scored = sorted(((fitness(plain, p, capacity), k, p) for k, p in enumerate(packings)), reverse=True)
-        for g in range(generations):
-            if len(scored[0][2]) <= least:
-                break
-            a, b = rng.choice(len(scored), 2, replace=len(scored) < 2)
-            child = crossover(plain, scored[min(a, b)][2], scored[max(a, b)][2], capacity, rng)
-            scored = sorted([*scored, (fitness(plain, child, capacity), len(packings) + g, child)], reverse=True)[: max(size, 2)]
-        return pd.DataFrame([_state(int(home["block"]), int(home["island"]), lengths, [p for *_, p in scored], capacity)])
+        block, island, lengths = int(home["block"]), int(home["island"]), np.frombuffer(home["lengths"], np.int64)
+        population = [_unpacked(p, lengths) for p in [*home["packings"], *pdf[pdf["packings"].isna()]["elite"]]]
+        best, more = evolve(lengths, population, capacity, generations, np.random.default_rng([block, island, epoch]), len(home["packings"]))
+        return pd.DataFrame([_state(block, island, lengths, best, capacity, int(home["founded"]), int(home["generations"]) + more)])
 
     return run
 
 
-def _place(pdf: pd.DataFrame, capacity: int, most_bins: int) -> pd.DataFrame:
+PLACED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, block long, bin int, fill long, offset long"
+
+
+def _place(pdf: pd.DataFrame) -> pd.DataFrame:
     pieces = pdf[pdf["elite"].isna()].sort_values(["uid", "piece"], kind="stable").copy()
-    of = np.frombuffer(pdf[pdf["elite"].notna()]["elite"].iloc[0], np.int32)
+    of, fill = _unpacked(pdf[pdf["elite"].notna()]["elite"].iloc[0], pieces["length"].to_numpy())
     order = np.argsort(of, kind="stable")
     lengths = pieces["length"].to_numpy()[order]
     before, first = np.cumsum(lengths) - lengths, np.r_[True, np.diff(of[order]) > 0]
     offset = np.empty(len(of), np.int64)
     offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-    pieces["sequence_id"] = int(pieces["block"].iloc[0]) * most_bins + of.astype(np.int64)
-    pieces["offset"] = offset
-    return pieces[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
-
-
-def pack(
+    pieces["bin"], pieces["fill"], pieces["offset"] = of, fill[of], offset
+    return pieces[[c.split()[0] for c in PLACED.split(", ")]].astype({"doc_id": "Int64"})
+
+
+class Packer:
+    def __init__(self, capacity: int, block: int, islands: int, population: int, epochs: int, generations: int):
+        self.capacity, self.block, self.islands, self.population, self.epochs, self.generations = capacity, block, islands, population, epochs, generations
+
+    def evolved(self, rest: DataFrame, blocks: int) -> tuple[DataFrame, str]:
+        """The islands' last state: founded, then evolved for some epochs with elites that migrate by a shuffle."""
+        lengths = rest.select("block", "uid", "piece", "length")
+        state, path = store(lengths.groupBy("block").applyInPandas(_found(self.capacity, self.population, self.islands), STATE), "islands")
+        parts = partitions_for(rest.sparkSession, blocks * self.islands, 16)
+        for epoch in range(self.epochs):
+            done = state.where("done").select("block").distinct()
+            going = state.join(done, "block", "left_anti")
+            if going.isEmpty():
+                break
+            migrants = going.select("block", F.pmod(F.col("island") + 1, F.lit(self.islands)).alias("island"), F.lit(None).cast("binary").alias("lengths"), F.lit(None).cast("array<binary>").alias("packings"), "elite", "bins", "founded", "least", "generations", "done")
+            moved = going.unionByName(migrants).repartition(parts, "block", "island")
+            evolved = moved.groupBy("block", "island").applyInPandas(_epoch(self.capacity, self.generations, epoch), STATE)
+            new, new_path = store(evolved.unionByName(state.join(done, "block", "left_semi")), "islands")
+            remove(rest.sparkSession, path)
+            state, path = new, new_path
+        return state, path
+
+    def placed(self, rest: DataFrame, n: int, level: int) -> tuple[DataFrame, DataFrame]:
+        """rest's pieces with block, bin, fill and offset; and a row per block on how its packing came about."""
+        blocks = max(1, round(n / self.block))
+        rest = rest.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "uid", "piece"), F.lit(blocks)))
+        state, path = self.evolved(rest, blocks)
+        best = state.groupBy("block").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
+        empty = {c: F.lit(None).cast(t) for c, t in rest.dtypes if c != "block"}
+        both = rest.withColumn("elite", F.lit(None).cast("binary")).unionByName(best.select("block", "elite", *(v.alias(c) for c, v in empty.items())))
+        out, _ = store(both.groupBy("block").applyInPandas(_place, PLACED), "placed")
+        story = state.groupBy("block").agg(F.min("founded").alias("founded"), F.min("bins").alias("packed"), F.first("least").alias("least"), F.sum("generations").alias("generations"))
+        story, _ = store(story.select(F.lit(level).alias("level"), "*"), "story")
+        remove(rest.sparkSession, path)
+        return out, story
+
+
+def pack_with_story(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    block: int = 8192, islands: int = 3, population: int = 3, epochs: int = 2, generations: int = 6,
-) -> DataFrame:
+    block: int = 8192, islands: int = 3, population: int = 4, epochs: int = 4, generations: int = 25, well_filled: float = 0.98,
+) -> tuple[DataFrame, DataFrame]:
+    """What pack() gives, and a row per block: level, block, founded (the fewest sequences of its first chromosomes), packed
+    (of its last), least (that its tokens allow), generations (of all its islands).
+
+    Blocks hold about `block` pieces whatever the table's size. When all blocks of a level are packed, the sequences that
+    are less than `well_filled` give up their pieces, which are dealt into the blocks of the next level, until a level has
+    one block, or most of its pieces would go on: then what it packed stays.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    pieces, _ = store(rows.mapInArrow(_cut(tokenizer, capacity, closing), PIECES), "pieces")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    out = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest, story, level = pieces.where(F.col("length") < capacity), None, 0
+    n, packer = rest.count(), Packer(capacity, block, islands, population, epochs, generations)
+    while n:
+        placed, told = packer.placed(rest, n, level)
+        story = told if story is None else story.unionByName(told)
+        loose = F.col("fill") < well_filled * capacity
+        left = 0 if round(n / block) <= 1 else placed.where(loose).count()
+        if left > n // 2:
+            left = 0
+        stays = placed.where(~loose) if left else placed
+        # A level's sequences have numbers of their own: the level in the highest bits, then the block, then the bin.
+        name = F.lit(level).cast("long") * F.lit(1 << 58) + F.col("block") * F.lit(1 << 26) + F.col("bin")
+        out = out.unionByName(stays.select(*columns, name.alias("sequence_id"), "offset"))
+        rest, n, level = placed.where(loose).select([c.split()[0] for c in PIECES.split(", ")]), left, level + 1
+    return out, docs.sparkSession.createDataFrame([], "level int, block long, founded int, packed int, least int, generations long") if story is None else story
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text", **genetic) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text counts as empty and is the closing id alone. Rows with the same id, or with none, are packed each for
-    itself. An empty table gives no rows. Other columns are not read. Sequence ids: full pieces have ids below 0,
-    others their block's number and their bin's. Blocks hold about `block` pieces whatever the table's size.
+    itself, repeated rows too. Pieces of equal length are told apart by their rows. An empty table gives no rows. Other
+    columns, whatever their names, are not read. Sequence ids: full pieces have ids below 0, others their level's, their
+    block's and their bin's.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    pieces, _ = store(rows.mapInArrow(_cut(tokenizer, capacity, closing), PIECES), "pieces")
-    whole = pieces.where(F.col("length") == capacity).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    rest = pieces.where(F.col("length") < capacity)
-    n = rest.count()
-    if not n:
-        return whole
-    blocks = max(1, round(n / block))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("uid", "piece"), F.lit(blocks)))
-    parts = partitions_for(spark, blocks * islands, 16)
-    lengths = rest.select("block", "uid", "piece", "length")
-    state, path = store(lengths.groupBy("block").applyInPandas(_found(capacity, population, islands), STATE), "islands")
-    for epoch in range(epochs):
-        done = state.where("done").select("block").distinct()
-        going = state.join(done, "block", "left_anti")
-        if going.isEmpty():
-            break
-        elites = going.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.lit(None).cast("binary").alias("lengths"), F.lit(None).cast("array<binary>").alias("packings"), "elite", "bins", "done")
-        moved = going.unionByName(elites).repartition(parts, "block", "island")
-        evolved = moved.groupBy("block", "island").applyInPandas(_evolve(capacity, generations, epoch), STATE)
-        settled = state.join(done, "block", "left_semi")
-        new, new_path = store(evolved.unionByName(settled), "islands")
-        remove(spark, path)
-        state, path = new, new_path
-    best = state.groupBy("block").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
-    empty = {c: F.lit(None).cast(t) for c, t in rest.dtypes if c != "block"}
-    both = rest.withColumn("elite", F.lit(None).cast("binary")).unionByName(best.select("block", "elite", *(v.alias(c) for c, v in empty.items())))
-    packed = both.groupBy("block").applyInPandas(lambda pdf: _place(pdf, capacity, 1 << 32), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return packed.unionByName(whole)
+    return pack_with_story(docs, tokenizer, capacity, closing, id_col, text_col, **genetic)[0]

@@ -179,11 +179,24 @@ def test_packing(spark, docs, none):
 
 def test_crossover_keeps_all_pieces():
     rng = np.random.default_rng(1)
-    lengths = rng.integers(1, 60, 200).tolist()
-    a, b = (packing.best_fit(lengths, rng.permutation(200).tolist(), 64) for _ in range(2))
-    child = packing.crossover(lengths, a, b, 64, rng)
-    assert sorted(i for bin_ in child for i in bin_) == list(range(200)) and max(sum(lengths[i] for i in bin_) for bin_ in child) <= 64
-    assert sorted(map(sorted, packing._decode(packing._encode(child, 200)))) == sorted(map(sorted, child))
+    lengths = rng.integers(1, 60, 200)
+    a, b = (packing.founded(lengths, 64, rng) for _ in range(2))
+    for _ in range(50):
+        of, fill = packing.crossover(lengths, a, b, 64, rng)
+        assert (np.bincount(of, weights=lengths, minlength=len(fill)) == fill).all() and fill.max() <= 64 and fill.min() > 0 and len(of) == 200
+
+
+def test_evolution_makes_the_packing(spark):
+    """From random orders, well above what the tokens allow, to within a sequence of it; blocks meet on a second level."""
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(1, 14)))) for i in range(1500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    packed, story = packing.pack_with_story(df, WORD_BPE, capacity=64, block=500)
+    rows, told = packed.toPandas(), story.toPandas()
+    assert (told.founded > told.least * 1.01).any() and (told.packed <= told.founded).all() and told.generations.sum() > 0 and told.level.max() == 1
+    assert rows.sequence_id.nunique() <= -(-rows.length.sum() // 64) + 2
+    again = packing.pack_with_story(df, WORD_BPE, capacity=64, block=500)[0].toPandas()
+    assert sorted(map(tuple, rows.to_numpy().tolist())) == sorted(map(tuple, again.to_numpy().tolist()))
 
 
 def test_word_encoder_is_the_tokenizer():
