@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +96,21 @@ def in_bytes(batch: pa.RecordBatch, column: str | int, limit: int) -> Iterator[p
         yield batch.slice(start)
 
 
+def map_rows(df: DataFrame, run, **more: str) -> DataFrame:
+    """df.mapInArrow(run) with df's columns, whatever their names (a dot or a name twice is no harm), and more columns
+    (name: type) after them. run sees and gives columns by their places; it may use any names."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    schema = StructType(list(plain.schema.fields))
+    for i, kind in enumerate(more.values(), len(df.columns)):
+        schema = schema.add(f"c{i}", kind)
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, schema.names)
+
+    return plain.mapInArrow(renamed, schema).toDF(*df.columns, *more)
+
+
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Enough partitions that each has per_partition rows at most on average, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))

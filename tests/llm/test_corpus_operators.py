@@ -51,14 +51,16 @@ def rows_of(df):
 
 def test_sharding(spark, docs, none, tmp_path):
     table = sharding.ShardedTable(spark, f"file://{tmp_path}/t")
+    docs = docs.withColumns({"run": F.lit(4), "shard": F.lit(None).cast("string"), "__name": F.lit("n")})
+    three = spark.createDataFrame(docs.limit(3).collect(), docs.schema)
     table.append(docs, 5)
-    table.append(docs.limit(3), 5)
+    table.append(three, 5)
     before = table.manifest()[1]
-    assert all(s.rows <= 5 for s in before)
+    assert all(r.rows <= 5 * r.shards for r in before) and len(before) <= 8
     table.compact(target_bytes=1 << 20, least_runs=3)
     after = table.manifest()[1]
-    assert len(after) < len(before) / 3 and sum(s.rows for s in after) == sum(s.rows for s in before) == docs.count() + 3
-    assert rows_of(table.read(2)) == rows_of(table.read()) != rows_of(table.read(1))
+    assert sum(r.shards for r in after) < sum(r.shards for r in before) / 3 and sum(r.rows for r in after) == sum(r.rows for r in before) == docs.count() + 3
+    assert rows_of(table.read(2)) == rows_of(table.read()) == rows_of(docs.unionByName(three)) != rows_of(table.read(1))
     with pytest.raises(RuntimeError, match="another writer"):
         table.commit(1, after, docs.schema)
     assert table.vacuum() > 0 and len(table.versions()) == 1
@@ -69,6 +71,14 @@ def test_sharding(spark, docs, none, tmp_path):
         empty.append(docs.select("doc_id"))
 
 
+def test_shards_come_near_the_target(spark, tmp_path):
+    rows = spark.range(20_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).repartition(8)
+    table = sharding.shard(rows, f"file://{tmp_path}/t", rows_per_shard=100, target_bytes=200_000)
+    runs = table.manifest()[1]
+    assert 50_000 < sum(r.bytes for r in runs) / sum(r.shards for r in runs) < 400_000 and len(runs) <= 4
+    assert table.read().exceptAll(rows).isEmpty() and table.read().count() == 20_000
+
+
 # 2
 
 
@@ -86,6 +96,36 @@ def brute_leaks(text, items, window):
     return len(ws), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
+def brute_longest(text, items, window):
+    """Longest match that holds a window (or a whole shorter item); the first here, then by item and place there."""
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    ws, best = word(text), []
+    for name, item in items:
+        iw = word(item)
+        for p in range(len(ws)):
+            for q in range(len(iw)):
+                n = 0
+                while p + n < len(ws) and q + n < len(iw) and ws[p + n] == iw[q + n]:
+                    n += 1
+                if n and n >= min(window, len(iw)):
+                    best.append((-n, p, str(name), q))
+    if not best:
+        return 0, None, None, None
+    n, p, name, q = min(best)
+    return -n, p, name, q
+
+
+def test_longest_match_in_repetitive_text():
+    items = [("a", "x " * 3000), ("b", "y " * 11 + "x " * 12), ("c", "z z")]
+    block = decontaminate.Block([(n, decontaminate.words(t.encode())) for n, t in items], 10)
+    docs = ["x " * 5000, "y " * 30 + "x " * 11 + "z z", "z z x z z", "x " * 9]
+    ends, place, which = decontaminate._places([d.encode() for d in docs], block, 1 << 20)
+    at, length, _, _ = decontaminate._longest(place, which, block, int(ends[-1]))
+    begins = np.r_[0, ends[:-1]]
+    doc = np.searchsorted(ends, at, side="right")
+    assert [int(length[doc == k].max(initial=0)) for k in range(4)] == [3000, 22, 2, 0] and len(at) < 50_000 and (at >= begins[doc]).all()
+
+
 @pytest.mark.parametrize("bounds", [{}, {"block_words": 5, "shard_words": 40, "shard_bytes": 300}])
 def test_decontaminate(spark, docs, none, bounds):
     texts = [r[1] for r in corpus()]
@@ -94,6 +134,8 @@ def test_decontaminate(spark, docs, none, bounds):
     got = decontaminate.report(decontaminate.find_matches(docs, benchmark, **bounds))
     want = [(r[0], *brute_leaks(r[1], items, 10)) for r in corpus()]
     assert rows_of(got) == sorted(want, key=str)
+    for r in decontaminate.find_matches(docs, benchmark, **bounds).collect():
+        assert any(brute_longest(x[1], items, 10) == (r.longest, r.longest_at, *((r.longest_item, r.longest_item_at) if r.longest else (None, None))) for x in corpus() if x[0] == r.doc_id)
     clean = decontaminate.decontaminate(docs, benchmark, **bounds)
     assert rows_of(clean) == sorted((r for r in corpus() if not brute_leaks(r[1], items, 10)[-1]), key=str) and clean.columns == docs.columns
     assert decontaminate.find_matches(none, benchmark).count() == 0
@@ -225,6 +267,49 @@ def test_language(spark, none):
     assert {r.lang_pred for r in language.predict(df, nothing).collect()} == {"und"} and language.predict(none, profiles).count() == 0
 
 
+def brute_language(train, text, dims=1024, seed=7):
+    """Plain hyperdimensional computing, letter by letter: the language and score of a text."""
+
+    def vector(t):
+        row, total = [0, *[ord(c) if c.isalpha() else 0 for c in (t or "").lower()], 0], np.zeros(dims)
+        row = [x for i, x in enumerate(row) if not (i and x == row[i - 1] == 0)]
+        found = {}
+        for g in zip(row, row[1:], row[2:], strict=False):
+            if g[1]:
+                found[g] = found.get(g, 0) + 1
+        for g, n in found.items():
+            v = np.ones(dims)
+            for k, letter in enumerate(g):
+                v = v * np.roll(language.letter_vectors(np.array([letter]), dims, seed)[0], 2 - k)
+            total += n**0.5 * v
+        return total / np.linalg.norm(total) if found else None
+
+    means = {}
+    for t, lang in train:
+        if lang and (v := vector(t)) is not None:
+            means.setdefault(lang, []).append(v)
+    means = {k: np.mean(v, axis=0) for k, v in sorted(means.items())}
+    common, d = np.mean(list(means.values()), axis=0), vector(text)
+    if d is None:
+        return "und", 0.0
+    cos = {k: float((d - common) @ (m - common) / np.linalg.norm(d - common) / np.linalg.norm(m - common)) for k, m in means.items()}
+    best = max(cos, key=cos.get)
+    return best, (1 + cos[best]) / 2
+
+
+def test_language_is_plain_hyperdimensional_computing(spark):
+    rng = random.Random(9)
+    words = {"en": "the quick brown fox", "ru": "быстрая лиса прыгает", "zh": "敏捷的 棕色 狐狸", "de": "der schnelle fuchs über"}
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(rng.randrange(1, 9))), k) for i, k in enumerate(list(words) * 6)]
+    rows += [(100, None, "en"), (101, "..", "de"), (102, "the 狐狸 über x", None), (103, "q", None), (103, "q", None), (104, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in language.predict(df.withColumn("read", F.lit(1)), language.fit(df), keep=["doc_id", "read"]).collect())
+    assert got == sorted((i, *((b := brute_language([r[1:] for r in rows], t))[0], round(b[1], 4))) for i, t, _ in rows)
+    assert len({letter.tobytes() for letter in language.letter_vectors(np.arange(97, 2000), 1024, 7)}) == 1903
+    with pytest.raises(ValueError, match="lang_pred"):
+        language.predict(df.withColumn("Lang_Pred", F.lit(1)), language.fit(df))
+
+
 def test_grams_do_not_depend_on_chunks(monkeypatch):
     text = "The quick, brown fox. É à " * 9
     whole = language.grams(text.encode(), 3)
@@ -259,7 +344,7 @@ def brute_components(rows, n, percent):
     return [(r[0], len(sets[i]), lowest.get(find(i)), find(i)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("n", "percent", "bounds"), [(4, 85, {}), (2, 60, {"slice_bytes": 500, "broadcast_rows": 0})])
+@pytest.mark.parametrize(("n", "percent", "bounds"), [(4, 85, {}), (2, 60, {"slice_bytes": 500, "broadcast_rows": 0}), (2, 50, {"meet": 2})])
 def test_ngram_join(docs, none, n, percent, bounds):
     got = ngram_join.similar_components(docs, n, percent, **bounds).select("doc_id", "n_shingles", "component_id")
     want = brute_components(corpus(), n, percent)
@@ -271,6 +356,34 @@ def test_ngram_join(docs, none, n, percent, bounds):
         assert ngram_join.similar_components(none).count() == 0
 
 
+def test_products_are_the_overlaps():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 80).astype(np.uint64) * np.uint64(2)
+    rows = [np.unique(rng.choice(base, int(rng.integers(1, 60)))) for _ in range(60)]
+    column, row = np.concatenate(rows), np.repeat(np.arange(60), [len(r) for r in rows])
+    order = np.argsort(column, kind="stable")
+    size = np.array([len(r) for r in rows])[row]
+    a, b, na, nb, shared = ngram_join.block_product(column[order].view(np.int64), row[order], size[order], 30)
+    want = {(i, j): len(np.intersect1d(rows[i], rows[j])) for j in range(60) for i in range(j) if 100 * min(len(rows[i]), len(rows[j])) >= 30 * max(len(rows[i]), len(rows[j]))}
+    assert {(i, j): c for i, j, c in zip(a.tolist(), b.tolist(), shared.tolist(), strict=True)} == {k: c for k, c in want.items() if c}
+    i, j = np.array(list(want)).T
+    begin = np.r_[0, np.cumsum([len(r) for r in rows])]
+    for most in (50, 10**6):
+        good = ngram_join.tile_product(i, j, column, begin, 40, most)
+        assert good.any() and good.tolist() == [140 * c >= 40 * (len(rows[x]) + len(rows[y])) for (x, y), c in want.items()]
+
+
+def test_similar_pairs_and_links(docs):
+    rows = corpus()
+    for bounds in ({}, {"meet": 2}):
+        pairs, members = ngram_join.similar_pairs(docs, 2, 60, **bounds)
+        sets = [{tuple(ws[i : i + 2]) for i in range(len(ws) - 1)} if len(ws) > 1 else {tuple(ws)} if ws else set() for ws in ((r[1] or "").lower().split() for r in rows)]
+        links = [sum(160 * len(s & t) >= 60 * (len(s) + len(t)) for j, t in enumerate(sets) if j != i) if s else 0 for i, s in enumerate(sets)]
+        assert sorted((str(r.doc_id), r.n_links) for r in members.collect()) == sorted((str(r[0]), k) for r, k in zip(rows, links, strict=True))
+        different = {frozenset(s) for s in sets if s}
+        assert pairs.count() == sum(160 * len(s & t) >= 60 * (len(s) + len(t)) for s in different for t in different if s != t) // 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 3), (7, 7)] + [(259, i) for i in range(200, 259)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -395,7 +508,7 @@ def test_attention_scores_each_position_once():
     sizes = [1, 8, 9, 0, 13, 40]
     bounds = np.r_[0, np.cumsum(sizes)]
     classes = rng.integers(0, 5, bounds[-1])
-    got = attention.score(p, classes, bounds, shape, batch=3)
+    got = attention.score(p, classes, classes, bounds, shape, batch=3)
     for a, b in zip(bounds, bounds[1:], strict=False):
         text = classes[a:b]
         for i in range(len(text)):
@@ -413,15 +526,51 @@ def test_training_windows_cover_whole_texts():
     sub, shape = lm._subwords(path, pattern), attention.Shape(classes=5)
     of = (np.arange(sub.end + 1) % 5).astype(np.uint16)
     docs = [(r[1] or "").encode() for r in corpus()]
-    x, y, real = lm._windows(docs, sub, of, shape)
+    x, y, real = lm._windows(docs, sub, of, of.astype(np.int64), shape)
     want = [of[np.r_[sub.encode(lm.split(t)), sub.end].astype(np.int64)].tolist() for t in docs]
     assert y[real].tolist() == sum(want, []) and x[real].tolist() == sum(([5, *c[:-1]] for c in want), [])
     assert shape.window - attention.Shape().stride >= shape.window // 2
 
 
+def test_pairs_and_classes_are_a_distribution():
+    sub = lm._subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng, shape = np.random.default_rng(4), attention.Shape(classes=96, inputs=100 + 96)
+    counts = np.zeros(sub.end + 1, np.int64)
+    some = rng.choice(sub.end, 3000, replace=False)
+    counts[some] = rng.integers(1, 1000, 3000)
+    frequent = np.argsort(-counts, kind="stable")[: lm.PAIRED].tolist()
+    pairs = [(int(a), int(b), int(n)) for a, b, n in zip(rng.choice([lm.FIRST, *frequent], 4000), rng.choice(frequent, 4000), rng.integers(1, 50, 4000), strict=True)]
+    classes, every = lm.Classes(counts, pairs, sub, shape), np.arange(sub.end + 1)
+    assert classes.input.max() < attention.start(shape) and abs(classes.prior.sum() - 1) < 1e-9
+    for before in (lm.FIRST, frequent[0], frequent[-1], int(np.flatnonzero(counts == 0)[5])):
+        p = np.exp(classes.follows(np.full(len(every), before), every).astype(float))
+        total = np.bincount(classes.of, weights=p, minlength=96)[np.unique(classes.of)]
+        assert np.abs(total - 1).max() < 1e-3
+    worth = lm.Worth(classes, sub)
+    ids = sub.encode([b"brown"])
+    want = float(classes.follows(np.r_[lm.FIRST, ids[:-1]], ids).sum())
+    assert abs(worth([b"brown", b"fox", b"brown"]) - 2 * want - worth([b"fox"])) < 1e-9
+
+
+def test_scores_do_not_depend_on_how_the_table_is_stored(spark, docs):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    key = lambda df: sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in lm.score_texts(df, F.col("doc_id") % 3 != 1, path, pattern, shard_words=500).collect())
+    assert key(docs) == key(docs.orderBy(F.desc("text")).repartition(7))
+
+
+def test_model_learns(spark):
+    """Words that only context tells apart: the model beats the share of each word in the held-out texts."""
+    rng, path, pattern = random.Random(11), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tongues = [[a + b for a in "ka lo mi ru te".split() for b in "ban dor fen gul".split()], [a + b for a in "she vo wi xa yu".split() for b in "nor pel qua ris".split()]]
+    rows = [(i, " ".join(rng.choice(tongues[i % 2]) + rng.choice(["", rng.choice(tongues[i % 2])]) for _ in range(120))) for i in range(400)]
+    out = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 0, path, pattern).where("held_out")
+    mean = out.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert mean[0] > mean[1]
+
+
 def test_lm(spark, docs, none):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = lm.score_texts(docs, F.col("doc_id") % 3 != 1, path, pattern, top_words=5, steps=20, rounds=1).collect()
+    out = lm.score_texts(docs, F.col("doc_id") % 3 != 1, path, pattern, top_words=5).collect()
     split = lambda t: lm.split((t or "").encode())
     train = [r for r in corpus() if r[0] is not None and r[0] % 3 != 1]
     count = {}
