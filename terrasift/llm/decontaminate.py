@@ -2,8 +2,10 @@
 
 A shard is a stretch of training words as ids of the benchmark's vocabulary; any other word, and the end of a
 document, is id 0 and matches nothing. A shard's suffix array is sorted by prefix doubling as far as the longest
-window asks for. Every suffix of every benchmark item is looked up in it by binary search; its range holds all
-verbatim places, which are mapped back to documents. Shards are independent: nothing is shuffled.
+window asks for. Every suffix of every benchmark item that a window fits into (of an item shorter than one, the whole item) is
+looked up in it by its window, by binary search; its range holds all verbatim places. Places that go on in step with the item are
+one match: from each place where a match begins it is followed, in document and item at once, to its end, so each document's
+longest verbatim match is known with where it is on both sides. Shards are independent: nothing is shuffled.
 
 The benchmark is broadcast in blocks of a fixed number of words; with more than one block, a pass over the
 documents is made per block and the hit places are united per document.
@@ -12,7 +14,8 @@ documents is made per block and the hit places are united per document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import in_bytes, store, texts
+from terrasift.llm.common import in_bytes, map_rows, remove, store, texts
 
 #: Lower-cases A-Z; ASCII that is no digit or letter separates words; other bytes belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SCHEMA = "uid long, doc_id long, n_words long, n_hit long, hits binary, items array<string>, longest long"
+SCHEMA = "uid long, doc_id long, n_words long, n_hit long, hits binary, items array<string>, longest long, longest_at long, longest_item string, longest_item_at long"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -37,6 +40,7 @@ class Block:
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window, self.vocabulary = window, {}
         self.names = [name for name, _ in items]
+        self.rank = np.unique([name or "" for name in self.names], return_inverse=True)[1] if items else np.zeros(0, np.int64)
         number, token, item, start, left = self.vocabulary, [], [], [], []
         for k, (_, ws) in enumerate(items):
             token += [number.setdefault(w, len(number) + 1) for w in ws]
@@ -54,6 +58,16 @@ class Block:
         pairs = np.unique(np.stack([inverse.ravel(), np.array(item, np.int64)], 1), axis=0) if start else np.zeros((0, 2), np.int64)
         self.owner = pairs[:, 1]
         self.bounds = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        # Where whole windows stand in the row of all items' words, by window and by the window one word before (-1: none).
+        self.at = np.full(len(token) + 1, -1, np.int64)
+        whole = left == window
+        places = np.array(start, np.int64)[whole]
+        self.at[places] = inverse.ravel()[whole]
+        self.item_of, self.item_begin = np.array(item, np.int64)[whole], np.cumsum([0, *(len(ws) for _, ws in items)])
+        before = np.where(places > self.item_begin[self.item_of], self.at[places - 1], -1)
+        order = np.lexsort((before, self.at[places]))
+        self.places, self.item_of = places[order], self.item_of[order]
+        self.order_window, self.order_before = self.at[self.places], before[order]
 
 
 def suffix_array(token: np.ndarray, depth: int, least: int, top: int) -> np.ndarray:
@@ -163,6 +177,40 @@ def _clean(block, column: int, shard_words: int, shard_bytes: int):
     return run
 
 
+def _longest(place: np.ndarray, which: np.ndarray, block: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Matches that can't be extended: where they begin in the shard, their words, the item, and where they begin there."""
+    whole = block.lengths[which] == block.window
+    at, start = np.full(n + 1, -1, np.int64), place[whole]
+    at[start] = which[whole]
+    before = np.where(start > 0, at[start - 1], -1)
+    # Of the places of the same window in items, those that the word before tells apart: there a match begins.
+    low, high = (np.searchsorted(block.order_window, at[start], side=s) for s in ("left", "right"))
+    step = len(block.windows) + 2
+    key, mine = block.order_window * step + block.order_before + 1, at[start] * step + before + 1
+    same_low, same_high = (np.where(before >= 0, np.searchsorted(key, mine, side=s), low) for s in ("left", "right"))
+    parts = []
+    for a, b in ((low, same_low), (same_high, high)):
+        count = b - a
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        parts.append((np.repeat(start, count), np.repeat(a, count) + inside))
+    p, q = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    here, there = p.copy(), block.places[q]
+    size, live = np.full(len(p), block.window, np.int64), np.arange(len(p))
+    while len(live):
+        here[live] += 1
+        there[live] += 1
+        goes = (at[here[live]] >= 0) & (at[here[live]] == block.at[there[live]])
+        live = live[goes]
+        size[live] += 1
+    item = block.item_of[q]
+    short = np.flatnonzero(~whole)  # whole items of fewer words than a window
+    owners = np.repeat(short, block.bounds[which[short] + 1] - block.bounds[which[short]])
+    count = block.bounds[which[short] + 1] - block.bounds[which[short]]
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner = block.owner[np.repeat(block.bounds[which[short]], count) + inside]
+    return np.r_[p, place[owners]], np.r_[size, block.lengths[which[owners]]], np.r_[item, owner], np.r_[block.places[q] - block.item_begin[item], np.zeros(len(owners), np.int64)]
+
+
 def _per_document(batch: pa.RecordBatch, block: Block, ends: np.ndarray, place: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
     begins = np.r_[0, ends[:-1]]
     doc = np.searchsorted(ends, place, side="right")
@@ -178,14 +226,21 @@ def _per_document(batch: pa.RecordBatch, block: Block, ends: np.ndarray, place:
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     of = np.unique(np.stack([np.repeat(seen[:, 0], n), block.owner[np.repeat(block.bounds[seen[:, 1]], n) + inside]], 1), axis=0)
     item_cut, span_cut = np.searchsorted(of[:, 0], np.arange(len(ends) + 1)), np.searchsorted(span_doc, np.arange(len(ends) + 1))
+    at, length, of_item, item_at = _longest(place, which, block, int(ends[-1]) if len(ends) else 0)
+    order = np.lexsort((item_at, block.rank[of_item], at, -length))
+    order = order[np.argsort(np.searchsorted(ends, at[order], side="right"), kind="stable")]
+    of_doc = np.searchsorted(ends, at[order], side="right")
+    best = {int(d): int(k) for d, k in zip(of_doc[::-1], order[::-1], strict=True)}
     hits, items, longest, n_hit = [], [], [], []
     for k in range(len(ends)):
         spans = np.stack([starts[span_cut[k] : span_cut[k + 1]], stops[span_cut[k] : span_cut[k + 1]]], 1) - begins[k]
         hits.append(spans.tobytes())
         n_hit.append(int((spans[:, 1] - spans[:, 0]).sum()))
         items.append([block.names[i] for i in of[item_cut[k] : item_cut[k + 1], 1] if block.names[i] is not None])
-        longest.append(int((spans[:, 1] - spans[:, 0]).max(initial=0)))
-    arrays = [batch.column("uid"), batch.column("doc_id"), pa.array(ends - 1 - begins, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
+        top = best.get(k)
+        longest.append((0, None, None, None) if top is None else (int(length[top]), int(at[top] - begins[k]), block.names[of_item[top]], int(item_at[top])))
+    arrays = [batch.column("uid"), batch.column("doc_id"), pa.array(ends - 1 - begins, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+    arrays += [pa.array([x[c] for x in longest], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))]
     return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCHEMA.split(", ")])
 
 
@@ -202,30 +257,34 @@ def _unite(pdf: pd.DataFrame) -> pd.DataFrame:
     out["hits"] = [np.array(merged, np.int64).tobytes()]
     out["n_hit"] = sum(b - a for a, b in merged)
     out["items"] = [sorted({i for x in pdf["items"] for i in x})]
-    out["longest"] = max((b - a for a, b in merged), default=0)
+    best = pdf.sort_values(["longest", "longest_at", "longest_item", "longest_item_at"], ascending=[False, True, True, True], kind="stable", na_position="first").iloc[0]
+    for c in ("longest", "longest_at", "longest_item", "longest_item_at"):
+        out[c] = pd.array([best[c]], dtype="Int64") if c != "longest_item" else [best[c]]
     return out
 
 
-def blocks_of(benchmark: DataFrame, window: int, item_col: str, item_text: str, block_words: int) -> list:
-    """Broadcasts of the benchmark, each of about block_words words; at least one."""
-    sc, items, held, blocks = benchmark.sparkSession.sparkContext, [], 0, []
-    for name, text in benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("binary")).toLocalIterator():
+def blocks_of(benchmark: DataFrame, window: int, item_col: str, item_text: str, block_words: int) -> Iterator[Block]:
+    """The benchmark, streamed in blocks of about block_words words; at least one."""
+    items, held, some = [], 0, False
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{item_text}`").cast("binary"))
+    for name, text in rows.toLocalIterator():
         if ws := words(bytes(text or b"")):
             items.append((name, ws))
             held += len(ws)
         if held >= block_words:
-            blocks.append(sc.broadcast(Block(items, window)))
-            items, held = [], 0
-    if items or not blocks:
-        blocks.append(sc.broadcast(Block(items, window)))
-    return blocks
+            yield Block(items, window)
+            items, held, some = [], 0, True
+    if items or not some:
+        yield Block(items, window)
 
 
 def find_matches(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", block_words: int = 4_000_000, shard_words: int = 1_000_000, shard_bytes: int = 6_000_000,
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, hits (word spans as int64 pairs, end exclusive), items, longest hit.
+    """Per document: doc_id, n_words, n_hit, hits (word spans as int64 pairs, end exclusive), items, and the longest
+    verbatim match with an item: longest (words; 0 if none has a window), longest_at (its first word here), longest_item and
+    longest_item_at (its first word there); of several the first here, then by the item's name.
 
     A window is `window` consecutive words of an item, or all words of a shorter item; an item without words has
     none. Null text has no words. An item without an id still makes words hit, but isn't named. Repeated items and
@@ -233,14 +292,21 @@ def find_matches(
     block_words bounds what is broadcast of the benchmark, shard_words and shard_bytes what a task sorts at once.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = blocks_of(benchmark, window, item_col, item_text, block_words)
-    if len(blocks) > 1:
-        rows, _ = store(rows, "documents")  # uid must be the same in every pass
-    passes = [rows.mapInArrow(_scan(b, shard_words, shard_bytes), SCHEMA) for b in blocks]
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    return out if len(passes) == 1 else out.groupBy("uid").applyInPandas(_unite, SCHEMA)
+    blocks, share = blocks_of(benchmark, window, item_col, item_text, block_words), docs.sparkSession.sparkContext.broadcast
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return rows.mapInArrow(_scan(share(first), shard_words, shard_bytes), SCHEMA)
+    rows, path = store(rows, "documents")  # uid must be the same in every pass
+    paths, passes = [path], []
+    for block in chain((first, second), blocks):  # one block is out at a time
+        shared = share(block)
+        done, path = store(rows.mapInArrow(_scan(shared, shard_words, shard_bytes), SCHEMA), "matches")
+        shared.unpersist()
+        passes.append(done)
+        paths.append(path)
+    united, _ = store(reduce(DataFrame.unionByName, passes).groupBy("uid").applyInPandas(_unite, SCHEMA), "united")
+    remove(docs.sparkSession, *paths)
+    return united
 
 
 def report(matches: DataFrame) -> DataFrame:
@@ -263,6 +329,16 @@ def decontaminate(
     """The documents, with all their columns, in which no benchmark window occurs. Cases as in find_matches; a
     document without words stays. With several benchmark blocks each filters what the one before left."""
     out, column = docs, docs.columns.index(text_col)
-    for b in blocks_of(benchmark, window, item_col, item_text, block_words):
-        out = out.mapInArrow(_clean(b, column, shard_words, shard_bytes), docs.schema)
-    return out
+    share, before = docs.sparkSession.sparkContext.broadcast, None
+    blocks = blocks_of(benchmark, window, item_col, item_text, block_words)
+    block = next(blocks)
+    while True:
+        shared = share(block)
+        out = map_rows(out, _clean(shared, column, shard_words, shard_bytes))
+        if (block := next(blocks, None)) is None:
+            return out
+        out, path = store(out, "cleaned")
+        shared.unpersist()
+        if before:
+            remove(docs.sparkSession, before)
+        before = path
