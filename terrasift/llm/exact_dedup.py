@@ -1,12 +1,12 @@
 """Exact duplicates by a log-structured merge index over text digests.
 
-Each task fills a memtable of digests; a full memtable is reduced to one entry per digest and flushed as a
-sorted run with a Bloom filter, cut at the bounds of the digest ranges. One task per range compacts its runs:
-entries that no other run's filter knows pass through, the rest are merged and keep the preferred identifier.
-Digests found more than once are hits; the texts behind them are compared byte by byte.
+Digests are dealt out by range. In a range's task they fill memtables; a full one is flushed as a sorted run with a Bloom
+filter, and the runs are compacted by tiers: entries that no other run's filter knows pass through, the rest are merged and
+keep the preferred identifier. Digests found more than once are hits; the texts behind them are compared byte by byte.
 
-Hot texts: a digest is reduced in every memtable before anything is shuffled, so a text that a third of all rows
-share adds one entry per flush. Ranges are as many as the number of entries asks for.
+Hot texts: before anything is shuffled, each task reduces its digests, some at a time, to one entry each, so a text that a third
+of all rows share adds one entry per task's memtable. Ranges are as many as the number of entries asks for, and an entry is a
+row of fixed size: what is shuffled grows with the data and no faster.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.common import partitions_for, remove, store
 
-RUN_SCHEMA = "range int, n int, digests binary, ids binary, has binary, uids binary, counts binary, filter binary"
+ENTRY_SCHEMA = "range long, digest binary, id long, uid long, n long"
 HIT_SCHEMA = "digest binary, keep_id long, keep_uid long, group_size long"
 BITS_PER_ENTRY, PROBES = 10, 4
 
@@ -57,41 +57,40 @@ def _reduce(digest: np.ndarray, ids: np.ndarray, has: np.ndarray, uid: np.ndarra
     return digest[first], ids[first], has[first], uid[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def _flush(width: int, ranges: int, memtable: int, largest: bool):
+def _reduced(width: int, ranges: int, memtable: int, largest: bool):
+    """One entry per digest of each memtable's worth of rows, with the range it belongs to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def sealed() -> Iterator[pa.RecordBatch]:
-            parts = _reduce(*(np.concatenate(x) for x in zip(*held, strict=True)), largest)
-            lead = np.zeros((len(parts[0]), 4), np.uint8)
-            raw = np.frombuffer(parts[0].tobytes(), np.uint8).reshape(len(parts[0]), width)
+        def entries() -> pa.RecordBatch:
+            digest, ids, has, uid, count = _reduce(*(np.concatenate(x) for x in zip(*held, strict=True)), largest)
+            lead = np.zeros((len(digest), 4), np.uint8)
+            raw = np.frombuffer(digest.tobytes(), np.uint8).reshape(len(digest), width)
             lead[:, : min(4, width)] = raw[:, :4]
             ranged = (lead.view(">u4").ravel().astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)
-            cuts = np.flatnonzero(np.r_[True, ranged[1:] != ranged[:-1]])
-            rows = []
-            for a, b in zip(cuts, np.r_[cuts[1:], len(ranged)], strict=True):
-                d, i, h, u, c = (x[a:b] for x in parts)
-                rows.append((int(ranged[a]), int(b - a), d.tobytes(), i.tobytes(), h.tobytes(), u.tobytes(), c.tobytes(), make_filter(d)))
-            types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
-            names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-        entries = 0
+            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(digest), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(ranged.astype(np.int64)), whole, pa.array(ids, mask=~has), pa.array(uid), pa.array(count)], [x.split()[0] for x in ENTRY_SCHEMA.split(", ")])
+
+        waiting = 0
         for batch in batches:
-            digest = np.frombuffer(b"".join(batch.column("digest").to_pylist()), f"S{width}")
             ids = batch.column("id")
             has = ids.is_valid().to_numpy(zero_copy_only=False)
-            held.append((digest, ids.fill_null(0).to_numpy(), has, batch.column("uid").to_numpy(), np.ones(len(digest), np.int64)))
-            entries += len(digest)
-            if entries >= memtable:
-                yield from sealed()
-                held, entries = [], 0
-        if entries:
-            yield from sealed()
+            held.append((_digests(batch.column("digest").to_pylist(), width), ids.fill_null(0).to_numpy(), has, batch.column("uid").to_numpy(), np.ones(batch.num_rows, np.int64)))
+            waiting += batch.num_rows
+            if waiting >= memtable:
+                yield entries()
+                held, waiting = [], 0
+        if waiting:
+            yield entries()
 
     return run
 
 
+def _digests(values: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), f"S{width}")
+
+
 def _merge(runs: list[tuple], largest: bool) -> tuple:
     """One sorted run out of a few: only entries that another run's filter knows are compared."""
     alone, meet = [], []
@@ -108,10 +107,16 @@ def _merge(runs: list[tuple], largest: bool) -> tuple:
     return digest[order], *(x[order] for x in rest), make_filter(digest)
 
 
-def _compact(width: int, largest: bool, fan_in: int = 8):
+def _compact(width: int, largest: bool, memtable: int, fan_in: int = 8):
+    """A range's index: memtables flushed as sorted runs, compacted to one; its hits."""
+
+    def flushed(part: pd.DataFrame) -> tuple:
+        has = part["id"].notna().to_numpy()
+        run = _reduce(_digests(part["digest"].tolist(), width), part["id"].fillna(0).astype(np.int64).to_numpy(), has, part["uid"].to_numpy(), part["n"].to_numpy(), largest)
+        return *run, make_filter(run[0])
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        types = (f"S{width}", np.int64, bool, np.int64, np.int64)
-        runs = [(*(np.frombuffer(x, t) for x, t in zip(r[:5], types, strict=True)), r[5]) for r in zip(*(pdf[c] for c in ("digests", "ids", "has", "uids", "counts", "filter")), strict=True)]
+        runs = [flushed(pdf.iloc[a : a + memtable]) for a in range(0, len(pdf), memtable)]
         while len(runs) > 1:  # size-tiered: the smallest runs first
             runs.sort(key=lambda r: len(r[0]))
             runs = [*runs[fan_in:], _merge(runs[:fan_in], largest)]
@@ -130,7 +135,7 @@ def exact_dedup(
     text_col: str = "text",
     normalise=None,
     keep: str = "smallest",
-    memtable: int = 200_000,
+    memtable: int = 50_000,
     digest_bytes: int = 32,
     broadcast_hits: int = 500_000,
 ) -> DataFrame:
@@ -150,9 +155,9 @@ def exact_dedup(
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text.cast("binary"), 256).alias("sha"))
     keyed, _ = store(keyed.select("id", "sha", F.monotonically_increasing_id().alias("uid")), "digests")
     keyed = keyed.withColumn("digest", cut(F.col("sha")))
-    ranges = partitions_for(spark, keyed.count(), memtable)
-    runs = keyed.select("id", "uid", "digest").mapInArrow(_flush(digest_bytes, ranges, memtable, largest), RUN_SCHEMA)
-    hits, _ = store(runs.groupBy("range").applyInPandas(_compact(digest_bytes, largest), HIT_SCHEMA), "hits")
+    ranges = partitions_for(spark, keyed.count(), 4 * memtable)
+    entries = keyed.select("id", "uid", "digest").mapInArrow(_reduced(digest_bytes, ranges, memtable, largest), ENTRY_SCHEMA)
+    hits, _ = store(entries.groupBy("range").applyInPandas(_compact(digest_bytes, largest, memtable), HIT_SCHEMA), "hits")
 
     found = hits.select("digest")
     if hits.count() <= broadcast_hits:
