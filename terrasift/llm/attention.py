@@ -16,20 +16,27 @@ F32 = np.float32
 
 @dataclass
 class Shape:
-    """classes: of the output; window: positions seen at once; stride: of them, those scored (a text's first window
-    scores all of its own), so that each has window - stride before it at least."""
+    """classes: of the output; inputs: kinds of positions seen (as many as classes, if 0), and after them the start; window:
+    positions seen at once; stride: of them, those scored (a text's first window scores all of its own), so that each has
+    window - stride before it at least."""
 
     classes: int = 128
+    inputs: int = 0
     dims: int = 16
     hidden: int = 32
     window: int = 32
     stride: int = 16
 
 
+def start(shape: Shape) -> int:
+    """The input that a text's first position follows."""
+    return shape.inputs or shape.classes
+
+
 def fresh(shape: Shape, prior: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Random parameters; the output starts at the classes' frequencies. Input classes are one more: the start."""
+    """Random parameters; the output starts at the classes' frequencies. Inputs are one more: the start."""
     rng, d = np.random.default_rng(seed), shape.dims
-    p = {"embed": rng.normal(0, 0.5, (shape.classes + 1, d)), "place": rng.normal(0, 0.1, (shape.window, d)), "out": rng.normal(0, 0.02, (d, shape.classes)), "bias": 16 * (np.maximum(prior, 1e-12) ** (1 / 16) - 1)}
+    p = {"embed": rng.normal(0, 0.5, (start(shape) + 1, d)), "place": rng.normal(0, 0.1, (shape.window, d)), "out": rng.normal(0, 0.02, (d, shape.classes)), "bias": 16 * (np.maximum(prior, 1e-12) ** (1 / 16) - 1)}
     p |= {"q": rng.normal(0, d**-0.5, (d, d)), "k": rng.normal(0, d**-0.5, (d, d)), "v": rng.normal(0, d**-0.5, (d, d))}
     p |= {"up": rng.normal(0, d**-0.5, (2 * d, shape.hidden)), "up_bias": np.zeros(shape.hidden), "down": rng.normal(0, 0.05, (shape.hidden, d))}
     return {k: x.astype(F32) for k, x in p.items()}
@@ -112,14 +119,15 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.n
         grad = grad.reshape(b * w, d)
         g[name] = flat.T @ grad
         dflat = dflat + grad @ p[name].T
-    g["embed"] = (np.arange(len(p["embed"]))[:, None] == x.ravel()).astype(dflat.dtype) @ dflat
+    g["embed"] = np.zeros_like(p["embed"])
+    np.add.at(g["embed"], x.ravel(), dflat)
     g["place"] = np.zeros_like(p["place"])
     g["place"][:w] = dflat.reshape(b, w, d).sum(axis=0)
     return loss, g
 
 
-def train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """Adam over shuffled windows: at least `steps` steps, and at least once over all windows."""
+def train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray, batch: int, rate: float, seed: int, steps: int = 1) -> dict[str, np.ndarray]:
+    """Adam over shuffled windows, once over all, or so often that it makes `steps` steps at least."""
     p, rng = {k: v.copy() for k, v in p.items()}, np.random.default_rng(seed)
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     steps = max(steps, -(-len(x) // batch))
@@ -137,8 +145,8 @@ def train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarr
     return p
 
 
-def windows(classes: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Where the windows of several texts start, in the row of their classes, and how many positions of each were scored
+def windows(bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of several texts start, in the row of their positions, and how many positions of each were scored
     before: bounds has where each text begins, and the end. A text's windows start `stride` apart."""
     size = np.diff(bounds)
     count = np.where(size > 0, 1 + np.maximum(0, -(-(size - shape.window) // shape.stride)), 0)
@@ -146,16 +154,13 @@ def windows(classes: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.n
     return np.repeat(bounds[:-1], count) + number * shape.stride, np.where(number > 0, shape.window - shape.stride, 0)
 
 
-def score(p: dict[str, np.ndarray], classes: np.ndarray, bounds: np.ndarray, shape: Shape, batch: int = 128) -> np.ndarray:
-    """Natural log of each position's class probability, every position once, given what its window has before it."""
-    out = np.zeros(len(classes), np.float64)
-    begin, scored = windows(classes, bounds, shape)
+def score(p: dict[str, np.ndarray], inputs: np.ndarray, classes: np.ndarray, bounds: np.ndarray, shape: Shape, batch: int = 128) -> np.ndarray:
+    """Natural log of each position's class probability, every position once, given the inputs its window has before it."""
+    out, none = np.zeros(len(classes), np.float64), start(shape)
+    begin, scored = windows(bounds, shape)
     ends = bounds[np.searchsorted(bounds, begin, side="right")]
-    first = np.zeros(len(classes) + 1, bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
-    before = np.r_[shape.classes, classes]
-    before[:-1][first[:-1]] = shape.classes  # a text's first position follows the start
-    before = np.r_[before, np.full(shape.window, shape.classes)]
+    before = np.r_[none, inputs, np.full(shape.window, none)]
+    before[bounds[:-1][np.diff(bounds) > 0]] = none  # a text's first position follows the start
     step = np.arange(shape.window)
     for a in range(0, len(begin), batch):
         at = begin[a : a + batch, None] + step
