@@ -1,7 +1,12 @@
 """Documents to packed training sequences, in five stages.
 
 Each stage reads all that the one before kept and its decisions take effect; all but the last return the columns of
-documents. run() writes each stage's result to the cluster's shared folder and reads it again.
+documents, and any others that the table has, whatever their names. run() writes each stage's result to the cluster's shared
+folder and reads it again.
+
+A document with null or empty text has no letters, so the first stage rejects it; a later stage would keep it. A document of
+any length is read whole. Rows that repeat are rows of their own until similar documents go: of equal ids the earliest row
+stays, and a null id counts as the largest. An empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -11,24 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.llm import decontaminate, language, line_dedup, ngram_join, packing
-from terrasift.llm.common import remove, store
+from terrasift.llm.common import remove, store, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told: those without any letter."""
+    """Rejects documents in which no language can be told: those without any letter. If no document has a language, none
+    can be told."""
     return language.identified(docs, language.fit(docs))
 
 
 def near_duplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes later similar lines out. A document all of whose words were in such lines goes; one that never had any stays."""
-    out = line_dedup.dedup_lines(docs)
+    """Takes later similar lines out, and counts n_chars anew. A document all of whose words were in such lines goes; one
+    that never had any stays."""
+    lines, removed = unused(docs.columns, "n_lines"), unused(docs.columns, "n_removed")
+    out = line_dedup.dedup_lines(docs, n_lines=lines, n_removed=removed)
     left = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return out.where(left | (F.col("n_removed") == 0)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    chars = F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes).get("n_chars", "bigint"))
+    columns = [chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.where(left | (F.col(removed) == 0)).select(*columns)
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, that with the smallest id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of similar ones stays, that with the smallest id: five-word shingles, similarity 0.8."""
+    return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
