@@ -60,21 +60,28 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
     return distance(x, y, x1 + t * dx, y1 + t * dy)
 
 
+def ring_edges(rings: Column) -> Column:
+    """All edges, as struct(a, b) of points, of rings: array<array<struct<x,y>>>, each closed."""
+    edges = lambda ring: F.transform(F.slice(ring, F.lit(2), F.size(ring)), lambda b, i: F.struct(F.get(ring, i).alias("a"), b.alias("b")))
+    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 1), edges))
+
+
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a point is strictly inside by the even-odd rule, holes and parts alike; on an edge it isn't. Of the edges only
+    those are needed that reach the point's height."""
+
+    def seen(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        crosses = (a["y"] > y) != (b["y"] > y)
+        at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
+        cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        on = (cross == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        # On an edge: more than all crossings together.
+        return F.when(on, F.lit(1 << 40)).otherwise(F.when(crosses & (x < at), 1).otherwise(0)).cast("long")
+
+    crossed = F.aggregate(edges, F.lit(0).cast("long"), lambda n, e: n + seen(e))
+    return (crossed < (1 << 40)) & (crossed % 2 == 1)
+
+
 def inside_rings(x: Column, y: Column, rings: Column) -> Column:
-    """Whether a point is strictly inside by the even-odd rule over all rings, holes and parts alike; on an edge it isn't.
-    rings: array<array<struct<x,y>>>, each closed."""
-
-    def crossings(ring: Column) -> Column:
-        def edge(i: Column) -> Column:
-            a, b = F.get(ring, i - 1), F.get(ring, i)
-            crosses = (a["y"] > y) != (b["y"] > y)
-            at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
-            cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
-            on = (cross == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-            return F.struct(F.when(crosses & (x < at), 1).otherwise(0).alias("n"), on.alias("on"))
-
-        return F.transform(F.sequence(F.lit(1), F.size(ring) - 1), edge)
-
-    edges = F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 1), crossings))
-    odd = F.aggregate(edges, F.lit(0), lambda a, e: a + e["n"]) % 2 == 1
-    return odd & ~F.exists(edges, lambda e: e["on"])
+    return inside_edges(x, y, ring_edges(rings))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.functions.geo import cell, distance, inside_rings, round1, segment_distance
+from terrasift.functions.geo import cell, distance, inside_edges, inside_rings, ring_edges, round1, segment_distance
 
 
 def _bounds(points: Column) -> tuple[Column, Column, Column, Column]:
@@ -22,12 +22,18 @@ def _cells(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, size:
 
 
 def within(points: DataFrame, regions: DataFrame, code: str, x: str = "x", y: str = "y", rings: str = "rings", size: float = 1.0) -> DataFrame:
-    """points with the code of each region they lie strictly inside of. size is about a region's extent or less."""
-    boxed = regions.select(code, rings, *(c.alias(n) for c, n in zip(_bounds(F.flatten(rings)), ("__x0", "__x1", "__y0", "__y1"), strict=True)))
+    """points with the code of each region they lie strictly inside of. size is about a region's extent or less.
+
+    A cell of a region's box has its code and box alone. The edges are cut into bands of a cell's height, and a point in a
+    box meets only the edges of its own band."""
+    boxed = regions.select(code, *(c.alias(n) for c, n in zip(_bounds(F.flatten(rings)), ("__x0", "__x1", "__y0", "__y1"), strict=True)))
     tiles = _cells(boxed, F.col("__x0"), F.col("__x1"), F.col("__y0"), F.col("__y1"), size, ("__cx", "__cy"))
+    edges = regions.select(code, F.explode(ring_edges(F.col(rings))).alias("__e"))
+    spanned = F.sequence(cell(F.least("__e.a.y", "__e.b.y"), size), cell(F.greatest("__e.a.y", "__e.b.y"), size))
+    bands = edges.withColumn("__cy", F.explode(spanned)).groupBy(code, "__cy").agg(F.collect_list("__e").alias("__edges"))
     placed = points.withColumns({"__cx": cell(F.col(x), size), "__cy": cell(F.col(y), size)})
     near = placed.join(tiles, ["__cx", "__cy"]).where(F.col(x).between(F.col("__x0"), F.col("__x1")) & F.col(y).between(F.col("__y0"), F.col("__y1")))
-    return near.where(inside_rings(F.col(x), F.col(y), F.col(rings))).select(*(points[c] for c in points.columns), code)
+    return near.join(bands, [code, "__cy"]).where(inside_edges(F.col(x), F.col(y), F.col("__edges"))).select(*points.columns, code)
 
 
 def first_region(matched: DataFrame, key: str, code: str) -> DataFrame:
@@ -39,11 +45,17 @@ def nearest(points: DataFrame, regions: DataFrame, key: str, code: str, cap: flo
     """key, code, distance (one decimal) of the nearest region within cap, measured to its edges; of several as near the
     first by code. Coordinates are planar, in the cap's unit."""
     size = cap * 1.001
-    edges = regions.select(code, F.explode(rings).alias("ring")).select(code, F.explode(F.transform(F.sequence(F.lit(1), F.size("ring") - 1), lambda i: F.struct(F.get("ring", i - 1).alias("a"), F.get("ring", i).alias("b")))).alias("e"))
+    edges = regions.select(code, F.explode(ring_edges(F.col(rings))).alias("e"))
     edges = edges.select(code, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
-    low = lambda a, b: F.least(a, b) - cap
-    high = lambda a, b: F.greatest(a, b) + cap
-    tiles = _cells(edges, low("x1", "x2"), high("x1", "x2"), low("y1", "y2"), high("y1", "y2"), size, ("__cx", "__cy"))
+    # An edge is walked column by column: in each only the cells around its stretch there, not those of its whole box.
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    walked = edges.withColumn("__cx", F.explode(F.sequence(cell(left - cap, size), cell(right + cap, size))))
+    begin, end = F.greatest(left, F.col("__cx") * size - cap), F.least(right, (F.col("__cx") + 1) * size + cap)
+    height = lambda at: F.col("y1") + (F.col("y2") - F.col("y1")) * (at - F.col("x1")) / (F.col("x2") - F.col("x1"))
+    upright = F.col("x1") == F.col("x2")
+    ya, yb = F.when(upright, F.col("y1")).otherwise(height(begin)), F.when(upright, F.col("y2")).otherwise(height(end))
+    slack = cap * 1.0001
+    tiles = walked.withColumn("__cy", F.explode(F.sequence(cell(F.least(ya, yb) - slack, size), cell(F.greatest(ya, yb) + slack, size))))
     placed = points.select(key, F.col(x).alias("__x"), F.col(y).alias("__y"), cell(F.col(x), size).alias("__cx"), cell(F.col(y), size).alias("__cy"))
     apart = segment_distance(*(F.col(c) for c in ("__x", "__y", "x1", "y1", "x2", "y2")))
     close = placed.join(tiles, ["__cx", "__cy"]).withColumn("d", apart).where(F.col("d") <= cap)

@@ -17,7 +17,7 @@ def header_name(name: str) -> str:
 def read_text(spark: SparkSession, path: str, required: list[str] | None = None, row: str | None = "row_idx") -> DataFrame:
     """A UTF-8 CSV with a header, quoted line breaks and doubled quotes. Cells that spell a missing value are NULL,
     nothing is inferred, header names are lower case with underscores. row names a column that grows with the row; with
-    quoted line breaks a file is one partition, so it also is its order."""
+    quoted line breaks a file is one partition, so it also is its order. A file is read by one task: many files are read in parallel, one large file isn't split."""
     options = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8"}
     raw = spark.read.options(**options, inferSchema="false").csv(path)
     schema = StructType([StructField(c, StringType()) for c in raw.columns])

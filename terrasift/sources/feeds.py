@@ -30,7 +30,8 @@ WATTS_ABOVE = 1000
 
 
 def read_json(spark: SparkSession, path: str, schema: str, member: str | None = None) -> DataFrame:
-    """A row per record of JSON documents, one per file, each an array or an object that has one."""
+    """A row per record of JSON documents, one per file, each an array or an object that has one. A document is read by one
+    task and must fit into its memory; what is to be split is kept as Parquet after the first read."""
     parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"))
     return parsed.select(F.explode(F.col(f"j.{member}") if member else F.col("j")).alias("r")).select("r.*")
 

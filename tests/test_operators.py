@@ -71,6 +71,27 @@ def test_within_and_nearest(spark):
     assert sorted((r.k, r.code, r.distance) for r in near.collect()) == [(3, "hole", 0.0), (8, "hole", 1.0)]
 
 
+def test_nearest_and_within_are_brute_force(spark):
+    """Long, steep and level edges; many points; cells much smaller than the regions."""
+    rng = random.Random(3)
+    shapes = {f"r{i}": [[(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(rng.randrange(3, 8))]] for i in range(5)} | {"box": [[(0, -60), (0, 60), (5, 60), (5, -60)]]}
+    points = [(i, rng.uniform(-60, 60), rng.uniform(-60, 60)) for i in range(300)] + [(900, 0.0, 1.0), (901, 5.0, 60.0), (902, 2.0, 0.0)]
+    regions = spark.createDataFrame([(c, [ring(*r) for r in rings]) for c, rings in shapes.items()], RINGS)
+    df = spark.createDataFrame(points, "k int, x double, y double")
+
+    def away(x, y, a, b):
+        (ax, ay), (bx, by) = a, b
+        square = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / square)) if square else 0.0
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    edges = {c: [(a, b) for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True)] for c, rings in shapes.items()}
+    inside = {(k, c) for k, x, y in points for c, es in edges.items() if min(away(x, y, a, b) for a, b in es) > 0 and sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in es) % 2}
+    assert {(r.k, r.code) for r in S.within(df, regions, "code", size=7.0).collect()} == inside and (902, "box") in inside
+    least = {k: min((min(away(x, y, a, b) for a, b in es), c) for c, es in edges.items()) for k, x, y in points}
+    assert {r.k: (r.code, r.distance) for r in S.nearest(df, regions, "k", "code", 3.0).collect()} == {k: (c, round(d, 1)) for k, (d, c) in least.items() if d <= 3}
+
+
 def test_simplify(spark):
     wave = [(i / 10, 0.0001 * (i % 2)) for i in range(100)]
     regions = spark.createDataFrame([("a", [ring(*wave, (5, 9))]), ("b", None)], RINGS)
