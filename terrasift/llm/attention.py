@@ -42,22 +42,18 @@ def fresh(shape: Shape, prior: np.ndarray, seed: int = 3) -> dict[str, np.ndarra
     return {k: x.astype(F32) for k, x in p.items()}
 
 
-def power(z: np.ndarray) -> np.ndarray:
-    """(1 + z / 16) ** 16, in place; the base is kept from 0."""
+def power(z: np.ndarray, keep: bool = False):
+    """(1 + z / 16) ** 16, in place; the base is kept from 0. With keep, also the derivative of its logarithm: 1 / base, and
+    0 where the base was kept from 0."""
     z *= z.dtype.type(1 / 16)
     z += z.dtype.type(1)
     np.maximum(z, z.dtype.type(0.02), out=z)
+    if keep:
+        slope = np.reciprocal(z)
+        slope[z <= z.dtype.type(0.02)] = 0
     for _ in range(4):
         z *= z
-    return z
-
-
-def _slope(weight: np.ndarray) -> np.ndarray:
-    """The derivative of log power(z), from power(z); 0 where the base was kept from 0."""
-    base = np.sqrt(weight)
-    for _ in range(3):
-        np.sqrt(base, out=base)
-    return np.where(base > 0.0201, 1 / np.maximum(base, 0.02), 0).astype(weight.dtype)
+    return (z, slope) if keep else z
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = False):
@@ -70,8 +66,11 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = False):
     q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
     a = q @ k.transpose(0, 2, 1)
     a *= F32(d**-0.5)
-    power(a)
-    slope = _slope(a) if keep else None
+    slope = None
+    if keep:
+        a, slope = power(a, True)
+    else:
+        power(a)
     a *= np.tril(np.ones((w, w), F32))
     a /= a.sum(axis=2, keepdims=True)
     both = np.concatenate((flat, (a @ v).reshape(b * w, d)), axis=1)
@@ -97,13 +96,14 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.n
     h, (x, q, k, v, a, slope, both, up) = forward(p, x, keep=True)
     b, w = x.shape
     d = h.shape[1]
-    prob = power(h @ p["out"] + p["bias"])
-    steep = _slope(prob)
+    prob, steep = power(h @ p["out"] + p["bias"], True)
     prob /= prob.sum(axis=1, keepdims=True)
     rows, t, n = np.arange(b * w), y.ravel(), max(1, int(real.sum()))
     loss = -float((np.log(prob[rows, t] + 1e-20) * real.ravel()).sum()) / n
     prob[rows, t] -= 1
-    dz = prob * steep * (real.ravel()[:, None] / n).astype(F32)
+    prob *= steep
+    prob *= (real.ravel()[:, None] / n).astype(prob.dtype)
+    dz = prob
     g = {"out": h.T @ dz, "bias": dz.sum(axis=0)}
     dh = dz @ p["out"].T
     du = (dh @ p["down"].T) * (up > 0)
@@ -113,7 +113,11 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.n
     dflat = dh + dboth[:, :d]
     do = (dh + dboth[:, d:]).reshape(b, w, d)
     da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * slope * F32(d**-0.5)
+    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da *= a
+    da *= slope
+    da *= da.dtype.type(d**-0.5)
+    ds = da
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     for name, grad in (("q", dq), ("k", dk), ("v", dv)):
         grad = grad.reshape(b * w, d)

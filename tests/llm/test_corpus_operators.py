@@ -419,6 +419,40 @@ def test_quality_learns_from_whole_texts(spark):
     assert all((out[i] > 0.5) == (i % 2 == 1) for i in range(30, 40))
 
 
+def test_quality_is_compressed_sizes(spark):
+    """Scores worked out plainly: each text compressed alone with either dictionary, and the logistic curve."""
+    import zstandard
+
+    rng = random.Random(7)
+    good = [" ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(100 + i, "buy $$$ now!! " * rng.randrange(1, 30)) for i in range(60)]
+    odd = [(900, None), (901, ""), (902, good[0] * 900), (903, good[1]), (903, good[1]), (None, good[2])]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows] + [(901, 1), (901, 0), (903, 1), (None, 1), (5, 7)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    assert all(d for d in (model.good, model.bad))
+    out = sorted(((str(r.doc_id), r.score, r.predicted) for r in quality.score(df, model, keep=["doc_id"]).collect()))
+    want = []
+    for i, t in rows + odd:
+        raw = (t or "").encode()
+        sizes = []
+        for d in (model.good, model.bad, None):
+            how = {} if d is None else {"dict_data": zstandard.ZstdCompressionDict(d)}
+            sizes.append(len(zstandard.ZstdCompressor(level=model.level, write_content_size=False, **({"write_dict_id": False} if how else {}), **how).compress(raw)))
+        g, b, plain = sizes
+        n = len(raw) + 1
+        x = (np.array([(b - g) / (b + g), (b - g) / n, np.log(n / plain), np.log(n)]) - model.mean) / model.scale
+        p = float(1 / (1 + np.exp(-(x @ model.weights[:4] + model.weights[4]))))
+        want.append((str(i), p, int(p >= 0.3)))
+    assert [(i, k) for i, _, k in out] == [(i, k) for i, _, k in sorted(want)] and max(abs(a[1] - b[1]) for a, b in zip(out, sorted(want), strict=True)) < 1e-9
+    again = quality.fit(df.repartition(5), labels)
+    assert np.allclose(again.weights, model.weights) and (again.good, again.bad) == (model.good, model.bad)
+    bins = quality.calibration(quality.score(df, model, keep=["doc_id"]).where("doc_id < 200"), labels).collect()
+    assert sum(r.n for r in bins) == 120 and sum(r.n * abs(r.score - r.good) for r in bins) / 120 < 0.15
+    with pytest.raises(ValueError, match="score"):
+        quality.score(df.withColumn("SCORE", F.lit(1)), model)
+
+
 # 8
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -452,6 +486,30 @@ def test_pii_learns_contexts(spark):
     assert out[50] == "email:30:43" and out[51] == "" and out[0] == "email:30:46"
 
 
+def test_pii_learns_on_both_sides_and_nothing_common(spark):
+    """Contexts before, after and around; identifiers without any pattern; odd rows; common words are left alone."""
+    rng, words = random.Random(12), [a + b for a in "lo mi ra tu ve".split() for b in "ban dor fen gul nor".split()]
+    prose = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [f"{prose(5)} token = \"{digest(i)}\" {prose(4)}" for i in range(8)]
+    texts += [f"{prose(5)} token = \"{digest(50 + i).upper()}\" {prose(4)}" for i in range(3)]
+    texts += [f"{prose(4)} 10.0.0.{i} is my host, {prose(2)}" for i in range(8)] + [f"{prose(4)} build-box_{c} is my host, {prose(2)}" for c in "xyz"]
+    texts += [f"card 4111 1111 1111 1{d}11 expires {prose(3)}" for d in "1"] + [f"{prose(3)} mail to u{i}@h.org quickly {prose(2)}" for i in range(6)]
+    texts += [f"{prose(3)} mail to {rng.choice(words)} quickly {prose(2)}" for _ in range(2)] + [prose(400) for _ in range(9)] + [None, "", texts[0], "token = "]
+    df = spark.createDataFrame([(None if i == 3 else i % 30, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"k1": F.lit(1), "h": F.lit("x"), "email": F.lit(2)}).repartition(3)
+    found = pii.find_pii(df)
+    got = {}
+    for r in found.collect():
+        for m in r.more or []:
+            got.setdefault(m.kind, []).append((r.doc_id, m.start, m.end))
+    at = lambda t, w: (t.index(w), t.index(w) + len(w))
+    want = [(i % 30, *at(t, w)) for i, t in enumerate(texts) if t for w in [x for x in (*(digest(50 + k).upper() for k in range(3)), *(f"build-box_{c}" for c in "xyz")) if x in t]]
+    assert sorted(x for v in got.values() for x in v) == sorted(want) and set(got) == {"secret", "ip"}
+    rows = pii.report(found).collect()
+    assert len(rows) == len(texts) and sum(r.n_by_context for r in rows) == len(want) and sum(r.n_secret for r in rows) == 9
+    assert sorted((str(r.doc_id), r.base_sha256) for r in rows) == sorted((str(None if i == 3 else i % 30), brute_pii(t)[-1]) for i, t in enumerate(texts))
+
+
 def test_pii_learns_from_what_it_learned(spark):
     texts, hops = [f"reach me at person{i}@mail.org" for i in range(9)], 6
     name = lambda h, k: f"id-{h}734-9021{k}"
