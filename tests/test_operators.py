@@ -43,6 +43,15 @@ def test_numbers(spark):
         R.left_join_once(df, df.select("v"), "g")
 
 
+def test_held_rows_are_released(spark):
+    df = spark.range(50).select(F.col("id").alias("v"))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert R.number_rows(df, [F.desc("v")], "id").where("id = 50 - v").count() == 50
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) > before
+    R.release()
+    assert not R._HELD
+
+
 def test_albers_reference_point(spark):
     x, y = geo.albers(F.lit(151.2), F.lit(-33.87))
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
