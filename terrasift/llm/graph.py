@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from terrasift.llm.common import remove, store
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """edges(a long, b long) -> node, root: the smallest node that each node is linked with, over all linked nodes.
 
     Each round writes the edges to the shared folder, so the plan stays short. Only minima per node are shuffled
     together, so a node with any number of edges is no more work for one task than its rows. Loops and repeated edges
     do no harm; no edges give no rows. Each round hangs nodes on smaller ones and none ever on a larger one, so the edges
-    come to rest; that takes about the square of the logarithm of the nodes at most.
+    come to rest; that takes about the square of the logarithm of the nodes at most. The result's table is added to scratch.
     """
     spark, path = edges.sparkSession, None
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
@@ -34,4 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    found = current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out, kept = store(found, "roots")
+    remove(spark, path)
+    if scratch is not None:
+        scratch.append(kept)
+    return out

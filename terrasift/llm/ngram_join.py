@@ -9,7 +9,8 @@ dealt into tiles of rows by rows. A tile's product is accumulated from column bl
 between two blocks once the columns left cannot lift it to its bound.
 
 Rarity is a number per column: how often any of the columns with the same leading bits of their hash occur. It's a
-table of fixed size, counted over all documents, and any order of columns gives the same result.
+table of fixed size, counted over all documents, and any order of columns gives the same result. However many columns there
+are, those that stand out against the mean of the table come last; among the rest, which are rare all the same, order says little.
 
 Groups: equal sets are one row, so copies cost nothing. A column that more than `MEET` rows share is not multiplied out: its
 rows are first held only against one of them; rows that this links needn't be held against each other, and only pairs between
@@ -352,7 +353,7 @@ class Join:
         star = many.where("rep != head").join(heads, "column").where(self.bounded(F.col("n0"), F.col("p0"), F.col("n"), F.col("pos")))
         star = self.keep(star.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
         edges = self.keep(self.verified(star), "links")
-        roots = self.keep(components(edges), "roots")
+        roots = components(edges, self.scratch)
 
         # Pairs between what is not linked yet.
         def labelled(df: DataFrame, rep: str, label: str) -> DataFrame:
@@ -373,7 +374,7 @@ class Join:
         pairs = self.keep(rest.unionByName(cold).distinct().join(star, ["a", "b"], "left_anti").select("a", "b"), "pairs")
         more = self.keep(self.verified(pairs), "links")
         edges = edges.unionByName(more)
-        return edges, roots if more.isEmpty() else self.keep(components(edges), "roots")
+        return edges, roots if more.isEmpty() else components(edges, self.scratch)
 
 
 def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.llm import attention, decontaminate, exact_dedup, graph, language, line_dedup, lm, ngram_join, packing, pii, quality, sharding
+from terrasift.llm import attention, common, decontaminate, exact_dedup, graph, language, line_dedup, lm, ngram_join, packing, pii, quality, sharding
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,37 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
+class _Cluster:
+    """A session of a cluster without a shared folder."""
+
+    sparkContext = type("Context", (), {"master": "yarn", "getCheckpointDir": lambda self: None})()
+    conf = type("Conf", (), {"get": lambda self, key, default=None: default})()
+
+
+def test_no_machine_local_scratch_on_a_cluster(spark):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(_Cluster())
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_scratch_tables_are_removed(spark, docs):
+    """What is left of an operator is what its result reads."""
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file://") + "/terrasift"
+    for run, left in ((lambda: ngram_join.similar_components(docs), {"components"}), (lambda: pii.find_pii(docs), {"scanned", "more", "learned"}), (lambda: line_dedup.dedup_lines(docs), {"gone"})):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        run().count()
+        assert {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before} == left
+
+
+def test_any_column_names_pass_through_arrow(spark):
+    df = spark.createDataFrame([(1, "a", None)], "`a.b` int, c0 string, c1 double")
+    out = common.map_rows(df, lambda batches: batches)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "a", None)]
+    assert common.unused(["X", "x_"], "x") == "x__"
+
+
 # 1
 
 
