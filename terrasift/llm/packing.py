@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import partitions_for, remove, store, texts
+from terrasift.llm.common import in_bytes, partitions_for, remove, store, texts, tidy
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 150_000
+#: Bytes of text that a task takes from Arrow at a time.
+SLICE = 4_000_000
 
 
 @cache
@@ -41,57 +43,63 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of texts as the tokenizer gives them, 4 bytes each, word by word with a memory.
+    """Ids of texts as the tokenizer gives them, 4 bytes each, piece by piece with a memory.
 
-    Right only for a tokenizer that drops white space, lets nothing cross it, and lower-cases. ASCII white space is
-    white space to it, so words between that can be encoded alone. A word falls into the tokenizer's own pieces, and
-    only a piece not met before goes through its model. Texts with the string of a special token are encoded whole.
+    Right only for a tokenizer that drops white space, lets nothing cross it, and lower-cases. Text of printable ASCII,
+    ASCII white space and Latin letters falls into the tokenizer's own pieces here; only a piece not met before goes through
+    its model. Of other texts, the words between ASCII white space are normalised and cut by the tokenizer. Texts with the
+    string of a special token are encoded whole.
     """
 
-    #: The tokenizer's pieces of a word of printable ASCII in lower case.
-    ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    PRINTABLE = bytes(range(33, 127))
+    LATIN = "à-öø-ÿß"
+    #: What no step of the tokenizer changes but for the case.
+    PLAIN = re.compile("[\x09-\x0d\x20-~À-ÖØ-öø-ÿ]*")
+    PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+")
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, np.uint32).tobytes()
 
+    def model(self, piece: str) -> bytes:
+        """Ids of what the tokenizer has cut."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(piece)])
+
+    def cut(self, text: str) -> bytes:
+        return b"".join([self.model(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+
     def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            ids = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(piece))
-        return ids
-
-    def word(self, word: bytes) -> bytes:
-        if word.translate(None, self.PRINTABLE):  # letters beyond ASCII, or control characters
-            normal = self.tokenizer.normalizer.normalize_str(word.decode("utf-8", "replace"))
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        else:
-            pieces = [p.decode() for p in self.ASCII_PIECES.findall(word.lower())]
-        return b"".join(map(self.piece, pieces))
+        """Bytes beyond ASCII have letters of their own in the model, which the tokenizer's cut gives them."""
+        return self.model(piece) if piece.isascii() else self.cut(piece)
+
+    def word(self, word: str) -> bytes:
+        return self.cut(self.tokenizer.normalizer.normalize_str(word))
 
     def encode(self, text: bytes) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        ws, known = text.split(), self.words
+        known = text.decode("utf-8", "replace")
+        if self.PLAIN.fullmatch(known):
+            return self.remembered(self.PIECES.findall(known.lower()), self.pieces, self.piece)
+        return self.remembered([w.decode("utf-8", "replace") for w in text.split()], self.words, self.word)
+
+    @staticmethod
+    def remembered(parts: list[str], known: dict[str, bytes], ids) -> bytes:
         try:
-            return b"".join(map(known.__getitem__, ws))
+            return b"".join(map(known.__getitem__, parts))
         except KeyError:
             pass
         if len(known) > REMEMBERED:
             known.clear()
-        for w in ws:
-            if w not in known:
-                known[w] = self.word(w)
-        return b"".join(map(known.__getitem__, ws))
+        for p in parts:
+            if p not in known:
+                known[p] = ids(p)
+        return b"".join(map(known.__getitem__, parts))
 
 
 @cache
@@ -106,7 +114,7 @@ def _cut(path: str, capacity: int, closing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         names = [x.split()[0] for x in PIECES.split(", ")]
-        for b in batches:
+        for b in (part for whole in batches for part in in_bytes(whole, "text", SLICE)):
             rows: list[tuple] = []
             for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
                 ids = encoder.encode(text) + end
@@ -304,7 +312,7 @@ def pack_with_story(
     one block, or most of its pieces would go on: then what it packed stays.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    pieces, _ = store(rows.mapInArrow(_cut(tokenizer, capacity, closing), PIECES), "pieces")
+    pieces, _ = store(rows.mapInArrow(tidy(_cut(tokenizer, capacity, closing)), PIECES), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     out = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, story, level = pieces.where(F.col("length") < capacity), None, 0
