@@ -16,6 +16,7 @@ in a join whose skewed keys Spark splits.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import floor, log2
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,9 @@ from terrasift.llm.common import free, let, remove, store, unused
 #: Leading bits that words are first counted by, and the fewest and most bits of the table of rarities (a byte each).
 COUNTED, LEAST_BITS, MOST_BITS, SLICE = 24, 12, 24, 12
 #: Words in the corpus for each entry of that table.
-WORDS_PER_BUCKET = 128
+WORDS_PER_BUCKET = 64
+#: Parts in which the rarer words are joined, one after the other.
+PARTS = 2
 #: Occurrences in the corpus beyond which a word is common.
 COMMON = 1024
 
@@ -100,9 +103,9 @@ class LineJoin:
         # Six bits of the hash pick the bit; the shift itself looks at no more.
         sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).cast("int"))))
         raw = self.rows.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-        coded = raw.select("doc", "th", "line", F.sort_array(F.transform(hashes_of(F.col("raw")), code)).alias("codes")).where(F.size("codes") > 0)
+        coded = raw.select("doc", "th", "line", F.sort_array(F.transform(hashes_of(F.col("raw")), code)).alias("codes"))
         n = F.size("codes")
-        return self.keep(coded.select("doc", "th", "line", n.alias("n"), F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), sketch.alias("bits"), F.slice("codes", F.lit(1), self.needed(n)).alias("first")), "lines")
+        return self.keep(coded.select("doc", "th", "line", n.alias("n"), F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), sketch.alias("bits"), F.slice("codes", F.lit(1), self.needed(n)).alias("first")), "lines").where("n > 0")  # on what is written: a filter before would work the words out twice
 
     def classes(self, lines: DataFrame) -> DataFrame:
         """One row per set: rank (by first occurrence), where that is, n, bits, and its rarest words."""
@@ -114,7 +117,7 @@ class LineJoin:
     def postings(self, classes: DataFrame, common: bool) -> DataFrame:
         """code, rank, n, pos, bits: each set's rarest words, without those that occur once."""
         often = F.shiftright("code", 56)
-        rows = classes.select("rank", "n", "bits", F.posexplode("first").alias("pos", "code"))
+        rows = classes.where(F.size("first") > 0).select("rank", "n", "bits", F.posexplode("first").alias("pos", "code"))
         return rows.where(often > level(COMMON) if common else often.between(level(1) + 1, level(COMMON)))
 
     def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -132,23 +135,31 @@ class LineJoin:
         similar = (100 + self.percent) * F.size(F.array_intersect("x", "y")) >= self.percent * (F.size("x") + F.size("y"))
         return self.keep(pairs.join(x, "a").join(y, "b").where(similar).select("b").distinct(), "verified")
 
-    def removed(self, classes: DataFrame) -> DataFrame:
-        """rank of every set that has an earlier similar one."""
+    def removed(self, classes: DataFrame, places: DataFrame) -> DataFrame:
+        """rank of every set that has an earlier similar one. classes and other tables go before the last pairs are verified."""
+        mine = len(self.scratch) - 1
         own, at = F.struct("rank", "n", "pos", "bits"), [F.col("a"), F.col("b")]
         common = self.keep(self.postings(classes, True), "common")
         heads = common.groupBy("code").agg(F.min(own).alias("i"))
         stars = common.select("code", own.alias("j")).join(heads, "code").where(F.col("i.rank") < F.col("j.rank")).where(self.bounded("i", "j"))
         stars = self.keep(stars.select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct(), "pairs")
-        done = self.verified(stars, classes)
+        done = self.verified(stars, places)
 
         ahead = (F.col("i.rank") < F.col("j.rank")) & self.bounded("i", "j")
         later = common.join(done.withColumnRenamed("b", "rank"), "rank", "left_anti").alias("j")
         rest = common.alias("i").join(later, (F.col("i.code") == F.col("j.code")) & ahead).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b"))
-        rare = self.postings(classes, False)
-        rare = rare.alias("i").join(rare.alias("j"), (F.col("i.code") == F.col("j.code")) & ahead).select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b"))
-        pairs = rare.unionByName(rest).select(*at).distinct().join(done, "b", "left_anti")
+        parts = []
+        for k in range(PARTS):
+            rare = self.postings(classes, False).where(F.pmod("code", F.lit(PARTS)) == k)
+            met = rare.alias("i").join(rare.alias("j"), (F.col("i.code") == F.col("j.code")) & ahead)
+            parts.append(self.keep(met.select(F.col("i.rank").alias("a"), F.col("j.rank").alias("b")).distinct(), "pairs"))
+        pairs = reduce(DataFrame.unionByName, parts, rest).select(*at).distinct().join(done, "b", "left_anti")
         pairs = self.keep(pairs.join(stars, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-        return done.unionByName(self.verified(pairs, classes)).select(F.col("b").alias("rank"))
+        done = self.keep(done, "verified")
+        kept = self.scratch[-2:]
+        remove(self.spark, *self.scratch[mine:-2])
+        self.scratch[mine:] = kept
+        return done.unionByName(self.verified(pairs, places)).select(F.col("b").alias("rank"))
 
     def removed_lines(self) -> DataFrame:
         """doc, th, gone: the numbers (from 0) of the lines that go, for rows that lose any."""
@@ -158,8 +169,12 @@ class LineJoin:
         whole = self.scratch.pop(0)
         lines = self.keep(lines.select("doc", "th", "line", "k1", "k2"), "lines")
         remove(self.spark, whole)
-        gone = self.removed(classes).withColumn("gone", F.lit(True))
-        first = classes.select("rank", "k1", "k2", F.col("doc").alias("doc0"), F.col("th").alias("th0"), F.col("line").alias("line0")).join(gone, "rank", "left")
+        places = self.keep(classes.select("rank", "k1", "k2", "doc", "th", "line"), "places")
+        # What the sets are joined by is the last of the tables, and goes when that is done.
+        path = self.scratch.pop(0)
+        self.scratch.append(path)
+        gone = self.removed(classes, places).withColumn("gone", F.lit(True))
+        first = places.select("rank", "k1", "k2", F.col("doc").alias("doc0"), F.col("th").alias("th0"), F.col("line").alias("line0")).join(gone, "rank", "left")
         own = F.col("doc").eqNullSafe(F.col("doc0")) & (F.col("th") == F.col("th0")) & (F.col("line") == F.col("line0"))
         goes = lines.join(first, ["k1", "k2"]).where(F.col("gone").isNotNull() | ~own)
         out, path = store(goes.groupBy("doc", "th").agg(F.collect_set("line").alias("gone")), "gone")
@@ -169,7 +184,7 @@ class LineJoin:
 
 
 def dedup_lines(
-    docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", broadcast_rows: int = 100_000,
+    docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """The documents with the text's later similar lines removed, and n_lines and n_removed (longs) after their columns.
 
