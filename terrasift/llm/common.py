@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -85,7 +88,7 @@ def texts(column: pa.Array) -> list[bytes]:
 
 def in_bytes(batch: pa.RecordBatch, column: str | int, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about limit text bytes each, at least a row: long texts don't meet in one block of work."""
-    sizes = [len(x) for x in texts(batch.column(column))]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
@@ -96,6 +99,40 @@ def in_bytes(batch: pa.RecordBatch, column: str | int, limit: int) -> Iterator[p
         yield batch.slice(start)
 
 
+class Memory(dict):
+    """What make() gave for a key, for `most` keys at most; then it begins anew."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.make(key)
+        return out
+
+
+def give_back() -> None:
+    """Hand what a task no longer needs back to the machine: a worker lives on for other tasks, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library may not know it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """run, a function of a task's batches, with give_back() after the last."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def map_rows(df: DataFrame, run, **more: str) -> DataFrame:
     """df.mapInArrow(run) with df's columns, whatever their names (a dot or a name twice is no harm), and more columns
     (name: type) after them. run sees and gives columns by their places; it may use any names."""
@@ -108,7 +145,7 @@ def map_rows(df: DataFrame, run, **more: str) -> DataFrame:
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, schema.names)
 
-    return plain.mapInArrow(renamed, schema).toDF(*df.columns, *more)
+    return plain.mapInArrow(tidy(renamed), schema).toDF(*df.columns, *more)
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:

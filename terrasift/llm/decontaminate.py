@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import in_bytes, map_rows, remove, store, texts
+from terrasift.llm.common import in_bytes, map_rows, remove, store, texts, tidy
 
 #: Lower-cases A-Z; ASCII that is no digit or letter separates words; other bytes belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -295,12 +295,12 @@ def find_matches(
     blocks, share = blocks_of(benchmark, window, item_col, item_text, block_words), docs.sparkSession.sparkContext.broadcast
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return rows.mapInArrow(_scan(share(first), shard_words, shard_bytes), SCHEMA)
+        return rows.mapInArrow(tidy(_scan(share(first), shard_words, shard_bytes)), SCHEMA)
     rows, path = store(rows, "documents")  # uid must be the same in every pass
     paths, passes = [path], []
     for block in chain((first, second), blocks):  # one block is out at a time
         shared = share(block)
-        done, path = store(rows.mapInArrow(_scan(shared, shard_words, shard_bytes), SCHEMA), "matches")
+        done, path = store(rows.mapInArrow(tidy(_scan(shared, shard_words, shard_bytes)), SCHEMA), "matches")
         shared.unpersist()
         passes.append(done)
         paths.append(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import map_rows, texts
+from terrasift.llm.common import in_bytes, map_rows, texts, tidy
 
 UNKNOWN = "und"
 #: Bits of a letter's number, which is its code point; 0 is a gap between words.
@@ -28,6 +28,8 @@ BITS = 21
 CHUNK = 1_000_000
 #: Kinds of n-grams whose vectors a task keeps; documents and n-grams whose vectors are formed together.
 KINDS, TOGETHER, GRAMS = 8192, 64, 300_000
+#: Bytes of text that a task takes from Arrow at a time.
+SLICE = 4_000_000
 
 
 @cache
@@ -161,13 +163,14 @@ def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", la
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, total, count = Space(dims, n, seed), {}, {}
-        for b in batches:
-            lang = b.column("lang").to_pylist()
-            for start, vectors in space.documents(texts(b.column("text"))):
-                for k, v in enumerate(vectors, start):
-                    if v.any():
-                        total[lang[k]] = total.get(lang[k], 0) + v.astype(np.float64)
-                        count[lang[k]] = count.get(lang[k], 0) + 1
+        for whole in batches:
+            for b in in_bytes(whole, "text", SLICE):
+                lang = b.column("lang").to_pylist()
+                for start, vectors in space.documents(texts(b.column("text"))):
+                    for k, v in enumerate(vectors, start):
+                        if v.any():
+                            total[lang[k]] = total.get(lang[k], 0) + v.astype(np.float64)
+                            count[lang[k]] = count.get(lang[k], 0) + 1
         if total:
             salt = int(np.random.default_rng().integers(0, 64))  # only how the sum is split
             names = list(total)
@@ -182,7 +185,7 @@ def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", la
     schema = "lang string, salt int, n long, vector binary"
     rows = docs.where(train) if train is not None else docs
     rows = rows.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    parts = rows.mapInArrow(sums, schema).groupBy("lang", "salt").applyInPandas(add, schema).groupBy("lang").applyInPandas(add, schema)
+    parts = rows.mapInArrow(tidy(sums), schema).groupBy("lang", "salt").applyInPandas(add, schema).groupBy("lang").applyInPandas(add, schema)
     found = sorted(parts.collect(), key=lambda r: r["lang"])
     if not found:
         return Profiles([], np.zeros((0, dims), np.float32), np.zeros(dims, np.float32), dims, n, seed)
@@ -199,7 +202,7 @@ def _predicted(shared, column: int, only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Profiles = shared.value
         space = Space(p.dims, p.n, p.seed)
-        for b in batches:
+        for b in (part for whole in batches for part in in_bytes(whole, column, SLICE)):
             best = [x for _, vectors in space.documents(texts(b.column(column))) for x in p.best(vectors)]
             if only:
                 yield b.filter(pa.array([name != UNKNOWN for name, _ in best], pa.bool_()))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from terrasift.llm import attention
 from terrasift.llm.attention import Shape, start
-from terrasift.llm.common import free, in_bytes, remove, store, texts
+from terrasift.llm.common import Memory, free, in_bytes, remove, store, texts, tidy
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Classes that ids share by the pairs they are in, and those of ids that are in none counted; words that a worker remembers.
@@ -51,7 +51,7 @@ class Subwords:
 
     def __init__(self, path: str, pattern: str):
         self.encoding, ranks = _encoding(path, pattern)
-        self.end, self.known = len(ranks), {}
+        self.end, self.known = len(ranks), Memory(self.word, REMEMBERED)
         self.spaced = np.zeros(self.end + 1, bool)
         self.wide = np.zeros(self.end + 1, bool)
         for token, i in ranks.items():
@@ -61,17 +61,7 @@ class Subwords:
         return np.array(self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace")), np.uint16).tobytes()
 
     def encode(self, ws: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint16)
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in ws:
-            if w not in known:
-                known[w] = self.word(w)
-        return np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint16)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint16)
 
 
 @cache
@@ -324,7 +314,7 @@ def score_texts(
     text = F.col(f"`{text_col}`").cast("binary").alias("text")
     learn = F.coalesce(train, F.lit(False))
     learned = docs.where(learn).select(text)
-    raw, gathered = store(learned.mapInArrow(_gather(), RAW), "gathered")
+    raw, gathered = store(learned.mapInArrow(tidy(_gather()), RAW), "gathered")
     words = raw.where("kind = 'word'").groupBy("key").agg(F.sum("n").alias("n"))
     words, counted = store(words, "words")
     free(spark)
@@ -357,7 +347,7 @@ def score_texts(
     dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards), "shard").sortWithinPartitions("shard", "h", "text")
     for epoch in range(rounds):
         state = sc.broadcast((params, classes.of, classes.input, epoch))
-        fitted = dealt.select("shard", "text").mapInArrow(_fit_shards(state, path, pattern, shape, steps, batch, rate / (1 + epoch), slice_bytes), "shard long, n long, params binary")
+        fitted = dealt.select("shard", "text").mapInArrow(tidy(_fit_shards(state, path, pattern, shape, steps, batch, rate / (1 + epoch), slice_bytes)), "shard long, n long, params binary")
         fitted, path2 = store(fitted, "fitted")
         sums = fitted.groupBy(F.pmod("shard", F.lit(max(1, int(shards**0.5)))).alias("salt")).applyInPandas(_add, "shard long, n long, params binary").collect()  # the root of the shards
         remove(spark, path2)
@@ -371,7 +361,7 @@ def score_texts(
 
     state = sc.broadcast((params, classes, top, ends, total, kinds))  # top_words words, and numbers per id and parameter
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), (~learn).alias("held_out"), text)
-    scored, path3 = store(rows.mapInArrow(_score(state, path, pattern, shape, slice_bytes), SCORED), "scored")
+    scored, path3 = store(rows.mapInArrow(tidy(_score(state, path, pattern, shape, slice_bytes)), SCORED), "scored")
     rare = scored.select("uid", F.explode("rare").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("times"))
     found = rare.join(words, "key").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("sum"))
     out = scored.drop("rare").join(found, "uid", "left")

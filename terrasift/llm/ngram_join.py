@@ -20,7 +20,7 @@ what is not yet linked follow.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import in_bytes, remove, store, texts, unused
+from terrasift.llm.common import give_back, in_bytes, remove, store, texts, tidy, unused
 from terrasift.llm.graph import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -50,7 +50,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of STEP and of its inverse modulo 2**64."""
     inverse = pow(int(STEP), -1, 2**64)
@@ -143,7 +143,7 @@ def _rarity(docs: DataFrame, n: int, limit: int) -> np.ndarray:
         return out
 
     schema = "slice int, salt int, counts binary"
-    parts = docs.mapInArrow(count, schema).groupBy("slice", "salt").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    parts = docs.mapInArrow(tidy(count), schema).groupBy("slice", "salt").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
     table = np.zeros(1 << RARITY_BITS, np.int64)
     for r in parts.collect():  # SLICES rows of 128 kB
         width = len(table) // SLICES
@@ -269,6 +269,7 @@ def _tile(percent: int):
         begin = np.r_[0, np.cumsum([len(m) for m in members])].astype(np.int64)
         at = [np.searchsorted(rows["rep"].to_numpy(), pairs[c].to_numpy()) for c in ("a", "b")]
         good = tile_product(*at, np.concatenate(members) if members else np.zeros(0, np.uint64), begin, percent)
+        give_back()
         return pairs.loc[good, ["a", "b"]]
 
     return run
@@ -282,7 +283,7 @@ class Join:
         self.scratch: list[str] = []
         self.docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
         table = docs.sparkSession.sparkContext.broadcast(_rarity(self.docs.select("text"), n, slice_bytes))  # 4 MB
-        self.sketch = self.keep(self.docs.mapInArrow(_sketch(table, n, percent, slice_bytes), SKETCH), "sketch")
+        self.sketch = self.keep(self.docs.mapInArrow(tidy(_sketch(table, n, percent, slice_bytes)), SKETCH), "sketch")
         self.classes = self.keep(
             self.sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("lowest"), F.count("*").alias("copies")), "classes"
         )
@@ -317,7 +318,7 @@ class Join:
         t = self.percent
         few, many = shared.where(F.col("rows") <= self.meet), shared.where(F.col("rows") > self.meet)
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        partial = few.select("column", "rep", "n").repartition(parts, "column").sortWithinPartitions("column").mapInArrow(_block_products(t), "a long, b long, na long, nb long, shared long")
+        partial = few.select("column", "rep", "n").repartition(parts, "column").sortWithinPartitions("column").mapInArrow(tidy(_block_products(t)), "a long, b long, na long, nb long, shared long")
         pairs = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
         # Columns of many rows weren't multiplied: at most as many more as either row has.
         unseen = many.groupBy("rep").agg(F.count("*").alias("h"))
@@ -338,7 +339,7 @@ class Join:
         dealt = self.keep(pairs.select("a", "b", tile.alias("tile")), "dealt")
         keys = wanted.select("k1", "k2", "rep")
         keys = F.broadcast(keys) if work[0] <= self.broadcast_rows else keys
-        found = self.docs.select("text").mapInArrow(_whole_sets(self.n, self.limit), "k1 long, k2 long, members binary").join(keys, ["k1", "k2"])
+        found = self.docs.select("text").mapInArrow(tidy(_whole_sets(self.n, self.limit)), "k1 long, k2 long, members binary").join(keys, ["k1", "k2"])
         members = self.keep(found.groupBy("rep").agg(F.first("members").alias("members")), "members")
         place = dealt.select("tile", F.col("a").alias("rep")).unionByName(dealt.select("tile", F.col("b").alias("rep"))).distinct()
         rows = members.join(place, "rep").select(F.col("tile").alias("of_tile"), "rep", "members")

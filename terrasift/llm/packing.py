@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import in_bytes, partitions_for, remove, store, texts, tidy
+from terrasift.llm.common import Memory, in_bytes, partitions_for, remove, store, texts, tidy
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Bytes of text that a task takes from Arrow at a time.
 SLICE = 4_000_000
 
@@ -59,8 +59,7 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(self.word, REMEMBERED), Memory(self.piece, REMEMBERED)
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -85,21 +84,8 @@ class WordEncoder:
             return self.whole(text)
         known = text.decode("utf-8", "replace")
         if self.PLAIN.fullmatch(known):
-            return self.remembered(self.PIECES.findall(known.lower()), self.pieces, self.piece)
-        return self.remembered([w.decode("utf-8", "replace") for w in text.split()], self.words, self.word)
-
-    @staticmethod
-    def remembered(parts: list[str], known: dict[str, bytes], ids) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for p in parts:
-            if p not in known:
-                known[p] = ids(p)
-        return b"".join(map(known.__getitem__, parts))
+            return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(known.lower())))
+        return b"".join([self.words[w.decode("utf-8", "replace")] for w in text.split()])
 
 
 @cache

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrasift.llm.common import remove, store, texts
+from terrasift.llm.common import give_back, remove, store, texts, tidy
 
 
 @dataclass
@@ -104,7 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 
     def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
         docs = [bytes(t) for t in pdf.sort_values("__k")["__text"] if t is not None and len(t)]
-        return pd.DataFrame({"label": [int(pdf["__label"].iloc[0])], "bytes": [_dictionary(docs, dictionary_bytes) if docs else b""]})
+        out = pd.DataFrame({"label": [int(pdf["__label"].iloc[0])], "bytes": [_dictionary(docs, dictionary_bytes) if docs else b""]})
+        del docs
+        give_back()
+        return out
 
     made = {r["label"]: bytes(r["bytes"]) for r in sample.where("__k % 2 = 1").groupBy("__label").applyInPandas(dictionary, "label int, bytes binary").collect()}
     model = Model(made.get(1, b""), made.get(0, b""), level, np.zeros(4), np.ones(4), np.zeros(5))
@@ -145,7 +148,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     if taken := {c.lower() for c in kept.columns} & {"score", "predicted"}:
         raise ValueError(f"a kept column is named {', '.join(sorted(taken))}")
     schema = StructType(kept.schema.fields[:-1]).add("score", "double").add("predicted", "integer")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def calibration(scored: DataFrame, labels: DataFrame, bins: int = 10, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
