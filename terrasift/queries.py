@@ -401,7 +401,7 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Space: places and regions are made from integer keys, alike on both sides.
 
 # The projection's numbers for the SQL, worked out apart from geo: cone constant, C, radius at the origin, e, e squared.
-_N, _C, _RHO0, _E1, _E2, _A = -0.448478997168303, 1.18052422766923, -15452159.6440394, 0.0818191910428158, 0.00669438002290079, 6378137.0
+_N, _C, _RHO0, _E1, _E2, _A = -0.44847899716830203, 1.1805242276692356, -15452159.644039396, 0.08181919104281579, 0.006694380022900787, 6378137.0
 
 
 def _lonlat(key: Column) -> tuple[Column, Column]:
