@@ -34,14 +34,19 @@ KINDS = {
 }
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+", "secret": ""}
 #: The seeds beside the four kinds: 32 or more hexadecimal digits, both letters and decimals among them.
-SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,127}[0-9])(?=[0-9]{0,127}[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])"
+SECRET = r"(?=[0-9a-f]{8})(?<![0-9A-Za-z])(?=[0-9a-f]{0,127}[0-9])(?=[0-9]{0,127}[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])"
 SEEDS = {**KINDS, "secret": SECRET}
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 LETTER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 TRIMMED = "-._@/"
-#: What a token is: a seed, a word with marks inside, or a mark that often stands before a value.
-TOKEN = "|".join(f"(?:{SEEDS[k]})" for k in ("email", "secret", "phone", "ip", "card")) + rf"|[^{LETTER}](?:[^{LETTER}]|[-._@/])*+|[=:#]"
+#: What a token is: a seed, a word with marks inside, or a mark that often stands before a value. Texts without an @, or
+#: without digits, need not be searched for all seeds.
+PLAIN = rf"[^{LETTER}][[^{LETTER}]._@/-]*+|[=:#]"
+DIGITS = "|".join(rf"(?:{SEEDS[k]})(?![^{LETTER}])" for k in ("secret", "phone", "ip", "card")) + f"|{PLAIN}"
+TOKEN = f"(?:{KINDS['email']})|{DIGITS}"
 BLOCK = 256
+#: Contexts are screened in one of so many documents, step by step, before they are counted in all.
+SCREENS = (256, 16)
 
 
 def _digits(value: Column) -> Column:
@@ -128,16 +133,14 @@ def _kind(token: Column) -> Column:
     )
 
 
-def _plain(token: Column) -> Column:
-    """The hash of a token that is no seed, in lower case, without marks at its end."""
-    return F.xxhash64(F.lower(F.rtrim(token, F.lit(TRIMMED))))
-
-
 def _tokens(rows: DataFrame, *keep: str) -> DataFrame:
     """keep, h (the hashes of all tokens; a seed has its kind's) and seeds (i, kind, value hash) of every text."""
-    cut = rows.select(*keep, F.col("text").rlike("[0-9@]").alias("odd"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    cut = cut.select(*keep, "tokens", F.when(F.col("odd"), F.transform("tokens", _kind)).alias("kinds"))
-    h = F.when(F.col("kinds").isNull(), F.transform("tokens", _plain)).otherwise(F.zip_with("tokens", "kinds", lambda t, k: F.when(k.isNull(), _plain(t)).otherwise(F.xxhash64(F.lit("\x01"), k))))
+    text, trim = F.col("text"), F.lit(TRIMMED)
+    every = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    tokens = F.when(text.contains("@"), every(text, TOKEN)).when(text.rlike("[0-9]"), every(text, DIGITS))
+    cut = rows.select(*keep, "text", tokens.alias("tokens")).select(*keep, "text", "tokens", F.transform("tokens", _kind).alias("kinds"))
+    plain = F.transform(every(F.lower(text), PLAIN), lambda t: F.xxhash64(F.rtrim(t, trim)))
+    h = F.when(F.col("tokens").isNull(), plain).otherwise(F.zip_with("tokens", "kinds", lambda t, k: F.when(k.isNull(), F.xxhash64(F.lower(F.rtrim(t, trim)))).otherwise(F.xxhash64(F.lit("\x01"), k))))
     seeds = F.filter(F.transform("kinds", lambda k, i: F.struct(i.alias("i"), k.alias("kind"), F.xxhash64(F.get("tokens", i)).alias("value"))), lambda x: x["kind"].isNotNull())
     return cut.select(*keep, h.alias("h"), F.when(F.size(seeds) > 0, seeds).alias("seeds"))
 
@@ -161,22 +164,33 @@ class Bootstrap:
     def meet(self, rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
         return rows.join(F.broadcast(few) if few.count() <= self.broadcast_rows else few, key)
 
-    def places(self) -> DataFrame:
-        """k1, k2, i, w, patterns of every token."""
-        at = F.transform("h", lambda w, i: F.struct(i.alias("i"), w.alias("w"), _around("h", i).alias("patterns")))
-        return self.corpus.select("k1", "k2", F.explode(at).alias("at")).select("k1", "k2", "at.*")
+    def places(self, corpus: DataFrame | None = None) -> DataFrame:
+        """k1, k2, i, w, patterns (as _around has them) of every token."""
+        none, n = F.array(F.lit(None).cast("long")), F.size("h")
+        row = F.arrays_zip(F.col("h").alias("w"), F.slice(F.concat(none, "h"), F.lit(1), n).alias("l1"), F.slice(F.concat(none, none, "h"), F.lit(1), n).alias("l2"), F.slice("h", F.lit(2), n).alias("r1"), F.slice("h", F.lit(3), n).alias("r2"))
+        # Texts without tokens have none; what is shorter is filled with NULL.
+        at = (self.corpus if corpus is None else corpus).where(n > 0).select("k1", "k2", F.posexplode(row).alias("i", "at")).select("k1", "k2", "i", "at.*")
+        patterns = F.array(F.xxhash64(F.lit(1), "l2", "l1"), F.xxhash64(F.lit(2), "r1", "r2"), F.xxhash64(F.lit(3), "l1", "r1"))
+        return at.select("k1", "k2", "i", "w", patterns.alias("patterns"))
 
     def run(self) -> DataFrame:
         """k1, k2, i, kind: tokens that are identifiers and no seeds."""
-        none = lambda ddl: self.corpus.sparkSession.createDataFrame([], ddl)
+        none = lambda **columns: self.corpus.limit(0).select(*(F.lit(None).cast(t).alias(c) for c, t in columns.items()))
         seeds = self.corpus.where(F.col("seeds").isNotNull()).select(F.explode(F.transform("seeds", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), _around("h", s["i"]).alias("patterns")))).alias("s")).select("s.*")
         contexts = self.keep(seeds.select("kind", "value", F.explode("patterns").alias("pattern")).groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")), "contexts")
-        seen, found, known = none("pattern long, seen long"), none("k1 long, k2 long, i int, w long, pattern long"), none("w long, kind string")
+        seen, found, known = none(pattern="long", seen="long"), none(k1="long", k2="long", i="int", w="long", pattern="long"), none(w="long", kind="string")
         marks = F.array(*(F.xxhash64(F.lit("\x01"), F.lit(k)) for k in SEEDS))
-        held = none("pattern long")
+        held = none(pattern="long")
         while True:
             enough = contexts.groupBy("pattern").agg(F.count_distinct("value").alias("v")).where(F.col("v") >= self.support).select("pattern")
-            fresh = self.keep(enough.join(seen, "pattern", "left_anti"), "patterns")
+            hits = contexts.groupBy("pattern").agg(F.sum("n").alias("hits")).join(enough, "pattern").join(seen, "pattern", "left_anti")
+            fresh = self.keep(hits, "patterns")
+            # A pattern that occurs too often in a part of the corpus already can't be precise enough in all of it.
+            for share in SCREENS:
+                part = self.corpus.where(F.pmod("k1", F.lit(share)) == 0)
+                often = self.meet(self.places(part).select(F.explode("patterns").alias("pattern")), fresh.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("c"))
+                fresh = self.keep(fresh.join(often, "pattern", "left").where(F.col("c").isNull() | (F.col("hits") >= self.precision * F.col("c"))).select("pattern", "hits"), "patterns")
+            fresh = fresh.select("pattern")
             counted = self.meet(self.places().select(F.explode("patterns").alias("pattern")), fresh, "pattern").groupBy("pattern").agg(F.count("*").alias("seen"))
             seen = self.keep(seen.unionByName(counted), "seen")
             scored = contexts.groupBy("pattern", "kind").agg(F.sum("n").alias("hits"), F.count("*").alias("v")).where(F.col("v") >= self.support).join(seen, "pattern")
