@@ -258,15 +258,14 @@ class Packer:
         lengths = rest.select("block", "uid", "piece", "length")
         state, path = store(lengths.groupBy("block").applyInPandas(_found(self.capacity, self.population, self.islands), STATE), "islands")
         parts = partitions_for(rest.sparkSession, blocks * self.islands, 16)
+        none = {"lengths": "binary", "packings": "array<binary>"}
         for epoch in range(self.epochs):
-            done = state.where("done").select("block").distinct()
-            going = state.join(done, "block", "left_anti")
-            if going.isEmpty():
+            if state.where("not done").isEmpty():
                 break
-            migrants = going.select("block", F.pmod(F.col("island") + 1, F.lit(self.islands)).alias("island"), F.lit(None).cast("binary").alias("lengths"), F.lit(None).cast("array<binary>").alias("packings"), "elite", "bins", "founded", "least", "generations", "done")
-            moved = going.unionByName(migrants).repartition(parts, "block", "island")
-            evolved = moved.groupBy("block", "island").applyInPandas(_epoch(self.capacity, self.generations, epoch), STATE)
-            new, new_path = store(evolved.unionByName(state.join(done, "block", "left_semi")), "islands")
+            # What is done gives its elite on and stays as it is.
+            migrants = state.withColumns({"island": F.pmod(F.col("island") + 1, F.lit(self.islands)), **{c: F.lit(None).cast(t) for c, t in none.items()}})
+            moved = state.unionByName(migrants).repartition(parts, "block", "island")
+            new, new_path = store(moved.groupBy("block", "island").applyInPandas(_epoch(self.capacity, self.generations, epoch), STATE), "islands")
             remove(rest.sparkSession, path)
             state, path = new, new_path
         return state, path
