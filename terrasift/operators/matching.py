@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions.geo import albers, round1
-from terrasift.functions.text import address_conflict
+from terrasift.functions.text import number_range, range_gap
 from terrasift.operators.relational import hold
 from terrasift.operators.spatial import distance_join
 
@@ -31,9 +32,14 @@ def true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+# What decides about a charger and about a site: rows that agree in these are one kind.
+OWN = ["longitude", "latitude", "operator", "postcode", "numbers"]
+THEIRS = ["lon", "lat", "ext_operator", "ext_postcode", "ext_numbers"]
+
+
 def candidate_pairs(chargers: DataFrame, sites: DataFrame, radii: Radii = Radii()) -> DataFrame:
     """Pairs within the operators' radius, measured in the plane, with their flags. Radii other than the join's hold the
-    distance rounded to one decimal."""
+    distance rounded to one decimal. Chargers come with numbers and sites with ext_numbers, the ranges of their addresses."""
     x, y = albers(F.col("longitude"), F.col("latitude"))
     sx, sy = albers(F.col("lon"), F.col("lat"))
     pairs = distance_join(chargers.withColumns({"x": x, "y": y}), sites.withColumns({"sx": sx, "sy": sy}), radii.operator)
@@ -43,7 +49,7 @@ def candidate_pairs(chargers: DataFrame, sites: DataFrame, radii: Radii = Radii(
         {
             "same_operator": same,
             "postcode_conflict": true(F.col("postcode") != F.col("ext_postcode")),
-            "street_conflict": address_conflict(F.col("station_address"), F.col("ext_address"), radii.street_numbers) & (F.col("distance_m") > radii.trust),
+            "street_conflict": true(range_gap(F.col("numbers"), F.col("ext_numbers")) > radii.street_numbers) & (F.col("distance_m") > radii.trust),
             "match_method": F.when(same, "operator_and_distance").otherwise("distance_only"),
         }
     )
@@ -51,48 +57,59 @@ def candidate_pairs(chargers: DataFrame, sites: DataFrame, radii: Radii = Radii(
     return pairs.withColumn("conflict", conflict).where(F.col("same_operator") | (F.col("distance_m") <= radii.alone))
 
 
-def _best(pairs: DataFrame, *order: Column) -> DataFrame:
-    w = Window.partitionBy("charger_id").orderBy(*order)
-    return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+def _best(pair: Column) -> tuple[Column, Column]:
+    """What a pair without a conflict, and one with, comes in the order of; NULL for the others, which are passed over."""
+    near = [pair["distance_m"].alias("distance_m"), pair["source_poi_id"].alias("source_poi_id")]
+    return F.when(~pair["conflict"], F.struct((~pair["same_operator"]).alias("other"), *near)), F.when(pair["conflict"], F.struct(*near))
 
 
-def accepted(pairs: DataFrame) -> DataFrame:
-    """Per charger the best pair without a conflict: the same operator first, then the nearest."""
-    return _best(pairs.where(~F.col("conflict")), F.col("same_operator").desc(), F.col("distance_m"), F.col("source_poi_id"))
+def verdicts(chargers: DataFrame, sites: DataFrame, radii: Radii = Radii()) -> DataFrame:
+    """Per charger that has pairs (charger_id) the best pair without a conflict (good): the same operator first, then the
+    nearest; and the nearest conflicting one (bad). Of equally good ones the site with the smallest id counts.
 
+    Chargers and sites meet by kind, however many rows are of one: chargers at a place differ in their id alone, and of a kind
+    of sites only the smallest id can be the best. A kind's verdict is then each of its chargers'."""
+    own = chargers.withColumn("numbers", number_range(F.col("station_address"))).select("charger_id", *OWN)
+    theirs = sites.withColumn("ext_numbers", number_range(F.col("ext_address")))
+    rest = F.struct(*(c for c in theirs.columns if c not in THEIRS))
+    theirs = theirs.groupBy(*THEIRS).agg(F.min_by(rest, F.struct("source_poi_id")).alias("site")).select(*THEIRS, "site.*")
+    pairs = candidate_pairs(own.select(*OWN).distinct(), theirs, radii)
+    pairs = pairs.select(*OWN, F.struct(*(c for c in pairs.columns if c not in OWN)).alias("p"))
+    clean, conflicting = _best(F.col("p"))
+    of_kind = pairs.groupBy(*OWN).agg(F.min_by("p", clean).alias("good"), F.min_by("p", conflicting).alias("bad"))
+    of_kind = of_kind.withColumnsRenamed({c: f"__{c}" for c in OWN})
+    each = own.join(of_kind, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in OWN)))
+    # Rows may repeat a charger's id.
+    return each.groupBy("charger_id").agg(F.min_by("good", _best(F.col("good"))[0]).alias("good"), F.min_by("bad", _best(F.col("bad"))[1]).alias("bad"))
 
-def rejected(pairs: DataFrame, taken: DataFrame) -> DataFrame:
-    """Per charger that has pairs, but only conflicting ones, the nearest of them."""
-    left = pairs.join(taken.select("charger_id"), "charger_id", "left_anti")
-    reason = F.concat_ws("+", F.when(F.col("postcode_conflict"), "postcode_conflict"), F.when(F.col("street_conflict"), "address_conflict"))
-    return _best(left, F.col("distance_m"), F.col("source_poi_id")).withColumn("reject_reason", reason)
+
+def accepted(verdicts: DataFrame) -> DataFrame:
+    """Per charger the best pair without a conflict."""
+    return verdicts.where(F.col("good").isNotNull()).select("charger_id", "good.*")
 
 
-def _verdicts(pairs: DataFrame) -> DataFrame:
-    """Per charger that has pairs its accepted one (good), or else the nearest conflicting one (bad): one aggregate, whose
-    map side leaves two pairs a charger and task."""
-    whole = F.struct(*(c for c in pairs.columns if c != "charger_id"))
-    near = [F.col("distance_m"), F.col("source_poi_id")]
-    # Pairs without an order are passed over.
-    good = F.min_by(whole, F.when(~F.col("conflict"), F.struct((~F.col("same_operator")).alias("other"), *near)))
-    bad = F.min_by(whole, F.when(F.col("conflict"), F.struct(*near)))
-    return pairs.groupBy("charger_id").agg(good.alias("good"), bad.alias("bad"))
+def _reason(pair: Column) -> Column:
+    return F.concat_ws("+", F.when(pair["postcode_conflict"], "postcode_conflict"), F.when(pair["street_conflict"], "address_conflict"))
+
+
+def rejected(verdicts: DataFrame) -> DataFrame:
+    """Per charger that has pairs, but only conflicting ones, the nearest of them."""
+    return verdicts.where(F.col("good").isNull()).select("charger_id", "bad.*", _reason(F.col("bad")).alias("reject_reason"))
 
 
 def match(chargers: DataFrame, sites: DataFrame, source: str, radii: Radii = Radii()) -> tuple[DataFrame, DataFrame]:
     """Matches (charger_id, augmentation_source, payload, method, distance) and the audit, one row per charger of which
     each is accepted, rejected or has no candidate. Both are typed and complete for empty inputs too. The verdicts, a row
     per charger with pairs, are held: both results and the next source read them."""
-    verdicts = hold(_verdicts(candidate_pairs(chargers, sites, radii)))
-    good = verdicts.where(F.col("good").isNotNull())
+    held = hold(verdicts(chargers, sites, radii))
+    good = held.where(F.col("good").isNotNull())
     matches = good.select("charger_id", F.lit(source).alias("augmentation_source"), *(F.col(f"good.{c}").alias(c) for c in (*PAYLOAD, "match_method")), F.col("good.distance_m").alias("match_distance_m"))
-    found = verdicts.select("charger_id", F.coalesce("good", "bad").alias("p"), F.col("good").isNotNull().alias("yes"))
-    reason = F.concat_ws("+", F.when(F.col("p.postcode_conflict"), "postcode_conflict"), F.when(F.col("p.street_conflict"), "address_conflict"))
+    found = held.select("charger_id", F.coalesce("good", "bad").alias("p"), F.col("good").isNotNull().alias("yes"))
     values = {
         "source": F.lit(source),
         "decision": F.when(F.col("yes"), "accepted").when(~F.col("yes"), "rejected").otherwise("no_candidate"),
         "match_method": F.col("p.match_method"), "distance_m": F.col("p.distance_m"), "candidate_operator": F.col("p.ext_operator"),
-        "candidate_address": F.col("p.ext_address"), "candidate_postcode": F.col("p.ext_postcode"), "reject_reason": F.when(~F.col("yes"), reason),
+        "candidate_address": F.col("p.ext_address"), "candidate_postcode": F.col("p.ext_postcode"), "reject_reason": F.when(~F.col("yes"), _reason(F.col("p"))),
     }
     own = chargers.select("charger_id", "operator", "station_address", "postcode")
     return matches, own.join(found, "charger_id", "left").select(*(values[c].alias(c) if c in values else c for c in AUDIT))

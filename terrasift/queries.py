@@ -465,13 +465,12 @@ def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT charger_id, source_poi_id, match_method, distance_m FROM a")
 def match_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.accepted(M.candidate_pairs(_chargers(spark, sf_dir), _sites(spark, sf_dir))).select("charger_id", "source_poi_id", "match_method", "distance_m")
+    return M.accepted(M.verdicts(_chargers(spark, sf_dir), _sites(spark, sf_dir))).select("charger_id", "source_poi_id", "match_method", "distance_m")
 
 
 @query(f"WITH {_PAIRS} SELECT charger_id, source_poi_id, distance_m, concat_ws('+', CASE WHEN pc THEN 'postcode_conflict' END, CASE WHEN sc THEN 'address_conflict' END) AS reject_reason FROM j")
 def match_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = M.candidate_pairs(_chargers(spark, sf_dir), _sites(spark, sf_dir))
-    return M.rejected(pairs, M.accepted(pairs)).select("charger_id", "source_poi_id", "distance_m", "reject_reason")
+    return M.rejected(M.verdicts(_chargers(spark, sf_dir), _sites(spark, sf_dir))).select("charger_id", "source_poi_id", "distance_m", "reject_reason")
 
 
 @query(f"""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasift.functions import geo
+from terrasift.functions import text as T
 from terrasift.operators import matching as M
 from terrasift.operators import quality as Q
 from terrasift.operators import relational as R
@@ -144,6 +145,34 @@ def test_matching_cases(spark):
     assert M.match(chargers.limit(0), feed, "feed")[1].count() == 0
 
 
+def test_matching_meets_by_kind(spark, monkeypatch):
+    """However many chargers and sites are alike, one of each kind is paired; results are those of all pairs."""
+    rng, met = random.Random(4), []
+    join = M.distance_join
+    monkeypatch.setattr(M, "distance_join", lambda left, right, radius: met.append((left.count(), right.count())) or join(left, right, radius))
+    chargers = [(i, rng.choice(["A", "B", None]), rng.choice(["1 Main St", "1 Main Street", "40 Side St", None]), rng.choice(["2000", None]), -33.0 - rng.choice([0, 100, 480]) * METRE, 151.0) for i in range(300)]
+    chargers += [(0, "A", "1 Main St", "2000", -33.0, 151.0), (301, "A", None, None, None, 151.0)]  # an id twice; no place
+    sites = [_site(i, rng.choice(["A", "B", None]), rng.choice([0, 20, 400]), 0, rng.choice(["2000", "2001", None]), rng.choice(["1 Main St", "90 Main St", "90 Main Rd"])) for i in range(300)]
+    schema = "source_poi_id string, ext_operator string, ext_name string, ext_address string, ext_postcode string, usage_cost string, price_per_kwh double, plug_types string, num_points int, num_connectors int, rate_kw double, lat double, lon double"
+    own, feed = spark.createDataFrame(chargers, CHARGERS), spark.createDataFrame(sites, schema)
+    verdicts = M.verdicts(own, feed)
+    number = lambda address: address and address.split()[0]
+    assert met == [(len({(o, number(a), p, y, x) for _, o, a, p, y, x in chargers}), len({(s[1], number(s[3]), s[4], s[11], s[12]) for s in sites}))]
+
+    def best(rows, order):
+        out = {}
+        for r in rows:
+            if r.charger_id not in out or order(r) < order(out[r.charger_id]):
+                out[r.charger_id] = r
+        return out
+
+    numbers = {"numbers": T.number_range(F.col("station_address"))}
+    pairs = M.candidate_pairs(own.withColumns(numbers), feed.withColumn("ext_numbers", T.number_range(F.col("ext_address")))).collect()
+    good = best((r for r in pairs if not r.conflict), lambda r: (not r.same_operator, r.distance_m, r.source_poi_id))
+    assert good
+    assert sorted((r.charger_id, r.source_poi_id, r.ext_address, r.distance_m, r.match_method) for r in M.accepted(verdicts).collect()) == sorted((k, r.source_poi_id, r.ext_address, r.distance_m, r.match_method) for k, r in good.items())
+
+
 def test_expectations(spark):
     parent = spark.createDataFrame([(1,), (2,)], "id int")
     child = spark.createDataFrame([(1, 1, 5.0), (1, 9, -1.0), (None, None, None)], "k int, ref int, v double")
