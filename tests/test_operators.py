@@ -169,8 +169,10 @@ def test_matching_meets_by_kind(spark, monkeypatch):
     numbers = {"numbers": T.number_range(F.col("station_address"))}
     pairs = M.candidate_pairs(own.withColumns(numbers), feed.withColumn("ext_numbers", T.number_range(F.col("ext_address")))).collect()
     good = best((r for r in pairs if not r.conflict), lambda r: (not r.same_operator, r.distance_m, r.source_poi_id))
-    assert good
+    bad = best((r for r in pairs if r.charger_id not in good), lambda r: (r.distance_m, r.source_poi_id))
+    assert good and bad
     assert sorted((r.charger_id, r.source_poi_id, r.ext_address, r.distance_m, r.match_method) for r in M.accepted(verdicts).collect()) == sorted((k, r.source_poi_id, r.ext_address, r.distance_m, r.match_method) for k, r in good.items())
+    assert sorted((r.charger_id, r.source_poi_id, r.distance_m) for r in M.rejected(verdicts).collect()) == sorted((k, r.source_poi_id, r.distance_m) for k, r in bad.items())
 
 
 def test_expectations(spark):
