@@ -42,72 +42,111 @@ def fresh(shape: Shape, prior: np.ndarray, seed: int = 3) -> dict[str, np.ndarra
     return {k: x.astype(F32) for k, x in p.items()}
 
 
-def power(z: np.ndarray, keep: bool = False):
-    """(1 + z / 16) ** 16, in place; the base is kept from 0. With keep, also the derivative of its logarithm: 1 / base, and
-    0 where the base was kept from 0."""
-    z *= z.dtype.type(1 / 16)
-    z += z.dtype.type(1)
-    np.maximum(z, z.dtype.type(0.02), out=z)
-    if keep:
-        slope = np.reciprocal(z)
-        slope[z <= z.dtype.type(0.02)] = 0
-    for _ in range(4):
-        z *= z
-    return (z, slope) if keep else z
-
-
-def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = False):
-    """Hidden states of windows of input classes, (windows, window, dims); with keep, what backward() needs."""
+def bounded(base: np.ndarray) -> bool:
+    """Keeps 1 + z / 16 from 0, in place; whether any was."""
+    low = base.dtype.type(0.02)
+    if base.size == 0 or base.min() > low:
+        return False
+    np.maximum(base, low, out=base)
+    return True
+
+
+def sixteenth(base: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """base ** 16."""
+    out = np.multiply(base, base, out=out)
+    for _ in range(3):
+        out *= out
+    return out
+
+
+def steep(g: np.ndarray, base: np.ndarray, cut: bool) -> np.ndarray:
+    """g times the derivative of the logarithm of (1 + z / 16) ** 16 by z, in place: 1 / base, and 0 where the base was kept from 0."""
+    g /= base
+    if cut:
+        g[base <= base.dtype.type(0.02)] = 0
+    return g
+
+
+def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = False, first: int = 0):
+    """Hidden states of windows of input classes, (windows, window - first, dims), of the positions from first on; with keep,
+    what backward() needs."""
     b, w = x.shape
-    e = p["embed"][x] + p["place"][:w]
-    flat = e.reshape(b * w, -1)
-    d = flat.shape[1]
-    qkv = (flat @ np.hstack((p["q"], p["k"], p["v"]))).reshape(b, w, 3 * d)
-    q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
-    a = q @ k.transpose(0, 2, 1)
-    a *= F32(d**-0.5)
-    slope = None
-    if keep:
-        a, slope = power(a, True)
+    e = p["embed"][x]
+    e += p["place"][:w]
+    d = e.shape[2]
+    flat = e.reshape(b * w, d)
+    # Queries come with the scale of the products and their sixteenth.
+    small = p["q"] * p["q"].dtype.type(d**-0.5 / 16)
+    if first:
+        own = np.ascontiguousarray(e[:, first:]).reshape(b * (w - first), d)
+        q = (own @ small).reshape(b, w - first, d)
+        kv = (flat @ np.hstack((p["k"], p["v"]))).reshape(b, w, 2 * d)
+        k, v = kv[:, :, :d], kv[:, :, d:]
     else:
-        power(a)
-    a *= np.tril(np.ones((w, w), F32))
+        own = flat
+        qkv = (flat @ np.hstack((small, p["k"], p["v"]))).reshape(b, w, 3 * d)
+        q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+    base = q @ k.transpose(0, 2, 1)
+    base += base.dtype.type(1)
+    cut = bounded(base)
+    a = sixteenth(base, None if keep else base)
+    a *= np.tril(np.ones((w, w), a.dtype))[first:]
     a /= a.sum(axis=2, keepdims=True)
-    both = np.concatenate((flat, (a @ v).reshape(b * w, d)), axis=1)
+    both = np.concatenate((own, (a @ v).reshape(len(own), d)), axis=1)
     up = both @ p["up"]
     up += p["up_bias"]
     np.maximum(up, 0, out=up)
-    h = both[:, :d] + both[:, d:] + up @ p["down"]
-    return (h, (x, q, k, v, a, slope, both, up)) if keep else h
-
-
-def log_probs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, rows: int = 2048) -> np.ndarray:
-    """Natural logs of the targets' class probabilities, from their hidden states, a few rows at a time: they stay in cache."""
-    out, weights = np.empty(len(target)), np.vstack([p["out"], p["bias"]])
+    h = up @ p["down"]
+    h += both[:, :d]
+    h += both[:, d:]
+    return (h, (x, q, k, v, a, base, cut, both, up)) if keep else h
+
+
+def log_probs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """Natural logs of the targets' class probabilities, from their hidden states, a few rows at a time: they stay in cache.
+    As many each time, with rows of 0 after the last, so that a row's result is the same to the last bit beside any others."""
+    kind = h.dtype.type
+    out, weights, bias = np.empty(len(target)), p["out"] * kind(1 / 16), p["bias"] * kind(1 / 16) + kind(1)
+    ones = np.ones(weights.shape[1], h.dtype)
     for a in range(0, len(target), rows):
         part, t = h[a : a + rows], target[a : a + rows]
-        z = power(np.concatenate((part, np.ones((len(part), 1), part.dtype)), axis=1) @ weights)
-        out[a : a + rows] = np.log(z[np.arange(len(t)), t]) - np.log(z @ np.ones(z.shape[1], z.dtype))
+        if len(t) < rows:
+            part = np.concatenate((part, np.zeros((rows - len(t), part.shape[1]), part.dtype)))
+        z = part @ weights
+        z += bias
+        bounded(z)
+        sixteenth(z, z)
+        out[a : a + rows] = np.log(z[np.arange(len(t)), t]) - np.log(z @ ones)[: len(t)]
     return out
 
 
+def summed(x: np.ndarray, rows: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """As many rows as like has: each the sum of the rows that x names it for."""
+    d = like.shape[1]
+    at = x.astype(np.int64)[:, None] * d + np.arange(d)
+    return np.bincount(at.ravel(), weights=rows.ravel(), minlength=like.size).reshape(like.shape).astype(like.dtype)
+
+
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of the real targets and its gradients."""
-    h, (x, q, k, v, a, slope, both, up) = forward(p, x, keep=True)
+    h, (x, q, k, v, a, near, near_cut, both, up) = forward(p, x, keep=True)
     b, w = x.shape
-    d = h.shape[1]
-    prob, steep = power(h @ p["out"] + p["bias"], True)
-    prob /= prob.sum(axis=1, keepdims=True)
+    d, kind = h.shape[1], h.dtype.type
+    base = h @ (p["out"] * kind(1 / 16))
+    base += p["bias"] * kind(1 / 16) + kind(1)
+    cut = bounded(base)
+    dz = sixteenth(base)
     rows, t, n = np.arange(b * w), y.ravel(), max(1, int(real.sum()))
-    loss = -float((np.log(prob[rows, t] + 1e-20) * real.ravel()).sum()) / n
-    prob[rows, t] -= 1
-    prob *= steep
-    prob *= (real.ravel()[:, None] / n).astype(prob.dtype)
-    dz = prob
-    g = {"out": h.T @ dz, "bias": dz.sum(axis=0)}
+    total, weight = dz @ np.ones(dz.shape[1], dz.dtype), (real.ravel() / n).astype(dz.dtype)
+    loss = -float((np.log(dz[rows, t] / total + 1e-20) * real.ravel()).sum()) / n
+    dz *= (weight / total)[:, None]
+    dz[rows, t] -= weight
+    steep(dz, base, cut)
+    g = {"out": h.T @ dz, "bias": np.ones(len(dz), dz.dtype) @ dz}
     dh = dz @ p["out"].T
-    du = (dh @ p["down"].T) * (up > 0)
-    g |= {"down": up.T @ dh, "up": both.T @ du, "up_bias": du.sum(axis=0)}
+    du = dh @ p["down"].T
+    du *= up > 0
+    g |= {"down": up.T @ dh, "up": both.T @ du, "up_bias": np.ones(len(du), du.dtype) @ du}
     dboth = du @ p["up"].T
     flat = both[:, :d]
     dflat = dh + dboth[:, :d]
@@ -115,16 +154,16 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.n
     da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
     da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
     da *= a
-    da *= slope
-    da *= da.dtype.type(d**-0.5)
-    ds = da
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    steep(da, near, near_cut)
+    # q was scaled by d ** -0.5 / 16: of the products' gradients what k takes lacks the 16, and what q takes the root.
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    dq *= kind(d**-0.5)
+    dk *= kind(16)
     for name, grad in (("q", dq), ("k", dk), ("v", dv)):
         grad = grad.reshape(b * w, d)
         g[name] = flat.T @ grad
-        dflat = dflat + grad @ p[name].T
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], x.ravel(), dflat)
+        dflat += grad @ p[name].T
+    g["embed"] = summed(x.ravel(), dflat, p["embed"])
     g["place"] = np.zeros_like(p["place"])
     g["place"][:w] = dflat.reshape(b, w, d).sum(axis=0)
     return loss, g
@@ -166,10 +205,17 @@ def score(p: dict[str, np.ndarray], inputs: np.ndarray, classes: np.ndarray, bou
     before = np.r_[none, inputs, np.full(shape.window, none)]
     before[bounds[:-1][np.diff(bounds) > 0]] = none  # a text's first position follows the start
     step = np.arange(shape.window)
-    for a in range(0, len(begin), batch):
-        at = begin[a : a + batch, None] + step
-        h = forward(p, before[at])
-        take = ((step >= scored[a : a + batch, None]) & (at < ends[a : a + batch, None])).ravel()
-        place = at.ravel()[take]
-        out[place] = log_probs(p, h[take], classes[place])
+    # Positions that the window before has scored are looked at, but not worked out again.
+    for first in np.unique(scored).tolist():
+        of, own = np.flatnonzero(scored == first), step[first:]
+        for a in range(0, len(of), batch):
+            real = len(of[a : a + batch])
+            n = of[np.minimum(np.arange(a, a + batch), len(of) - 1)]  # always as many, as in log_probs()
+            at = begin[n, None] + own
+            h = forward(p, before[begin[n, None] + step], first=first)
+            take = at < ends[n, None]
+            take[real:] = False
+            take = take.ravel()
+            place = at.ravel()[take]
+            out[place] = log_probs(p, h if take.all() else h[take], classes[place])
     return out

@@ -121,6 +121,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def hold_heap(trim: int = 256 << 20, mapped: int = 32 << 20) -> None:
+    """Let this worker keep up to trim freed bytes until give_back(): arrays that live for a moment, over and over, would
+    otherwise have their pages handed back and fetched again each time, which takes longer than to work them out."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        for what, n in ((-1, trim), (-3, mapped), (-2, 8 << 20)):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, M_TOP_PAD
+            libc.mallopt(what, n)
+
+
 def tidy(run):
     """run, a function of a task's batches, with give_back() after the last."""
 

@@ -13,6 +13,7 @@ parameters, and the shards' parameters are averaged by their numbers of windows:
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import replace
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from terrasift.llm import attention
 from terrasift.llm.attention import Shape, start
-from terrasift.llm.common import Memory, free, in_bytes, remove, store, texts, tidy
+from terrasift.llm.common import Memory, free, hold_heap, in_bytes, remove, store, texts, tidy
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Classes that ids share by the pairs they are in, and those of ids that are in none counted; words that a worker remembers.
@@ -58,7 +59,7 @@ class Subwords:
             self.spaced[i], self.wide[i] = token[:1] == b" ", max(token) > 127
 
     def word(self, word: bytes) -> bytes:
-        return np.array(self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace")), np.uint16).tobytes()
+        return array("H", self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes()
 
     def encode(self, ws: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint16)
@@ -191,9 +192,8 @@ class Worth:
             if len(known) > REMEMBERED:
                 known.clear()
                 new = list(dict.fromkeys(ws))
-            ids = [self.sub.encode([w]) for w in new]
-            size = np.array([len(x) for x in ids])
-            row = np.concatenate(ids)
+            raw = list(map(self.sub.known.__getitem__, new))
+            size, row = np.array(list(map(len, raw))) // 2, np.frombuffer(b"".join(raw), np.uint16)
             first = np.cumsum(size) - size
             before = np.r_[np.uint16(0), row[:-1]]
             before[first] = FIRST
@@ -222,6 +222,7 @@ def _fit_shards(state, path: str, pattern: str, shape: Shape, steps: int, batch:
     """Rows come sorted by shard; each shard begins with the parameters that were handed out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_heap()
         initial, of, inputs, epoch = state.value
         sub, shard, params, held, waiting, n = _subwords(path, pattern), None, initial, [], 0, 0
 
@@ -269,6 +270,7 @@ SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, ba
 
 def _score(state, path: str, pattern: str, shape: Shape, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_heap()
         params, classes, top, end_count, total, kinds = state.value
         sub, names = _subwords(path, pattern), [x.split()[0] for x in SCORED.split(", ")]
         worth, end_worth = Worth(classes, sub), float(classes.within[sub.end])

@@ -589,6 +589,34 @@ def test_attention_gradients():
         assert abs(slope - g[name][at]) < 1e-4 + 1e-3 * abs(slope), name
 
 
+def test_scoring_works_positions_out_once(monkeypatch):
+    """Positions that the window before has scored are looked at, and have no states of their own."""
+    shape, rng, states = attention.Shape(classes=5, dims=4, hidden=6, window=8, stride=4), np.random.default_rng(2), []
+    p = attention.fresh(shape, np.full(5, 0.2))
+    forward = attention.forward
+    monkeypatch.setattr(attention, "forward", lambda *a, **more: states.append(forward(*a, **more)) or states[-1])
+    classes, bounds = rng.integers(0, 5, 41), np.array([0, 8, 40, 41])
+    attention.score(p, classes, classes, bounds, shape, batch=1)
+    assert sum(h.size // 4 for h in states) == 8 + (8 + 6 * 4) + 8  # the last text's only window has more than its one position
+
+
+def test_scores_are_the_same_beside_other_texts():
+    shape, rng = attention.Shape(classes=96, inputs=200, dims=24), np.random.default_rng(2)
+    p = attention.fresh(shape, np.full(96, 1 / 96))
+    p["bias"] += rng.normal(0, 1, 96).astype(np.float32)
+    inputs, classes = rng.integers(0, 200, 9000), rng.integers(0, 96, 9000)
+    bounds = np.r_[0, np.sort(rng.choice(9000, 80, replace=False)), 9000]
+    whole = attention.score(p, inputs, classes, bounds, shape)
+    for a, z in zip(bounds, bounds[1:], strict=False):
+        assert (attention.score(p, inputs[a:z], classes[a:z], np.array([0, z - a]), shape) == whole[a:z]).all()
+
+
+def test_embedding_gradients_are_sums():
+    x, rows, like = np.array([3, 0, 3, 3]), np.arange(8, dtype=np.float32).reshape(4, 2), np.zeros((5, 2), np.float32)
+    assert attention.summed(x, rows, like).tolist() == [[2, 3], [0, 0], [0, 0], [10, 13], [0, 0]]
+    assert attention.summed(x[:0], rows[:0], like).tolist() == like.tolist()
+
+
 def test_attention_scores_each_position_once():
     shape = attention.Shape(classes=5, dims=4, hidden=6, window=8, stride=5)
     p = attention.fresh(shape, np.full(5, 0.2))
