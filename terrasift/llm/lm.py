@@ -257,6 +257,11 @@ def _fit_shards(state, path: str, pattern: str, shape: Shape, steps: int, batch:
     return run
 
 
+def deal(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows by shard, sorted. A shard has a task of its own: by a hash of its number several would meet in one."""
+    return rows.repartitionById(tasks, F.col("shard").cast("int")).sortWithinPartitions("shard", "h", "text")
+
+
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("shard")
     out = pdf.iloc[:1].copy()
@@ -346,7 +351,7 @@ def score_texts(
     shards = max(1, round(total / shard_words))
     hashed = F.xxhash64(F.col(f"`{id_col}`").cast("long"), text)
     dealt = docs.where(learn).select(F.pmod(hashed, F.lit(shards)).alias("shard"), hashed.alias("h"), text)
-    dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards), "shard").sortWithinPartitions("shard", "h", "text")
+    dealt = deal(dealt, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards))
     for epoch in range(rounds):
         state = sc.broadcast((params, classes.of, classes.input, epoch))
         fitted = dealt.select("shard", "text").mapInArrow(tidy(_fit_shards(state, path, pattern, shape, steps, batch, rate / (1 + epoch), slice_bytes)), "shard long, n long, params binary")

@@ -675,6 +675,12 @@ def test_scores_do_not_depend_on_how_the_table_is_stored(spark, docs):
     assert key(docs) == key(docs.orderBy(F.desc("text")).repartition(7))
 
 
+def test_a_shard_has_a_task_of_its_own(spark):
+    rows = spark.range(900).select(F.pmod("id", F.lit(30)).alias("shard"), F.xxhash64("id").alias("h"), F.col("id").cast("string").cast("binary").alias("text"))
+    got = lm.deal(rows, 30).select("shard", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count_distinct("shard").alias("shards"), F.count("*").alias("n")).collect()
+    assert len(got) == 30 and {(r.shards, r.n) for r in got} == {(1, 30)}
+
+
 def test_model_learns(spark):
     """Words that only context tells apart: the model beats the share of each word in the held-out texts."""
     rng, path, pattern = random.Random(11), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
