@@ -34,6 +34,7 @@ def true(c: Column) -> Column:
 
 # What decides about a charger and about a site: rows that agree in these are one kind.
 OWN = ["longitude", "latitude", "operator", "postcode", "numbers"]
+STATED = ["longitude", "latitude", "operator", "postcode", "station_address"]
 THEIRS = ["lon", "lat", "ext_operator", "ext_postcode", "ext_numbers"]
 
 
@@ -63,24 +64,40 @@ def _best(pair: Column) -> tuple[Column, Column]:
     return F.when(~pair["conflict"], F.struct((~pair["same_operator"]).alias("other"), *near)), F.when(pair["conflict"], F.struct(*near))
 
 
-def verdicts(chargers: DataFrame, sites: DataFrame, radii: Radii = Radii()) -> DataFrame:
+def _alike(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """left with what right has besides columns, where they agree in these (NULL equals NULL)."""
+    right = right.withColumnsRenamed({c: f"__{c}" for c in columns})
+    both = left.join(right, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns)))
+    return both.drop(*(f"__{c}" for c in columns))
+
+
+def verdicts(chargers: DataFrame, sites: DataFrame, radii: Radii = Radii(), broadcast_rows: int = 100_000) -> DataFrame:
     """Per charger that has pairs (charger_id) the best pair without a conflict (good): the same operator first, then the
     nearest; and the nearest conflicting one (bad). Of equally good ones the site with the smallest id counts.
 
     Chargers and sites meet by kind, however many rows are of one: chargers at a place differ in their id alone, and of a kind
-    of sites only the smallest id can be the best. A kind's verdict is then each of its chargers'."""
-    own = chargers.withColumn("numbers", number_range(F.col("station_address"))).select("charger_id", *OWN)
+    of sites only the smallest id can be the best. A kind's verdict is then each of its chargers'. Only ids that repeat are
+    brought together. The chargers' different rows are held; up to broadcast_rows of them their verdicts are broadcast."""
+    own = chargers.select("charger_id", *STATED)
+    # Held, or Spark would work the projection out for every charger to drop those without a place.
+    stated = hold(own.select(*STATED).distinct())
+    few = stated.count() <= broadcast_rows
+    kinds = stated.withColumn("numbers", number_range(F.col("station_address")))
     theirs = sites.withColumn("ext_numbers", number_range(F.col("ext_address")))
     rest = F.struct(*(c for c in theirs.columns if c not in THEIRS))
     theirs = theirs.groupBy(*THEIRS).agg(F.min_by(rest, F.struct("source_poi_id")).alias("site")).select(*THEIRS, "site.*")
-    pairs = candidate_pairs(own.select(*OWN).distinct(), theirs, radii)
+    pairs = candidate_pairs(kinds.select(*OWN).distinct(), theirs, radii)
     pairs = pairs.select(*OWN, F.struct(*(c for c in pairs.columns if c not in OWN)).alias("p"))
     clean, conflicting = _best(F.col("p"))
     of_kind = pairs.groupBy(*OWN).agg(F.min_by("p", clean).alias("good"), F.min_by("p", conflicting).alias("bad"))
-    of_kind = of_kind.withColumnsRenamed({c: f"__{c}" for c in OWN})
-    each = own.join(of_kind, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in OWN)))
-    # Rows may repeat a charger's id.
-    return each.groupBy("charger_id").agg(F.min_by("good", _best(F.col("good"))[0]).alias("good"), F.min_by("bad", _best(F.col("bad"))[1]).alias("bad"))
+    found = _alike(kinds, of_kind, OWN).select(*STATED, "good", "bad")
+    each = lambda rows: _alike(rows, F.broadcast(found) if few else found, STATED).select("charger_id", "good", "bad")
+    again = own.groupBy(F.col("charger_id").alias("__id")).count().where("count > 1").select("__id")
+    if again.isEmpty():
+        return each(own)
+    repeats = F.col("charger_id").eqNullSafe(F.col("__id"))
+    merged = each(own.join(again, repeats, "left_semi")).groupBy("charger_id").agg(F.min_by("good", _best(F.col("good"))[0]).alias("good"), F.min_by("bad", _best(F.col("bad"))[1]).alias("bad"))
+    return each(own.join(again, repeats, "left_anti")).unionByName(merged)
 
 
 def accepted(verdicts: DataFrame) -> DataFrame:

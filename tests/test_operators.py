@@ -175,6 +175,25 @@ def test_matching_meets_by_kind(spark, monkeypatch):
     assert sorted((r.charger_id, r.source_poi_id, r.distance_m) for r in M.rejected(verdicts).collect()) == sorted((k, r.source_poi_id, r.distance_m) for k, r in bad.items())
 
 
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_chargers_are_not_brought_together(spark, rows):
+    """Chargers read their kind's verdict where they are; only ids that repeat meet."""
+    chargers = [(i, "A", f"{i % 7 * 10} Main St", "2000", -33.0, 151.0) for i in range(50)]
+    schema = "source_poi_id string, ext_operator string, ext_name string, ext_address string, ext_postcode string, usage_cost string, price_per_kwh double, plug_types string, num_points int, num_connectors int, rate_kw double, lat double, lon double"
+    feed = spark.createDataFrame([_site(1, "A", 100, 0, "2000", "20 Main St"), _site(2, "A", 100, 0, "2001", "60 Main St")], schema)
+    plain = M.verdicts(spark.createDataFrame(chargers, CHARGERS), feed, broadcast_rows=rows)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "key=[charger_id" not in plan and "keys=[charger_id" not in plan
+    twice = M.verdicts(spark.createDataFrame([*chargers, (0, "A", "20 Main St", "2000", -33.0, 151.0), (None, "A", "60 Main St", "2000", -33.0, 151.0), (None, "A", "20 Main St", "2000", -33.0, 151.0)], CHARGERS), feed, broadcast_rows=rows)
+    good = lambda v: {r.charger_id: r.source_poi_id for r in M.accepted(v).collect()}
+    bad = lambda v: {r.charger_id: (r.source_poi_id, r.reject_reason) for r in M.rejected(v).collect()}
+    near = {i for i in range(50) if abs(i % 7 * 10 - 20) <= 10}
+    assert good(plain) == dict.fromkeys(near, "1") and bad(plain) == {i: ("1", "address_conflict") for i in range(50) if i not in near}
+    assert good(twice) == dict.fromkeys([*near, 0, None], "1") and bad(twice) == {i: ("1", "address_conflict") for i in range(1, 50) if i not in near}
+    assert M.accepted(twice).count() == len(near) + 2
+    R.release()
+
+
 def test_expectations(spark):
     parent = spark.createDataFrame([(1,), (2,)], "id int")
     child = spark.createDataFrame([(1, 1, 5.0), (1, 9, -1.0), (None, None, None)], "k int, ref int, v double")
