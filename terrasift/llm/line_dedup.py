@@ -19,13 +19,14 @@ from __future__ import annotations
 from functools import reduce
 from math import floor, log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm.common import free, let, remove, store, unused
 
 #: Leading bits that words are first counted by, and the fewest and most bits of the table of rarities (a byte each).
-COUNTED, LEAST_BITS, MOST_BITS, SLICE = 24, 12, 24, 12
+COUNTED, LEAST_BITS, MOST_BITS = 24, 12, 24
 #: Words in the corpus for each entry of that table.
 WORDS_PER_BUCKET = 64
 #: Parts in which the rarer words are joined, one after the other.
@@ -38,16 +39,24 @@ def level(count: int) -> int:
     return min(floor(3 * log2(count + 1)), 126)
 
 
+def plain(text: Column) -> Column:
+    """A text in lower case, with spaces for ASCII white space within its lines: once for the whole text, not for every line."""
+    odd = text.contains("\t") | text.contains("\x0b") | text.contains("\f") | text.contains("\r")
+    return F.lower(F.when(odd, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text))
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(plain(text), "\n", -1)
+
+
 def words_of(line: Column) -> Column:
-    """Words of a line, lower-cased, split at ASCII white space; empty ones are among them."""
-    low = F.lower(line)
-    odd = low.contains("\t") | low.contains("\x0b") | low.contains("\f") | low.contains("\r")
-    return F.split(F.when(odd, F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low), " ", -1)
+    """Words of a plain text's line; empty ones are among them."""
+    return F.split(line, " ", -1)
 
 
 def hashes_of(line: Column) -> Column:
-    """Hashes of a line's different words."""
-    return F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """Hashes of a plain line's different words."""
+    return F.array_except(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
 class LineJoin:
@@ -67,18 +76,17 @@ class LineJoin:
 
     def rarity(self) -> tuple[bytes, int]:
         """How often words of each bucket occur: a byte per bucket, below 127, on a scale of logarithms; and the table's bits."""
-        words = self.rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(words_of(F.col("line"))).alias("word"))
+        words = self.rows.select(F.explode(lines_of(F.col("text"))).alias("line")).select(F.explode(words_of(F.col("line"))).alias("word"))
         bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << COUNTED) - 1))
         counts = self.keep(words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("c")), "counts")
         total = counts.agg(F.sum("c")).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, (total // WORDS_PER_BUCKET).bit_length()))
         few = counts.groupBy(F.col("bucket").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.sum("c").alias("c"))
-        every = self.spark.range(1 << bits).select(F.col("id").alias("bucket")).join(few, "bucket", "left")
-        one = F.struct("bucket", F.least(F.floor(3 * F.log2(F.coalesce("c", F.lit(0)) + 1)), F.lit(126)).alias("c"))
-        slices = every.groupBy(F.shiftright("bucket", SLICE).alias("slice")).agg(F.sort_array(F.collect_list(one)).alias("part"))
-        table = slices.select("slice", F.unhex(F.array_join(F.transform("part", lambda x: F.lpad(F.hex(x["c"]), 2, "0")), "")).alias("bytes"))
-        # 2 ** bits bytes, 16 MB at most.
-        return b"".join(bytes(r["bytes"]) for r in sorted(table.collect(), key=lambda r: r["slice"])), bits
+        seen = few.select(F.col("bucket").cast("int"), F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).cast("tinyint").alias("c")).toArrow()
+        # Of a bucket that occurs 5 bytes are sent: 84 MB at most, for a table of 16 MB.
+        table = np.zeros(1 << bits, np.uint8)
+        table[seen["bucket"].to_numpy()] = seen["c"].to_numpy()
+        return table.tobytes(), bits
 
     def needed(self, n: Column) -> Column:
         """How many of a set's first words must be looked at; none, if no different set can be similar."""
@@ -102,10 +110,12 @@ class LineJoin:
 
         # Six bits of the hash pick the bit; the shift itself looks at no more.
         sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).cast("int"))))
-        raw = self.rows.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-        coded = raw.select("doc", "th", "line", F.sort_array(F.transform(hashes_of(F.col("raw")), code)).alias("codes"))
-        n = F.size("codes")
-        return self.keep(coded.select("doc", "th", "line", n.alias("n"), F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), sketch.alias("bits"), F.slice("codes", F.lit(1), self.needed(n)).alias("first")), "lines").where("n > 0")  # on what is written: a filter before would work the words out twice
+        raw = self.rows.select("doc", "th", F.posexplode(lines_of(F.col("text"))).alias("line", "raw"))
+        # n is taken from the hashes: as these are read twice, they are worked out apart, in compiled code.
+        hashed = raw.select("doc", "th", "line", hashes_of(F.col("raw")).alias("hashes"))
+        coded = hashed.select("doc", "th", "line", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", code)).alias("codes"))
+        n = F.col("n")
+        return self.keep(coded.select("doc", "th", "line", "n", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), sketch.alias("bits"), F.slice("codes", F.lit(1), self.needed(n)).alias("first")), "lines").where("n > 0")  # on what is written: a filter before would work the words out twice
 
     def classes(self, lines: DataFrame) -> DataFrame:
         """One row per set: rank (by first occurrence), where that is, n, bits, and its rarest words."""
@@ -128,7 +138,7 @@ class LineJoin:
         if wanted.count() <= self.broadcast_rows:
             at = F.broadcast(at)
         found = self.rows.join(at, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("th") == F.col("th2")))
-        raw = found.select(F.split("text", "\n", -1).alias("all"), "at").select("all", F.explode("at").alias("w")).select(F.col("w.rank").alias("rank"), F.get("all", F.col("w.line")).alias("raw"))
+        raw = found.select(lines_of(F.col("text")).alias("all"), "at").select("all", F.explode("at").alias("w")).select(F.col("w.rank").alias("rank"), F.get("all", F.col("w.line")).alias("raw"))
         # Rows that repeat id and text bring a line several times.
         sets = self.keep(raw.dropDuplicates(["rank"]).select("rank", hashes_of(F.col("raw")).alias("words")), "sets")
         x, y = (sets.select(F.col("rank").alias(r), F.col("words").alias(w)) for r, w in (("a", "x"), ("b", "y")))

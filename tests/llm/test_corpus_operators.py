@@ -221,6 +221,19 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_are_cut_from_a_text_made_plain_once(spark):
+    """White space, lower case and its context (the last sigma of a word) are those of each line by itself."""
+    texts = ["one\ttwo\x0bthree\fFOUR\r\nΟΔΟΣ\nΣ", "ΟΔΟΣ\nA\r\n\nÉÉ  İx", None, "", " \t\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    text, alone = F.coalesce("text", F.lit("")), lambda x: F.split(F.translate(F.lower(x), "\t\x0b\f\r", "    "), " ", -1)
+    got = df.select(F.transform(line_dedup.lines_of(text), line_dedup.words_of).alias("a"), F.transform(F.split(text, "\n", -1), alone).alias("b"))
+    assert all(r.a == r.b for r in got.collect())
+    hashes = df.select(F.explode(line_dedup.lines_of(text)).alias("x")).select(line_dedup.hashes_of(F.col("x")).alias("h")).collect()
+    assert [len(r.h) for r in hashes] == [4, 1, 1, 1, 1, 0, 2, 0, 0, 0, 0]
+    plan = df.select(F.explode(line_dedup.lines_of(text)).alias("x")).select(F.explode(line_dedup.words_of(F.col("x"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
 def test_short_lines_are_deduplicated(spark):
     import corpus_pipeline
 
