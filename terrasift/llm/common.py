@@ -32,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Bytes of rows that a Python task is handed at once: an executor holds some batches of each task beside its heap.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Let tasks be handed rows in batches of BATCH_BYTES, where the session's are larger; a longer row is a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < set_to <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/terrasift/{what}-{uuid.uuid4().hex}"
 
@@ -42,6 +54,7 @@ def store(df: DataFrame, what: str, compression: str = "snappy") -> tuple[DataFr
     spark, path, schema = df.sparkSession, new_path(df.sparkSession, what), df.schema
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    lean(spark)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
@@ -145,6 +158,7 @@ def tidy(run):
 def map_rows(df: DataFrame, run, **more: str) -> DataFrame:
     """df.mapInArrow(run) with df's columns, whatever their names (a dot or a name twice is no harm), and more columns
     (name: type) after them. run sees and gives columns by their places; it may use any names."""
+    lean(df.sparkSession)
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     schema = StructType(list(plain.schema.fields))
     for i, kind in enumerate(more.values(), len(df.columns)):

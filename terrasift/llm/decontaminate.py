@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import in_bytes, map_rows, remove, store, texts, tidy
+from terrasift.llm.common import in_bytes, lean, map_rows, remove, store, texts, tidy
 
 #: Lower-cases A-Z; ASCII that is no digit or letter separates words; other bytes belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -280,7 +280,7 @@ def blocks_of(benchmark: DataFrame, window: int, item_col: str, item_text: str,
 
 def find_matches(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text: str = "text", block_words: int = 4_000_000, shard_words: int = 1_000_000, shard_bytes: int = 6_000_000,
+    item_text: str = "text", block_words: int = 4_000_000, shard_words: int = 1_000_000, shard_bytes: int = 2_000_000,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, hits (word spans as int64 pairs, end exclusive), items, and the longest
     verbatim match with an item: longest (words; 0 if none has a window), longest_at (its first word here), longest_item and
@@ -294,6 +294,7 @@ def find_matches(
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     blocks, share = blocks_of(benchmark, window, item_col, item_text, block_words), docs.sparkSession.sparkContext.broadcast
     first, second = next(blocks), next(blocks, None)
+    lean(docs.sparkSession)
     if second is None:
         return rows.mapInArrow(tidy(_scan(share(first), shard_words, shard_bytes)), SCHEMA)
     rows, path = store(rows, "documents")  # uid must be the same in every pass
@@ -324,7 +325,7 @@ def report(matches: DataFrame) -> DataFrame:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    block_words: int = 4_000_000, shard_words: int = 1_000_000, shard_bytes: int = 6_000_000,
+    block_words: int = 4_000_000, shard_words: int = 1_000_000, shard_bytes: int = 2_000_000,
 ) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs. Cases as in find_matches; a
     document without words stays. With several benchmark blocks each filters what the one before left."""

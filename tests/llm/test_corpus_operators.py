@@ -77,6 +77,19 @@ def test_any_column_names_pass_through_arrow(spark):
     assert common.unused(["X", "x_"], "x") == "x__"
 
 
+def test_tasks_are_handed_rows_in_small_batches(spark):
+    df = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))
+
+    def sized(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([b.nbytes] * b.num_rows)], ["id", "text", "n"])
+
+    rows = common.map_rows(df, sized, n="long").agg(F.count("*"), F.max("n")).first()
+    assert rows[0] == 600 and rows[1] <= common.BATCH_BYTES + 21_000  # 12 MB came at once before
+
+
 # 1
 
 
