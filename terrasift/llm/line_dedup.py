@@ -6,7 +6,7 @@ The sets' words also set bits by parity in a 64-bit sketch: sets that differ in
 that pass these are verified on their words, and the later line of a similar pair is removed. Words stand as 64-bit
 hashes, and a set as two hashes of those.
 
-Rarity is counted over all lines, per hash bucket of words, in as many buckets as the number of words asks for; any order
+Rarity is counted over all lines, per hash bucket of words, in as many buckets as the corpus's bytes ask for; any order
 of words gives the same pairs. Lines with the same set are one row before words are exploded, however many there are.
 
 A word that at most COMMON occurrences share is held line against line: no list of lines is longer. The lines that share a
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.common import free, let, remove, store, unused
 
-#: Leading bits that words are first counted by, and the fewest and most bits of the table of rarities (a byte each).
-COUNTED, LEAST_BITS, MOST_BITS = 24, 12, 24
-#: Words in the corpus for each entry of that table.
-WORDS_PER_BUCKET = 64
+#: The fewest and most bits of the table of rarities (a byte each).
+LEAST_BITS, MOST_BITS = 12, 24
+#: Bytes of the corpus for each entry of that table.
+BYTES_PER_BUCKET = 400
 #: Parts in which the rarer words are joined, one after the other.
 PARTS = 2
 #: Occurrences in the corpus beyond which a word is common.
@@ -76,12 +76,11 @@ class LineJoin:
 
     def rarity(self) -> tuple[bytes, int]:
         """How often words of each bucket occur: a byte per bucket, below 127, on a scale of logarithms; and the table's bits."""
+        # The texts' bytes tell how many words there are about, so that these are counted once, by their bucket.
+        size = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_BUCKET).bit_length()))
         words = self.rows.select(F.explode(lines_of(F.col("text"))).alias("line")).select(F.explode(words_of(F.col("line"))).alias("word"))
-        bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << COUNTED) - 1))
-        counts = self.keep(words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("c")), "counts")
-        total = counts.agg(F.sum("c")).first()[0] or 0
-        bits = min(MOST_BITS, max(LEAST_BITS, (total // WORDS_PER_BUCKET).bit_length()))
-        few = counts.groupBy(F.col("bucket").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.sum("c").alias("c"))
+        few = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.count("*").alias("c"))
         seen = few.select(F.col("bucket").cast("int"), F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).cast("tinyint").alias("c")).toArrow()
         # Of a bucket that occurs 5 bytes are sent: 84 MB at most, for a table of 16 MB.
         table = np.zeros(1 << bits, np.uint8)
@@ -135,12 +134,14 @@ class LineJoin:
         wanted = pairs.select(F.col("a").alias("rank")).unionByName(pairs.select(F.col("b").alias("rank"))).distinct()
         wanted = self.keep(classes.select("rank", "doc", "th", "line").join(wanted, "rank"), "wanted")
         at = wanted.groupBy(F.col("doc").alias("doc2"), F.col("th").alias("th2")).agg(F.collect_set(F.struct("line", "rank")).alias("at"))
-        if wanted.count() <= self.broadcast_rows:
+        n = wanted.count()
+        if n <= self.broadcast_rows:
             at = F.broadcast(at)
         found = self.rows.join(at, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("th") == F.col("th2")))
         raw = found.select(lines_of(F.col("text")).alias("all"), "at").select("all", F.explode("at").alias("w")).select(F.col("w.rank").alias("rank"), F.get("all", F.col("w.line")).alias("raw"))
-        # Rows that repeat id and text bring a line several times.
-        sets = self.keep(raw.dropDuplicates(["rank"]).select("rank", hashes_of(F.col("raw")).alias("words")), "sets")
+        sets = self.keep(raw.select("rank", hashes_of(F.col("raw")).alias("words")), "sets")
+        if sets.count() > n:  # rows that repeat id and text bring a line several times
+            sets = self.keep(sets.dropDuplicates(["rank"]), "sets")
         x, y = (sets.select(F.col("rank").alias(r), F.col("words").alias(w)) for r, w in (("a", "x"), ("b", "y")))
         similar = (100 + self.percent) * F.size(F.array_intersect("x", "y")) >= self.percent * (F.size("x") + F.size("y"))
         return self.keep(pairs.join(x, "a").join(y, "b").where(similar).select("b").distinct(), "verified")
@@ -174,7 +175,6 @@ class LineJoin:
     def removed_lines(self) -> DataFrame:
         """doc, th, gone: the numbers (from 0) of the lines that go, for rows that lose any."""
         lines = self.lines()
-        remove(self.spark, self.scratch.pop(0))
         classes = self.classes(lines)
         whole = self.scratch.pop(0)
         lines = self.keep(lines.select("doc", "th", "line", "k1", "k2"), "lines")

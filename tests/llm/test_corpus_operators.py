@@ -247,6 +247,18 @@ def test_lines_are_cut_from_a_text_made_plain_once(spark):
     assert plan.count("lower(") == 1
 
 
+def test_words_are_counted_once(spark, monkeypatch):
+    written, keep = [], line_dedup.LineJoin.keep
+    monkeypatch.setattr(line_dedup.LineJoin, "keep", lambda self, df, what: written.append(what) or keep(self, df, what))
+    docs = spark.createDataFrame([(1, "a b\nB c"), (2, None), (3, "a  a\td")], "doc_id long, text string")
+    held, bits = line_dedup.LineJoin(docs, "doc_id", "text", 80, 1000).rarity()
+    words = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1), ("d", 1), ("", 2)], "w string, n int")
+    often = dict.fromkeys(range(1 << bits), 0)
+    for h, n in words.select(F.xxhash64("w"), "n").collect():
+        often[h % (1 << bits)] += n
+    assert not written and bytes(min(line_dedup.level(n), 126) for n in often.values()) == held
+
+
 def test_short_lines_are_deduplicated(spark):
     import corpus_pipeline
 
