@@ -48,14 +48,14 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/terrasift/{what}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, what: str, compression: str = "snappy") -> tuple[DataFrame, str]:
-    """Write df once as Parquet in the shared folder; lineage ends there. Returns it reread, and its path. What nobody
+def store(df: DataFrame, what: str, compression: str = "snappy", **options: str) -> tuple[DataFrame, str]:
+    """Write df once as Parquet (with the writer's options) in the shared folder; lineage ends there. Returns it reread, and its path. What nobody
     removes before is deleted when the driver ends."""
     spark, path, schema = df.sparkSession, new_path(df.sparkSession, what), df.schema
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     lean(spark)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 

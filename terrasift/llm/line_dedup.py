@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 from math import floor, log2
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ LEAST_BITS, MOST_BITS = 12, 24
 BYTES_PER_BUCKET = 400
 #: Parts in which the rarer words are joined, one after the other.
 PARTS = 2
+#: For each number below 128 a byte whose crc32 has it in bits 24 to 30: Spark reads numbers from bytes fastest as their crc32.
+BY_CRC = bytes({crc32(bytes([b])) >> 24 & 127: b for b in range(256)}[n % 128] for n in range(256))
 #: Occurrences in the corpus beyond which a word is common.
 COMMON = 1024
 
@@ -69,18 +72,28 @@ class LineJoin:
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         """Written once; the shuffle files behind it can go."""
-        df, path = store(df, what)
+        # Hashes and ranks hardly repeat: a dictionary of them costs time and saves no room.
+        df, path = store(df, what, **{"parquet.enable.dictionary": "false"})
         self.scratch.append(path)
         free(self.spark)
         return df
 
-    def rarity(self) -> tuple[bytes, int]:
-        """How often words of each bucket occur: a byte per bucket, below 127, on a scale of logarithms; and the table's bits."""
+    def sets(self) -> DataFrame:
+        """doc, th, line, size (its bytes, with the end of the line), hashes (of its different words), for every line."""
+        raw = self.rows.select("doc", "th", F.posexplode(lines_of(F.col("text"))).alias("line", "raw"))
+        return raw.select("doc", "th", "line", (F.octet_length("raw") + 1).alias("size"), hashes_of(F.col("raw")).alias("hashes"))
+
+    def rarity(self, sets: DataFrame | None = None) -> tuple[bytes, int]:
+        """How often words of each bucket occur: a byte per bucket, below 127, on a scale of logarithms; and the table's bits.
+        With sets, in how many lines; these aren't cut into words again."""
+        if sets is None:
+            size = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            words = self.rows.select(F.explode(lines_of(F.col("text"))).alias("line")).select(F.explode(words_of(F.col("line"))).alias("word")).select(F.xxhash64("word").alias("hash"))
+        else:
+            size, words = sets.agg(F.sum("size")).first()[0] or 0, sets.select(F.explode("hashes").alias("hash"))
         # The texts' bytes tell how many words there are about, so that these are counted once, by their bucket.
-        size = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_BUCKET).bit_length()))
-        words = self.rows.select(F.explode(lines_of(F.col("text"))).alias("line")).select(F.explode(words_of(F.col("line"))).alias("word"))
-        few = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.count("*").alias("c"))
+        few = words.groupBy(F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.count("*").alias("c"))
         seen = few.select(F.col("bucket").cast("int"), F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(126)).cast("tinyint").alias("c")).toArrow()
         # Of a bucket that occurs 5 bytes are sent: 84 MB at most, for a table of 16 MB.
         table = np.zeros(1 << bits, np.uint8)
@@ -100,21 +113,24 @@ class LineJoin:
 
     def lines(self) -> DataFrame:
         """doc, th, line, n, k1, k2 (together the name of the set), bits, first (its rarest words), for lines with words."""
-        held, bits = self.rarity()
-        table, mask = F.lit(held), F.lit((1 << bits) - 1)
+        # Texts are cut into words and these hashed once; what counts and what codes them read the hashes.
+        sets = self.keep(self.sets(), "hashes")
+        held, bits = self.rarity(sets)
+        # A place in the table is told from its end, by a number below 0 with the hash's last bits.
+        table, place = F.lit(held.translate(BY_CRC)), F.lit(-1 << bits)
 
         def code(h: Column) -> Column:
-            often = F.ascii(F.substring(table, h.bitwiseAND(mask).cast("int") + 1, F.lit(1)).cast("string"))
-            return F.shiftleft(often.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
+            often = F.crc32(F.substring(table, h.bitwiseOR(place).cast("int"), F.lit(1))).bitwiseAND(F.lit(127 << 24))
+            # Never null, which what is read again might be for all that Spark knows: it sorts numbers faster than objects.
+            return F.coalesce(F.shiftleft(often, 32).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1))), F.lit(0).cast("long"))
 
         # Six bits of the hash pick the bit; the shift itself looks at no more.
         sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 40).cast("int"))))
-        raw = self.rows.select("doc", "th", F.posexplode(lines_of(F.col("text"))).alias("line", "raw"))
-        # n is taken from the hashes: as these are read twice, they are worked out apart, in compiled code.
-        hashed = raw.select("doc", "th", "line", hashes_of(F.col("raw")).alias("hashes"))
-        coded = hashed.select("doc", "th", "line", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", code)).alias("codes"))
+        coded = sets.select("doc", "th", "line", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", code)).alias("codes"))
         n = F.col("n")
-        return self.keep(coded.select("doc", "th", "line", "n", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), sketch.alias("bits"), F.slice("codes", F.lit(1), self.needed(n)).alias("first")), "lines").where("n > 0")  # on what is written: a filter before would work the words out twice
+        out = self.keep(coded.select("doc", "th", "line", "n", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), sketch.alias("bits"), F.slice("codes", F.lit(1), self.needed(n)).alias("first")), "lines")
+        remove(self.spark, self.scratch.pop(0))
+        return out.where("n > 0")
 
     def classes(self, lines: DataFrame) -> DataFrame:
         """One row per set: rank (by first occurrence), where that is, n, bits, and its rarest words."""
@@ -135,11 +151,15 @@ class LineJoin:
         wanted = self.keep(classes.select("rank", "doc", "th", "line").join(wanted, "rank"), "wanted")
         at = wanted.groupBy(F.col("doc").alias("doc2"), F.col("th").alias("th2")).agg(F.collect_set(F.struct("line", "rank")).alias("at"))
         n = wanted.count()
+        rows = self.rows
         if n <= self.broadcast_rows:
             at = F.broadcast(at)
-        found = self.rows.join(at, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("th") == F.col("th2")))
-        raw = found.select(lines_of(F.col("text")).alias("all"), "at").select("all", F.explode("at").alias("w")).select(F.col("w.rank").alias("rank"), F.get("all", F.col("w.line")).alias("raw"))
-        sets = self.keep(raw.select("rank", hashes_of(F.col("raw")).alias("words")), "sets")
+            # Texts of other ids aren't hashed for the join.
+            rows = rows.join(F.broadcast(wanted.select(F.col("doc").alias("doc1")).distinct()), F.col("doc").eqNullSafe(F.col("doc1")), "left_semi")
+        found = rows.join(at, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("th") == F.col("th2")))
+        # Only the wanted lines are made plain: a line by itself is what it is in its text made plain.
+        raw = found.select(F.split("text", "\n", -1).alias("all"), "at").select("all", F.explode("at").alias("w")).select(F.col("w.rank").alias("rank"), F.get("all", F.col("w.line")).alias("raw"))
+        sets = self.keep(raw.select("rank", hashes_of(plain(F.col("raw"))).alias("words")), "sets")
         if sets.count() > n:  # rows that repeat id and text bring a line several times
             sets = self.keep(sets.dropDuplicates(["rank"]), "sets")
         x, y = (sets.select(F.col("rank").alias(r), F.col("words").alias(w)) for r, w in (("a", "x"), ("b", "y")))

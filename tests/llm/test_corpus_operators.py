@@ -259,6 +259,23 @@ def test_words_are_counted_once(spark, monkeypatch):
     assert not written and bytes(min(line_dedup.level(n), 126) for n in often.values()) == held
 
 
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """What counts words and what codes them read the hashes that are written once (they cut the texts twice before)."""
+    from zlib import crc32
+
+    cut, words_of = [], line_dedup.words_of
+    monkeypatch.setattr(line_dedup, "words_of", lambda line: cut.append(line) or words_of(line))
+    rows = [(1, "a b c d e f g h i j\n"), (2, "a b c d e f g h X y"), (None, None), (3, "b  a\n\nA b\tb")]
+    join = line_dedup.LineJoin(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 80, 1000)
+    lines = join.lines().orderBy("doc", "line").collect()
+    assert len(cut) == 1 and len(join.scratch) == 1
+    assert [(r.doc, r.line, r.n) for r in lines] == [(1, 0, 10), (2, 0, 10), (3, 0, 2), (3, 2, 2)]
+    assert [[c >> 56 for c in r["first"]] for r in lines] == [[line_dedup.level(n) for n in (1, 1, 2)]] * 2 + [[], []]
+    name = [(r.k1, r.k2) for r in lines]
+    assert name[2] == name[3] and len(set(name)) == 3
+    assert [crc32(bytes([b])) >> 24 & 127 for b in line_dedup.BY_CRC[:128]] == list(range(128))
+
+
 def test_short_lines_are_deduplicated(spark):
     import corpus_pipeline
 
